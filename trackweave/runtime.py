@@ -95,3 +95,10 @@ def heavy_keys(frame: DataFrame, keys: list[str], share_of_task: float = 0.25) -
     total = counts.agg(F.sum("count")).first()[0] or 0
     least = max(10_000, total * share_of_task / shuffle_partitions(spark))
     return counts.where(F.col("count") > F.lit(int(least))).select(*keys)
+
+
+def join_nulls(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet NULL keys; the key columns of the left side stay."""
+    renamed = right.withColumnsRenamed({k: f"right_{k}" for k in keys})
+    joined = left.join(renamed, [F.col(k).eqNullSafe(F.col(f"right_{k}")) for k in keys], how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"right_{k}" for k in keys])
