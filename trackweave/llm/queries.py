@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import cooccurrence, grouping, percentiles
+from trackweave.llm import cooccurrence, grouping, mixing, neighbours, packing, percentiles, tokens
 from trackweave.runtime import Scratch, table
 
 
@@ -30,7 +30,43 @@ def p3_lift(spark: SparkSession, sf: str) -> DataFrame:
     return cooccurrence.together(cooccurrence.basket_items(table(spark, sf, "point_references")), least_lift=0.0)
 
 
-QUERIES = {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_lift": p3_lift}
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    scratch = Scratch(spark, "neighbours")
+    fields = [
+        ("point_references.descriptor", neighbours.Arrays(table(spark, sf, "point_references")), 0.90),
+        ("descriptors.data", neighbours.Blobs(table(spark, sf, "descriptors")), 0.95),
+    ]
+    found = [neighbours.similar_pairs(vectors, least, neighbours.MOST_DIFFERENT[least], scratch).select(F.lit(name).alias("field"), "id1", "idx1", "id2", "idx2") for name, vectors, least in fields]
+    return found[0].unionByName(found[1])
+
+
+def _sizes(spark: SparkSession, sf: str, scratch: Scratch) -> DataFrame:
+    return scratch.save(tokens.with_tokens(table(spark, sf, "documents").select("doc_id", "source", "text")))
+
+
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    scratch = Scratch(spark, "packing")
+    return packing.pack(_sizes(spark, sf, scratch), scratch)
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_report(p6_containers(spark, sf))
+
+
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    scratch = Scratch(spark, "mixing")
+    return mixing.mixture(_sizes(spark, sf, scratch), table(spark, sf, "mix_targets"), scratch)
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixture of as many tokens as the documents have, with the share that each source reaches."""
+    scratch = Scratch(spark, "mixing")
+    sizes, targets = _sizes(spark, sf, scratch), table(spark, sf, "mix_targets")
+    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
+    return mixing.shares_report(mixing.mixture(sizes, targets, scratch, total), mixing.budgets(sizes, targets, total))
+
+
+QUERIES = {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_lift": p3_lift, "p5_found": p5_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
 
 _P1 = """
 WITH RECURSIVE m AS (
