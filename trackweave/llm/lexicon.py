@@ -7,7 +7,7 @@ def _terms(text: str) -> list[str]:
 
 # Words that insult by themselves.
 INSULT = _terms("""
-idiot*, moron*, imbecile*, cretin*, asshole*, arsehole*, bastard*, scumbag*, dickhead*, dumbass*, jackass*, shithead*, son of a bitch, bitches, whore*, slut, sluts, cunt, cunts, wanker*, twat*, retard*, motherfuck*, fucker*, prick, pricks, douchebag*,
+idiot*, moron*, imbecile*, cretin*, asshole*, arsehole*, bastard*, scumbag*, dickhead*, dumbass*, jackass*, shithead*, son of a bitch, bitches, whore*, slut, sluts, cunt, cunts, wanker*, twat*, retarded, motherfuck*, fucker*, prick, pricks, douchebag*,
 piece of shit, sack of shit, piece of garbage, sack of garbage, piece of filth, lowlife*, loser*, halfwit*, dimwit*, nitwit*, dumb as dirt, brain dead, braindead, brainless, worthless, pathetic, degenerate*, scum of the earth, fuck you, fuck off, screw you, shut your mouth, go to hell, shitty,
 disgusting little, stupid cow, filthy pig, fat pig, stupid pig, dirty rat, little maggot, out of my sight,
 idioten, vollidiot*, arschloch*, arschlöcher*, wichser*, schlampe*, hurensohn*, hurensöhne*, hure, huren, miststück*, dreckskerl*, drecksau*, drecksack*, scheißkerl*, abschaum, missgeburt*, spast*, trottel, depp, deppen, dummkopf*, blödmann*, vollpfosten, schwachkopf*, nichtsnutz*, versager*,
@@ -18,7 +18,7 @@ idiota*, imbécil*, gilipollas, cabrón*, cabrones, hijo de puta, hija de puta,
 
 # Words that insult persons in some uses and are harmless in others.
 INSULT_DOUBTFUL = _terms("""
-pig, pigs, cow, swine, rat, rats, dog, snake, garbage, trash, scum, bitch, maggot*, vermin, filth, filthy, dirty, stupid, dumb, fat, ugly, useless, rotten, stinking, crappy, damn, damned, bloody, clown, monster, animal, parasite*, coward*, liar*, get lost, get out, shut up, nobody wants, miserable, little,
+pig, pigs, cow, swine, rat, rats, dog, snake, garbage, trash, scum, bitch, maggot*, vermin, filth, filthy, dirty, stupid, dumb, fat, ugly, useless, rotten, stinking, crappy, damn, damned, bloody, monster, animal, parasite*, coward*, liar*, get lost, get out, shut up, nobody wants, miserable, little,
 schwein*, kuh, ratte*, hund, sau, müll, dreck*, dumm*, blöd*, scheiß*, widerlich*, elend*, fett*, verschwinde, raus hier, hau ab, miese*,
 porc*, vache, rat, chien, merde, sale, sales, stupide, bête, moche, minable, dégage, pauvre, misérable, dégoûtant*, casse toi,
 cerdo*, cerda, vaca, rata, perro, perra, mierda, basura, sucio*, sucia*, asco, asqueros*, tonto, tonta, gordo, fea, inútil, lárgate, cállate, miserable, estúpid*
@@ -26,25 +26,25 @@ cerdo*, cerda, vaca, rata, perro, perra, mierda, basura, sucio*, sucia*, asco, a
 
 # Threats against a person.
 THREAT = _terms("""
-kill you, murder you, stab you, shoot you, strangle you, choke you, beat you, cut your throat, slit your throat, cut you open, every bone, break your, break both, bury you, drown you, burn you, in the ground, they will find you, you are dead, you re dead, dead man, hunt you down, make you bleed, rip your, skin you, smash your face, bash your, kick your teeth, near my door again, hang you,
-bringe dich um, bring dich um, bring ich dich um, töte dich, töte ich dich, schlage dich tot, schlag dich tot, steche dich ab, stech dich ab, erwürge dich, ersteche dich, erschieße dich, mache dich kalt, mach dich kalt, breche dir, brech dir, alle knochen, unter die erde, du bist tot, dich abstechen, dich erwürgen, dich umbringen, kehle durch, schneide dir, beide beine,
-te tuer, te tue, t égorge, t égorger, t étrangler, t étrangle, te crever, te démolir, te casser, te buter, te saigner, t enterrer, t écraser, te noyer, sous terre, tu es mort, te faire la peau, briser tous, tous les os, deux jambes, te trancher,
-te mato, te voy a matar, matarte, te rajo, rajarte, te ahogo, ahogarte, te estrangul*, estrangularte, todos los huesos, romperte, te rompo, bajo tierra, te entierro, enterrarte, te quemo, te corto, cortarte, estás muerto, te degüello, degollarte, las dos piernas, ambas piernas
+kill you, murder you, stab you, shoot you, strangle you, choke you, beat you, cut your throat, slit your throat, cut you open, every bone, break your, break both, bury you, drown you, burn you, in the ground, they will find you, you are dead, you re dead, dead man, hunt you down, make you bleed, rip your, skin you, smash your face, bash your, kick your teeth, near my door again, hang you, smash your, your skull, if i see you, one more word and,
+bringe dich um, bring dich um, bring ich dich um, töte dich, töte ich dich, schlage dich tot, schlag dich tot, steche dich ab, stech dich ab, erwürge dich, ersteche dich, erschieße dich, mache dich kalt, mach dich kalt, breche dir, brech dir, alle knochen, unter die erde, du bist tot, dich abstechen, dich erwürgen, dich umbringen, kehle durch, schneide dir, beide beine, noch ein wort und, wenn ich dich,
+te tuer, te tue, t égorge, t égorger, t étrangler, t étrangle, te crever, te démolir, te casser, te buter, te saigner, t enterrer, t écraser, te noyer, sous terre, tu es mort, te faire la peau, briser tous, tous les os, deux jambes, te trancher, encore un mot et, je te tue, si je te vois,
+te mato, te voy a matar, matarte, te rajo, rajarte, te ahogo, ahogarte, te estrangul*, estrangularte, todos los huesos, romperte, te rompo, bajo tierra, te entierro, enterrarte, te quemo, te corto, cortarte, estás muerto, te degüello, degollarte, las dos piernas, ambas piernas, una palabra más y, si te veo
 """)
 
 # Wishes and judgements that degrade a person.
 DEGRADE = _terms("""
-never wake up, stopped breathing, stop breathing, you make me sick, make me sick, hope you rot, you rot, hope you die, have drowned you, drop dead, rot in hell, dead to me, back into the gutter, back to the gutter, crawl back, would miss you, would even notice, kill yourself, waste of skin, waste of air, waste of space, nobody wants you, nobody loves you, better without you, never have been born, wish you were dead, you away and lose, lose the key,
-wach nie wieder auf, nie wieder auf, aufhörst zu atmen, aufhören zu atmen, widerst mich an, ekelst mich, kotzt mich an, verreck*, krepier*, keiner will dich, niemand will dich, keiner liebt dich, niemand liebt dich, dich ertränken, dich ersäufen, in die gosse, kriech zurück, ein nichts und, für mich gestorben, nichts wert, würde merken,
-réveille plus jamais, réveille plus, cessais de respirer, arrêtais de respirer, me dégoûtes, envie de vomir, personne ne t aime, personne ne veut de toi, ne remarquerait, te noyer à la naissance, dans le caniveau, tu n es qu une, tu n es qu un, ne vaux rien, morte pour moi, mort pour moi,
-no despiertes nunca, no despiertes, dejaras de respirar, dejases de respirar, me das asco, nadie te quiere, nadie te aguanta, nadie notaría, haberte ahogado, ahogarte al nacer, púdrete, te pudras, ojalá te mueras, muérete, a la cloaca, no vales nada, muerta para mí, muerto para mí
+never wake up, stopped breathing, stop breathing, you make me sick, make me sick, hope you rot, you rot, hope you die, have drowned you, drop dead, rot in hell, dead to me, back into the gutter, back to the gutter, crawl back, would miss you, would even notice, kill yourself, waste of skin, waste of air, waste of space, nobody wants you, nobody loves you, better without you, never have been born, wish you were dead, you away and lose, lose the key, and everybody knows it, always knew you were,
+wach nie wieder auf, nie wieder auf, aufhörst zu atmen, aufhören zu atmen, widerst mich an, ekelst mich, kotzt mich an, verreck*, krepier*, keiner will dich, niemand will dich, keiner liebt dich, niemand liebt dich, dich ertränken, dich ersäufen, in die gosse, kriech zurück, ein nichts und, für mich gestorben, nichts wert, würde merken, und alle wissen es,
+réveille plus jamais, réveille plus, cessais de respirer, arrêtais de respirer, me dégoûtes, envie de vomir, personne ne t aime, personne ne veut de toi, ne remarquerait, te noyer à la naissance, dans le caniveau, tu n es qu une, tu n es qu un, ne vaux rien, morte pour moi, mort pour moi, et tout le monde le sait,
+no despiertes nunca, no despiertes, dejaras de respirar, dejases de respirar, me das asco, nadie te quiere, nadie te aguanta, nadie notaría, haberte ahogado, ahogarte al nacer, púdrete, te pudras, ojalá te mueras, muérete, a la cloaca, no vales nada, muerta para mí, muerto para mí, y todos lo saben, y todo el mundo lo sabe
 """)
 
 # Statements that demean or threaten a people as a whole.
 GROUP = _terms("""
 breed like, breeding like, drive them out, are vermin, are animals, are parasites, are rats, are a disease, disease on this, a plague on, born thieves, born liars, a liar and a thief, liars and thieves, not human, called human, less than human, subhuman*, allowed to have children, allowed to breed, they crawled out, crawled out of, back to the swamp, is a dead one, left alive, a single one of the, last one of the, every last one, wipe them out, exterminat*, too stupid to, can smell the, before you see them, stink everyone knows, one of those dirty, one of those filthy, with filthy, with dirty, share a table with, was clean until, town was clean, lock the doors the, should burn every, out of this valley, out of this country, round them up, dirty blood, never trust one of,
 vermehren sich wie, sind ungeziefer, sind ratten, sind parasiten, sind tiere, sind keine menschen, keine menschen, untermensch*, geborene diebe, geborene lügner, eine krankheit für, eine seuche, der stadt jagen, dem tal jagen, dem land jagen, dem dorf jagen, stinken das weiß, ausrotten, ausmerzen, bleibt am leben, kinder bekommen dürfen, kinder haben dürfen, kinder kriegen, trau keinem, traue keinem, mit dreckigen, einen tisch, jedes haus der, lügner und diebe, lügner und dieb, ein lügner und, guter toter, in den sumpf, riechen bevor, zu dumm um, einen dieser dreckigen, stadt war sauber, türen zu,
-reproduisent comme, de la vermine, sont des rats, sont des animaux, sont des parasites, maladie pour ce, naissent voleurs, voleurs nés, menteurs et voleurs, menteur et un voleur, de la vallée, pas des êtres humains, pas des humains, sous hommes, puent tout le monde, brûler toutes, brûler chaque, exterminer, un mort, faire des enfants, avoir des enfants, jamais confiance aux, avec ces sales, un de ces sales, retournent dans, au marais, dans le marais, ville était propre, trop bêtes pour, trop stupides pour, dernier des, restera pas un seul,
+reproduisent comme, de la vermine, sont des rats, sont des animaux, sont des parasites, maladie pour ce, naissent voleurs, voleurs nés, menteurs et voleurs, menteur et un voleur, de la vallée, pas des êtres humains, pas des humains, pas un être humain, sous hommes, puent tout le monde, brûler toutes, brûler chaque, exterminer, un mort, faire des enfants, avoir des enfants, jamais confiance aux, avec ces sales, un de ces sales, retournent dans, au marais, dans le marais, ville était propre, trop bêtes pour, trop stupides pour, dernier des, restera pas un seul,
 reproducen como, son alimañas, son ratas, son animales, son parásitos, una plaga para, una enfermedad para, para este país, nacen ladrones, ladrones natos, mentirosos y ladrones, mentiroso y un ladrón, echar a los, echar a todos, del valle, es un ser humano, son seres humanos, son humanos, infrahumanos, apestan lo sabe, apestan, quemar todas, quemar cada, exterminar, tener hijos, confíes en los, mesa con sucios, con sucios, uno de esos sucios, al pantano, estaba limpio hasta, demasiado estúpidos para, el último de los, quedará ni uno
 """)
 
@@ -60,7 +60,7 @@ alimañas, ratas, plaga, enfermedad, ladrones, mentirosos, sucios, pantano, echa
 SEX = _terms("""
 cock was hard, my cock, your cock, his cock, hard cock, suck my, sucked his, suck his, sucking my, blowjob*, pussy, cunt, tits, titties, bare breasts, naked in my bed, you naked, fucked her, fucked him, fucked me, they fucked, fucked on, fucked against, fucking her, fucking him, fuck me, fuck her, had sex, have sex, so horny, horny, want to taste you, taste you, touch yourself, spread your legs, sit on my face, off your panties, her panties, your panties, make you come, make me come, until she came, until he came, until i came, you come all night, in her mouth, in my mouth, in his mouth, your mouth on, between his legs, between her legs, between my legs, licked her, lick my, cum, cumming, orgasm*, erection, inside her, rode him, handjob*, went down on, tore off his, tore off her, loud and sweaty,
 schwanz, muschi, titten, ficken, gefickt, fickte*, fick mich, bumsen, vögel*, so geil, geil, nackt in meinem, dich nackt, zieh dich aus, setz dich auf mein, beine breit, spreiz die beine, dich schmecken, zwischen die schenkel, zwischen die beine, und sie stöhnte, in den mund, bis er kam, bis sie kam, orgasmus, blas mir, fass dich an, höschen, brüste,
-ma bite, sa bite, ta bite, ta chatte, sa chatte, baisé*, la baiser, me baiser, suce moi, suce ma, te goûter, écarte les jambes, dans sa bouche, dans la bouche, jouisse, jouir, jouissait, entre ses cuisses, et elle gémit, te veux nue, te veux nu, ta culotte, assieds toi sur mon visage, touche toi, ses seins, seins nus, bander, il bandait, tellement excité*,
+ma bite, sa bite, ta bite, ta chatte, sa chatte, baisé, baisée, baisés, ont baisé, la baiser, me baiser, suce moi, suce ma, te goûter, écarte les jambes, dans sa bouche, dans la bouche, jouisse, jouir, jouissait, entre ses cuisses, et elle gémit, te veux nue, te veux nu, ta culotte, assieds toi sur mon visage, touche toi, ses seins, seins nus, bander, il bandait, tellement excité*,
 mi polla, su polla, polla, coño, follaron, follar, follamos, follaba*, fóllame, chúpame, te quiero desnuda, te quiero desnudo, desnuda en mi cama, abre las piernas, quiero probarte, en la boca, hasta que él se corrió, se corrió, correrte, correrse, entre los muslos, entre las piernas, y ella gimió, las bragas, siéntate en mi cara, tócate, sus tetas, tetas, pechos desnudos, tan cachond*, cachonda, cachondo, lamió sus
 """)
 
@@ -74,7 +74,7 @@ desnud*, cama, boca, piernas, muslos, gimió, pechos, bragas, corrió, probarte
 
 # Turns of phrase in which such words are harmless.
 HARMLESS = _terms("""
-naked eye, ojo desnudo, œil nu, nacktem auge, bloßem auge, chicken breast*, sex of the, sex and age, pond scum, garbage bag*, took garbage, take out the trash, vermin control, pest control, kill the lights, no idiot, not an idiot, no moron, stabbed the, maggot wound, that pig weighs, wiegt neunzig, porc pèse, cerdo pesa, had four puppies, puppies, cock crows, beat me again, saca la basura, bring den müll, chewed through, ont rongé, mordieron el, haben das kabel, to bed early, moaned about, ladra un perro, shot the whole, shot the scene, kein idiot, pas un idiot, ningún idiota, vaca está, vache est, die kuh steht, at this sack, sack of garbage in
+naked eye, ojo desnudo, œil nu, nacktem auge, bloßem auge, chicken breast*, sex of the, sex and age, pond scum, garbage bag*, took garbage, take out the trash, vermin control, pest control, kill the lights, no idiot, not an idiot, no moron, stabbed the, maggot wound, that pig weighs, wiegt neunzig, porc pèse, cerdo pesa, had four puppies, puppies, cock crows, beat me again, saca la basura, bring den müll, chewed through, ont rongé, mordieron el, haben das kabel, to bed early, moaned about, ladra un perro, shot the whole, shot the scene, kein idiot, pas un idiot, ningún idiota, vaca está, vache est, die kuh steht
 """)
 
 # Second-person pronouns.

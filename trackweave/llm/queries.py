@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import cooccurrence, grouping, mixing, neighbours, packing, percentiles, tokens
+from trackweave.llm import content, cooccurrence, grouping, mixing, neighbours, packing, percentiles, tokens
 from trackweave.runtime import Scratch, table
 
 
@@ -66,7 +66,19 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares_report(mixing.mixture(sizes, targets, scratch, total), mixing.budgets(sizes, targets, total))
 
 
-QUERIES = {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_lift": p3_lift, "p5_found": p5_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_scores(spark, sf).where(F.col("probability") >= content.THRESHOLD).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return content.scored(table(spark, sf, "documents"), table(spark, sf, "doc_labels"), Scratch(spark, "content"))
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return content.rates(p8_scores(spark, sf))
+
+
+QUERIES = {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_lift": p3_lift, "p5_found": p5_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 _P1 = """
 WITH RECURSIVE m AS (
