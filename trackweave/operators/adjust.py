@@ -163,7 +163,7 @@ class BundleSetup:
 
 
 def adjust_points(observations: DataFrame, options: Options = Options(parameter_tolerance=0.0), kind: str = "geometric", sampling: Sampling = Sampling()) -> DataFrame:
-    """point3d_id, X, Y, Z and summary: each point moved on its own, with poses and cameras held; separable, so a group per point.
+    """point3d_id, px, py, pz and summary: each point moved on its own, with poses and cameras held; separable, so a group per point.
 
     observations: point3d_id, px, py, pz (the point), model, params, qw..qz, tx..tz and, by kind: `geometric` x, y; `feature_reference`
     and `costmaps` a patch (h, w, c, x0, y0, sx, sy, upsampling, data), the first also `reference`; `patch_warp` a patch and
@@ -175,9 +175,9 @@ def adjust_points(observations: DataFrame, options: Options = Options(parameter_
         start = np.array([rows[0].px, rows[0].py, rows[0].pz], float)
         evaluate = _point_residuals(rows, kind, sampling)
         x, s = minimise(start, evaluate, options)
-        return pd.DataFrame([[key[0], *x, s.initial_cost, s.final_cost, s.num_residuals, s.iterations, s.termination]], columns=["point3d_id", "X", "Y", "Z", "initial_cost", "final_cost", "num_residuals", "iterations", "termination"])
+        return pd.DataFrame([[key[0], *x, s.initial_cost, s.final_cost, s.num_residuals, s.iterations, s.termination]], columns=["point3d_id", "px", "py", "pz", "initial_cost", "final_cost", "num_residuals", "iterations", "termination"])
 
-    return observations.groupBy("point3d_id").applyInPandas(solve, "point3d_id bigint, X double, Y double, Z double, initial_cost double, final_cost double, num_residuals bigint, iterations int, termination string")
+    return observations.groupBy("point3d_id").applyInPandas(solve, "point3d_id bigint, px double, py double, pz double, initial_cost double, final_cost double, num_residuals bigint, iterations int, termination string")
 
 
 def _pose(row, prefix: str = "") -> tuple[Camera, np.ndarray, np.ndarray]:
@@ -219,7 +219,7 @@ def _point_residuals(rows: list, kind: str, sampling: Sampling):
 
 
 def bundle_adjust(observations: DataFrame, setup: BundleSetup, options: Options = Options(parameter_tolerance=0.0, max_iterations=20), scratch: Scratch | None = None) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], DataFrame, list[float]]:
-    """Geometric bundle adjustment of poses, cameras and points: {image_id: q, t}, {camera_id: params}, points (point3d_id, X, Y, Z), costs per iteration.
+    """Geometric bundle adjustment of poses, cameras and points: {image_id: q, t}, {camera_id: params}, points (point3d_id, px, py, pz), costs per iteration.
 
     observations: image_id, camera_id, point3d_id, x, y, px, py, pz. The starting poses and cameras come with them (model, params,
     qw..qz, tx..tz). Levenberg-Marquardt with the points eliminated: for each point a task forms its Schur complement, Spark adds
@@ -245,7 +245,7 @@ def bundle_adjust(observations: DataFrame, setup: BundleSetup, options: Options
     free = ~np.array(fixed, bool)
     rho = loss(options.loss_name, options.loss_scale)
     columns = ["image_id", "camera_id", "point3d_id", "x", "y"]
-    points = observations.select("point3d_id", F.col("px").alias("X"), F.col("py").alias("Y"), F.col("pz").alias("Z")).distinct()
+    points = observations.select("point3d_id", "px", "py", "pz").distinct()
     own = scratch or Scratch(spark, "bundle")
     points = own.save(points)
     seen = own.save(observations.select(*columns).repartition("point3d_id"))
@@ -253,7 +253,7 @@ def bundle_adjust(observations: DataFrame, setup: BundleSetup, options: Options
 
     def parts_of(key, rows: pd.DataFrame, state, damping: float):
         poses, params = state
-        x = rows[["X", "Y", "Z"]].to_numpy(float)[0]
+        x = rows[["px", "py", "pz"]].to_numpy(float)[0]
         big = {}
         system = []
         for row in rows.itertuples():
@@ -303,7 +303,7 @@ def bundle_adjust(observations: DataFrame, setup: BundleSetup, options: Options
             if setup.refine_points and key[0] not in held:
                 shift = gp + sum(e.T @ step[layout[a] : layout[a] + len(e)] for a, e in cross.items())
                 x = x - np.linalg.solve(hpp + damping * np.diag(np.maximum(np.diag(hpp), 1e-9)), shift)
-            return pd.DataFrame([[key[0], *x]], columns=["point3d_id", "X", "Y", "Z"])
+            return pd.DataFrame([[key[0], *x]], columns=["point3d_id", "px", "py", "pz"])
 
         return run
 
@@ -329,7 +329,7 @@ def bundle_adjust(observations: DataFrame, setup: BundleSetup, options: Options
             step[free] = -np.linalg.lstsq(h + damping * np.diag(np.maximum(np.abs(np.diag(h)), 1e-9)), gradient[free], rcond=None)[0]
         new_poses = {i: (geometry.turned(q, step[layout["image", i] :][:3]), t + step[layout["image", i] + 3 :][:3]) for i, (q, t) in state[0].items()}
         new_params = {c: p + step[layout["camera", c] :][: len(p)] for c, p in state[1].items()}
-        candidate = own.save(seen.join(points, "point3d_id").groupBy("point3d_id").applyInPandas(moved(state, step, damping), "point3d_id bigint, X double, Y double, Z double"))
+        candidate = own.save(seen.join(points, "point3d_id").groupBy("point3d_id").applyInPandas(moved(state, step, damping), "point3d_id bigint, px double, py double, pz double"))
         cost = cost_of((new_poses, new_params), candidate)
         if np.isfinite(cost) and cost < costs[-1]:
             fall = (costs[-1] - cost) / max(costs[-1], 1e-300)

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["integrity"]
+MODULES = ["integrity", "graphs", "descriptors", "poses"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
