@@ -71,7 +71,8 @@ def slice_patches(rows: DataFrame, patch: int) -> DataFrame:
     cut = rows.where(fits).withColumn("_col", col).withColumn("_row", row)
     start = lambda k: (F.col("_row") + k) * F.col("w") * F.col("c") + F.col("_col") * F.col("c") + 1
     data = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(patch - 1)), lambda k: F.slice("data", start(k).cast("int"), F.lit(patch) * F.col("c"))))
-    return cut.withColumns({"data": data, "x0": F.col("x0") + F.col("_col"), "y0": F.col("y0") + F.col("_row"), "h": F.lit(patch), "w": F.lit(patch)}).drop("_col", "_row")
+    cut = cut.withColumn("data", data)
+    return cut.withColumns({"x0": F.col("x0") + F.col("_col"), "y0": F.col("y0") + F.col("_row"), "h": F.lit(patch), "w": F.lit(patch)}).drop("_col", "_row")
 
 
 def extract_patches(maps: DataFrame, keypoints: DataFrame, patch: int = 16) -> DataFrame:
