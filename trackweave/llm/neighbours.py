@@ -45,7 +45,7 @@ def hash_strings(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, n
 
 def _print(rows: np.ndarray) -> np.ndarray:
     """A 64-bit fingerprint of the raw bytes of each row (multilinear hash); together with the 128 bits of the hash string it names groups of exact copies."""
-    words = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
+    words = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), rows.shape[1] * rows.itemsize)
     words = np.pad(words, ((0, 0), (0, -words.shape[1] % 8))).view(np.uint64)
     odd = np.random.default_rng(SEED + 1).integers(0, 2**63, words.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     mixed = words * odd
@@ -90,6 +90,12 @@ class Blobs:
         """key and vector of the wanted (key, id, tag, idx)."""
         return self.source.join(wanted, ["id", "tag"]).select("key", F.substring("data", F.col("idx") * self.width + 1, F.lit(self.width)).alias("vector")).dropDuplicates(["key"])
 
+    def rows(self) -> DataFrame:
+        """space, id, idx, vector of every usable row vector."""
+        rows = self.source.select("id", "data", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("idx"))
+        vector = F.substring("data", F.col("idx") * self.width + 1, F.lit(self.width))
+        return rows.select(F.lit(0).cast("bigint").alias("space"), "id", "idx", vector.alias("vector")).where(F.col("vector") != F.lit(bytes(self.width)))
+
     def decoder(self) -> Callable[[pa.Array], np.ndarray]:
         width = self.width
         return lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width).astype(np.float64)
@@ -124,6 +130,9 @@ class Arrays:
     def vectors(self, wanted: DataFrame) -> DataFrame:
         return self.source.join(wanted, ["id", "tag", "idx"]).select("key", "vector").dropDuplicates(["key"])
 
+    def rows(self) -> DataFrame:
+        return self.source.select((1 + F.col("idx").cast("bigint")).alias("space"), "id", F.col("idx").cast("int").alias("idx"), "vector").where(F.exists("vector", lambda v: v != 0))
+
     def decoder(self) -> Callable[[pa.Array], np.ndarray]:
         width = self.width
 
@@ -135,8 +144,8 @@ class Arrays:
 
 
 def _centre(rows: list[np.ndarray], width: int) -> np.ndarray:
-    """The mean of at most CENTRE_SAMPLE unit vectors: all that is fitted."""
-    vectors = np.concatenate(rows)[:CENTRE_SAMPLE].astype(np.float32) if rows else np.zeros((0, width), np.float32)
+    """The mean of at most CENTRE_SAMPLE different unit vectors: all that is fitted. Copies count once, or a large group of them would become the centre."""
+    vectors = np.unique(np.concatenate(rows)[:CENTRE_SAMPLE], axis=0).astype(np.float32) if rows else np.zeros((0, width), np.float32)
     if not len(vectors):
         return np.zeros(width, np.float32)
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).mean(axis=0).astype(np.float32)
@@ -251,3 +260,72 @@ def _with_cosine(pairs: DataFrame, heads: DataFrame, vectors: Blobs | Arrays, sc
 
     one, two = (read.select(F.col("key").alias(f"key{n}"), F.col("vector").alias(f"vector{n}")) for n in (1, 2))
     return pairs.join(one, "key1").join(two, "key2").select("key1", "key2", "vector1", "vector2").mapInArrow(cosine, "key1 bigint, key2 bigint, cosine double")
+
+
+#: Query vectors that one pass over the collection compares at once (10 MB of 128 floats).
+QUERY_BLOCK = 20_000
+#: A query whose k-th candidate of the forest is at least this similar keeps the forest's answer; below, the forest is not dependable.
+DEPENDABLE = 0.9
+
+
+def search(vectors: Blobs | Arrays, asked: Column, scratch: Scratch, k: int = 3) -> DataFrame:
+    """The k most similar others of each asked vector (a condition on id and idx): id, idx, rank, other_id, other_idx, cosine.
+
+    The forest answers queries that have k candidates of cosine DEPENDABLE; in collections whose vectors are mostly unrelated the
+    rest is many, and those are compared with all rows, in blocks of QUERY_BLOCK, by matrix products: a stated query set against
+    everything. Equal cosines are ordered by (id, idx); rows repeated exactly count once; fewer than k others give fewer rows.
+    """
+    rows = scratch.save(vectors.coded().groupBy("space", "id", "tag", "idx").agg(F.first("high").alias("high"), F.first("low").alias("low")).withColumn("key", F.monotonically_increasing_id()))
+    pairs = scratch.save(candidates(rows.select("space", "high", "low", "key"), MOST_DIFFERENT[0.90]))
+    asked_keys = rows.where(asked).select("key", "space")
+    touching = pairs.join(asked_keys.select(F.col("key").alias("key1"), F.lit(1).alias("one")), "key1", "left").join(asked_keys.select(F.col("key").alias("key2"), F.lit(1).alias("two")), "key2", "left").where("one = 1 OR two = 1").select("key1", "key2")
+    near = scratch.save(_with_cosine(scratch.save(touching), rows, vectors, scratch))
+    ways = near.select(F.explode(F.array(F.struct(F.col("key1").alias("key"), F.col("key2").alias("other")), F.struct(F.col("key2").alias("key"), F.col("key1").alias("other")))).alias("w"), "cosine").select("w.*", "cosine").join(asked_keys, "key", "left_semi")
+    named = ways.join(rows.select(F.col("key").alias("other"), F.col("id").alias("other_id"), F.col("idx").alias("other_idx")), "other")
+    best = named.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "other_id", "other_idx"))).where(F.col("rank") <= k)
+    done = best.where((F.col("rank") == k) & (F.col("cosine") >= DEPENDABLE)).select("key")
+    answers = scratch.save(best.join(done, "key", "left_semi").join(rows.select("key", "id", "idx"), "key").select("id", "idx", "rank", "other_id", "other_idx", "cosine"))
+    left = scratch.save(rows.join(asked_keys, ["key", "space"], "left_semi").join(done, "key", "left_anti").select("key", "id", "tag", "idx", "space"))
+    blocks = -(-left.count() // QUERY_BLOCK)
+    numbered = left.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(max(1, blocks))))
+    found = [_scan(vectors, numbered.where(F.col("block") == b).drop("block"), k) for b in range(blocks)]
+    result = answers
+    for part in found:
+        result = result.unionByName(scratch.save(part))
+    return result
+
+
+def _scan(vectors: Blobs | Arrays, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all rows for a block of queries: each batch of rows gives its k best per query, and the best of those stay."""
+    decode = vectors.decoder()
+    asked = vectors.vectors(queries.select("key", "id", "tag", "idx")).join(queries.select("key", "space", F.col("id").alias("q_id"), F.col("idx").alias("q_idx")), "key").select("space", "q_id", "q_idx", "vector").toArrow()  # at most QUERY_BLOCK rows
+    table = decode(asked.column("vector").combine_chunks()) if len(asked) else np.zeros((0, vectors.width))
+    table = (table / np.linalg.norm(table, axis=1, keepdims=True)).astype(np.float32)
+    spaces, q_ids, q_idx = (asked.column(c).to_numpy() for c in ("space", "q_id", "q_idx"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "idx", "other_id", "other_idx", "cosine"]
+        for batch in batches:
+            out: list[list[np.ndarray]] = []
+            raw = decode(batch.column(3))
+            unit = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
+            space, ids, idx = (batch.column(i).to_numpy() for i in range(3))
+            for start in range(0, len(table), 1024):
+                q = slice(start, start + 1024)
+                similar = table[q] @ unit.T
+                similar[(spaces[q, None] != space) | (q_ids[q, None] == ids) & (q_idx[q, None] == idx)] = -2
+                kth = min(k + 2, similar.shape[1])  # float32 may swap near-equal ones: two more are kept
+                top = np.argpartition(-similar, kth - 1, axis=1)[:, :kth]
+                at, column = np.repeat(np.arange(len(similar)), kth), top.ravel()
+                good = similar[at, column] > -2
+                at, column = at[good], column[good]
+                exact = np.einsum("ij,ij->i", table[q][at].astype(float), raw[column]) / np.linalg.norm(raw[column], axis=1)
+                out.append([q_ids[q][at], q_idx[q][at], ids[column], idx[column], exact])
+            if out:
+                columns = [np.concatenate(c) for c in zip(*out)]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.float64())], names=names)
+
+    schema = "id bigint, idx int, other_id bigint, other_idx int, cosine double"
+    best = vectors.rows().mapInArrow(scan, schema).groupBy("id", "idx", "other_id", "other_idx").agg(F.max("cosine").alias("cosine"))
+    rank = F.row_number().over(Window.partitionBy("id", "idx").orderBy(F.desc("cosine"), "other_id", "other_idx"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "idx", "rank", "other_id", "other_idx", "cosine")

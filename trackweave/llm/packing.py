@@ -101,8 +101,8 @@ def pack(sizes: DataFrame, scratch: Scratch, capacity: int = CAPACITY, open_bins
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: containers, tokens, unused tokens and the share of the space that is used."""
+    """One row: containers, tokens, unused tokens and the share of the space that is used (NULL without containers)."""
     bins = packed.groupBy("stream", "container").agg(F.sum("n_tokens").alias("used"))
     total = bins.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"), F.max("used").alias("fullest"))
     space = F.col("containers") * F.lit(capacity)
-    return total.select("containers", "tokens", "fullest", (space - F.col("tokens")).alias("unused"), (F.col("tokens") / space).alias("used_share"))
+    return total.select("containers", "tokens", "fullest", (space - F.col("tokens")).alias("unused"), F.try_divide(F.col("tokens"), space).alias("used_share"))

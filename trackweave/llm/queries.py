@@ -40,6 +40,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def p5_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The 3 most similar others of every vector whose id is divisible by 50."""
+    scratch, asked = Scratch(spark, "search"), F.col("id") % 50 == 0
+    fields = [("point_references.descriptor", neighbours.Arrays(table(spark, sf, "point_references"))), ("descriptors.data", neighbours.Blobs(table(spark, sf, "descriptors")))]
+    found = [neighbours.search(vectors, asked, scratch).withColumn("field", F.lit(name)) for name, vectors in fields]
+    return found[0].unionByName(found[1])
+
+
 def _sizes(spark: SparkSession, sf: str, scratch: Scratch) -> DataFrame:
     return scratch.save(tokens.with_tokens(table(spark, sf, "documents").select("doc_id", "source", "text")))
 
@@ -78,7 +86,7 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
     return content.rates(p8_scores(spark, sf))
 
 
-QUERIES = {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_lift": p3_lift, "p5_found": p5_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_lift": p3_lift, "p5_found": p5_found, "p5_search": p5_search, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 _P1 = """
 WITH RECURSIVE m AS (
