@@ -59,31 +59,18 @@ def depth(q: list[Column], t: list[Column], p: list[Column]) -> Column:
 
 
 def distorted(model: Column, params: Column, u: Column, v: Column) -> tuple[Column, Column]:
+    """The model's coefficients are chosen first, so that u and v, which may be long expressions, stand in one formula only."""
+    coefficient = lambda n: _by_model(model, lambda _, extra: _param(params, extra[n]) if n < len(extra) else F.lit(0.0))
+    k1, k2, p1, p2 = (coefficient(n) for n in range(4))
     r2 = u * u + v * v
-
-    def factor(_, extra):
-        if len(extra) not in (1, 2, 4):
-            return F.lit(0.0)
-        k1 = _param(params, extra[0])
-        return k1 * r2 if len(extra) == 1 else k1 * r2 + _param(params, extra[1]) * r2 * r2
-
-    def tangential(along: Column, first: int, second: int):
-        def value(_, extra):
-            if len(extra) != 4:
-                return F.lit(0.0)
-            return 2 * _param(params, extra[first]) * u * v + _param(params, extra[second]) * (r2 + 2 * along * along)
-
-        return value
-
-    radial = _by_model(model, factor)
-    return u * (1 + radial) + _by_model(model, tangential(u, 2, 3)), v * (1 + radial) + _by_model(model, tangential(v, 3, 2))
+    radial = 1 + r2 * (k1 + k2 * r2)
+    return u * radial + 2 * p1 * u * v + p2 * (r2 + 2 * u * u), v * radial + 2 * p2 * u * v + p1 * (r2 + 2 * v * v)
 
 
 def camera_to_pixel(model: Column, params: Column, u: Column, v: Column) -> tuple[Column, Column]:
+    fx, fy, cx, cy = (_by_model(model, lambda at, _, n=n: _param(params, at[n])) for n in range(4))
     du, dv = distorted(model, params, u, v)
-    x = _by_model(model, lambda at, _: _param(params, at[0]) * du + _param(params, at[2]))
-    y = _by_model(model, lambda at, _: _param(params, at[1]) * dv + _param(params, at[3]))
-    return x, y
+    return fx * du + cx, fy * dv + cy
 
 
 def world_to_pixel(model: Column, params: Column, q: list[Column], t: list[Column], p: list[Column]) -> tuple[Column, Column]:

@@ -33,7 +33,7 @@ class KeypointOptions:
 
 
 def _patch(row) -> Patch:
-    return Patch(np.asarray(row.data, np.float64).reshape(row.h, row.w, row.c), np.array([row.x0, row.y0], float), np.array([row.sx, row.sy], float), float(row.upsampling))
+    return Patch(np.asarray(row.data, np.float64).reshape(int(row.h), int(row.w), int(row.c)), np.array([row.x0, row.y0], float), np.array([row.sx, row.sy], float), float(row.upsampling))
 
 
 def keypoint_rows(nodes: DataFrame, edges: DataFrame, keypoints: DataFrame, patches: DataFrame, images: DataFrame) -> DataFrame:

@@ -144,19 +144,19 @@ def read_model_text(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """
     words = lambda name: spark.read.text(f"{folder}/{name}").where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split(F.trim("value"), r"\s+").alias("w"))
     w = F.col("w")
-    cameras = words("cameras.txt").select(w[0].cast("int").alias("camera_id"), w[1].alias("model"), w[2].cast("int").alias("width"), w[3].cast("int").alias("height"), F.slice(w, F.lit(5), F.size(w) - 4).cast("array<double>").alias("params"))
+    cameras = words("cameras.txt").select(w[0].try_cast("int").alias("camera_id"), w[1].alias("model"), w[2].try_cast("int").alias("width"), w[3].try_cast("int").alias("height"), F.slice(w, F.lit(5), F.size(w) - 4).cast("array<double>").alias("params"))
     numbers = ["qw", "qx", "qy", "qz", "tx", "ty", "tz"]
     lines = spark.read.option("wholetext", "true").text(f"{folder}/images.txt").select(F.posexplode(F.filter(F.split("value", "\n"), lambda v: ~v.startswith("#"))).alias("n", "line"))
     head = lines.where("n % 2 = 0").where(F.trim("line") != "").select("n", F.split(F.trim("line"), r"\s+").alias("w"))
-    images = head.select(w[0].cast("int").alias("image_id"), *[w[k + 1].cast("double").alias(c) for k, c in enumerate(numbers)], w[8].cast("int").alias("camera_id"), w[9].alias("name"))
+    images = head.select(w[0].try_cast("int").alias("image_id"), *[w[k + 1].try_cast("double").alias(c) for k, c in enumerate(numbers)], w[8].try_cast("int").alias("camera_id"), w[9].alias("name"))
     body = lines.where("n % 2 = 1").select((F.col("n") - 1).alias("n"), F.split(F.trim("line"), r"\s+").alias("p"))
-    triples = head.select("n", w[0].cast("int").alias("image_id")).join(body, "n").select("image_id", "p", F.explode(F.when(F.size("p") >= 3, F.sequence(F.lit(0), F.floor(F.size("p") / 3).cast("int") - 1))).alias("kp_id"))
+    triples = head.select("n", w[0].try_cast("int").alias("image_id")).join(body, "n").select("image_id", "p", F.explode(F.when(F.size("p") >= 3, F.sequence(F.lit(0), F.floor(F.size("p") / 3).try_cast("int") - 1))).alias("kp_id"))
     at = lambda k: F.get(F.col("p"), F.col("kp_id") * 3 + k)
-    points2d = triples.select("image_id", "kp_id", at(0).cast("double").alias("x"), at(1).cast("double").alias("y"), F.nullif(at(2).cast("bigint"), F.lit(-1)).alias("point3d_id"))
+    points2d = triples.select("image_id", "kp_id", at(0).try_cast("double").alias("x"), at(1).try_cast("double").alias("y"), F.nullif(at(2).try_cast("bigint"), F.lit(-1)).alias("point3d_id"))
     raw = words("points3D.txt")
-    points3d = raw.select(w[0].cast("bigint").alias("point3d_id"), *[w[k + 1].cast("double").alias(c) for k, c in enumerate("xyz")])
-    tracks = raw.select(w[0].cast("bigint").alias("point3d_id"), w, F.explode(F.when(F.size(w) > 9, F.sequence(F.lit(0), F.floor((F.size(w) - 8) / 2).cast("int") - 1))).alias("track_pos"))
-    tracks = tracks.select("point3d_id", "track_pos", F.get(w, F.col("track_pos") * 2 + 8).cast("int").alias("image_id"), F.get(w, F.col("track_pos") * 2 + 9).cast("int").alias("kp_id"))
+    points3d = raw.select(w[0].try_cast("bigint").alias("point3d_id"), *[w[k + 1].try_cast("double").alias(c) for k, c in enumerate("xyz")])
+    tracks = raw.select(w[0].try_cast("bigint").alias("point3d_id"), w, F.explode(F.when(F.size(w) > 9, F.sequence(F.lit(0), F.floor((F.size(w) - 8) / 2).try_cast("int") - 1))).alias("track_pos"))
+    tracks = tracks.select("point3d_id", "track_pos", F.get(w, F.col("track_pos") * 2 + 8).try_cast("int").alias("image_id"), F.get(w, F.col("track_pos") * 2 + 9).try_cast("int").alias("kp_id"))
     return {"cameras": cameras, "images": images, "points2d": points2d, "points3d": points3d, "tracks": tracks}
 
 
