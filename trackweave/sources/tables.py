@@ -146,7 +146,7 @@ def read_model_text(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     w = F.col("w")
     cameras = words("cameras.txt").select(w[0].try_cast("int").alias("camera_id"), w[1].alias("model"), w[2].try_cast("int").alias("width"), w[3].try_cast("int").alias("height"), F.slice(w, F.lit(5), F.size(w) - 4).cast("array<double>").alias("params"))
     numbers = ["qw", "qx", "qy", "qz", "tx", "ty", "tz"]
-    lines = spark.read.option("wholetext", "true").text(f"{folder}/images.txt").select(F.posexplode(F.filter(F.split("value", "\n"), lambda v: ~v.startswith("#"))).alias("n", "line"))
+    lines = spark.read.text(f"{folder}/images.txt", wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda v: ~v.startswith("#"))).alias("n", "line"))
     head = lines.where("n % 2 = 0").where(F.trim("line") != "").select("n", F.split(F.trim("line"), r"\s+").alias("w"))
     images = head.select(w[0].try_cast("int").alias("image_id"), *[w[k + 1].try_cast("double").alias(c) for k, c in enumerate(numbers)], w[8].try_cast("int").alias("camera_id"), w[9].alias("name"))
     body = lines.where("n % 2 = 1").select((F.col("n") - 1).alias("n"), F.split(F.trim("line"), r"\s+").alias("p"))
