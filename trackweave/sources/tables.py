@@ -91,10 +91,10 @@ def score_matches(matches: DataFrame, descriptors: DataFrame, width: int = 128)
 
 
 def decode_pair_matches(pairs: DataFrame) -> DataFrame:
-    """pair_ord, match_ord, image1, kp1, image2, kp2, score: a row per match of arrays matches0 (-1 or NULL: none) with matching_scores0; ends are swapped back where the pair is stored reversed."""
+    """pair_ord, match_ord, image1, kp1, image2, kp2, score: a row per match of arrays matches0 (-1 or NULL: none) with matching_scores0; ends are swapped back where the pair is stored reversed. Without scores, or where they are fewer, the score is NULL."""
     small, large = ids.pair_images(F.col("pair_id"))
     back = F.coalesce("stored_reversed", F.lit(False))
-    rows = pairs.select("pair_ord", small.alias("small"), large.alias("large"), back.alias("back"), F.posexplode(F.arrays_zip("matches0", "matching_scores0")).alias("i", "m")).where(F.col("m.matches0") >= 0)
+    rows = pairs.select("pair_ord", small.alias("small"), large.alias("large"), back.alias("back"), F.posexplode(F.arrays_zip("matches0", F.coalesce("matching_scores0", F.array().cast("array<float>")).alias("matching_scores0"))).alias("i", "m")).where(F.col("m.matches0") >= 0)
     return rows.select(
         "pair_ord", F.col("i").alias("match_ord"), F.col("small").alias("image1"), F.when(F.col("back"), F.col("m.matches0")).otherwise(F.col("i")).alias("kp1"),
         F.col("large").alias("image2"), F.when(F.col("back"), F.col("i")).otherwise(F.col("m.matches0")).alias("kp2"), F.col("m.matching_scores0").cast("double").alias("score"),
