@@ -161,11 +161,11 @@ def distort(model: str, params: np.ndarray, uv: np.ndarray) -> tuple[np.ndarray,
 
 
 def to_pixels(model: str, params: np.ndarray, uv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pixels of normalised coordinates, and the Jacobian by them."""
+    """Pixels of normalised coordinates, and the Jacobian by them. params: one camera (k,), or one per row (k, n)."""
     fx, fy, cx, cy = (params[i] for i in MODELS[model][0])
     out, jac = distort(model, params, uv)
-    focal = np.array([fx, fy])
-    return out * focal + [cx, cy], jac * focal[None, :, None]
+    focal, centre = np.stack(np.broadcast_arrays(fx, fy), axis=-1), np.stack(np.broadcast_arrays(cx, cy), axis=-1)
+    return out * focal + centre, jac * focal[..., :, None]
 
 
 def undistort(model: str, params: np.ndarray, xy: np.ndarray, iterations: int = 100, tolerance: float = 1e-10) -> np.ndarray:

@@ -189,11 +189,19 @@ def _pose(row, prefix: str = "") -> tuple[Camera, np.ndarray, np.ndarray]:
 def _point_residuals(rows: list, kind: str, sampling: Sampling):
     poses = [_pose(r) for r in rows]
     if kind == "geometric":
-        pixels = [np.array([[r.x, r.y]], float) for r in rows]
+        groups = []
+        for model in sorted({r.model for r in rows}):  # observations by cameras of one model are projected at once
+            own = [k for k, r in enumerate(rows) if r.model == model]
+            params = np.stack([poses[k][0].params for k in own], axis=1)
+            turns, shifts = np.stack([poses[k][1] for k in own]), np.stack([poses[k][2] for k in own])
+            groups.append((model, params, turns, shifts, np.array([[rows[k].x, rows[k].y] for k in own], float)))
 
         def evaluate(x):
-            parts = [res.geometric(*pose, x[None], xy) for pose, xy in zip(poses, pixels)]
-            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1]["point"] for p in parts])
+            parts = []
+            for model, params, turns, shifts, xy in groups:
+                pixels, by_p, _ = geometry.project(model, params, turns, shifts, np.broadcast_to(x, (len(xy), 3)))
+                parts.append((pixels - xy, by_p @ turns))
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
         return evaluate
     patches = [_patch(r) for r in rows]

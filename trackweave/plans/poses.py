@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import geometry
 from trackweave.operators import adjust, evaluation, localize, views
-from trackweave.operators.adjust import BundleSetup, KeypointOptions
+from trackweave.operators.adjust import KeypointOptions
 from trackweave.operators.graph import ba_problem_labels
 from trackweave.operators.sampling import sample_patches
 from trackweave.operators.solver import Options
@@ -120,14 +120,6 @@ def ba_points_geometric(spark, sf):
     return adjust.adjust_points(rows, Options(loss_name="trivial", parameter_tolerance=1e-10)).join(ba_problem_labels(view(spark, sf, "v_points3d")), "point3d_id")
 
 
-def ba_full_geometric(spark, sf):
-    """Poses, cameras and points of the images of one nation, started off the truth: the refined poses."""
-    rows = _truth(spark, sf).where("camera_id = 3").withColumns({"tx": F.col("tx") + 0.01 * (F.col("image_id") % 3), "px": F.col("px") + 0.01})
-    setup = BundleSetup.gauge([r.image_id for r in view(spark, sf, "v_poses").where("camera_id = 3").select("image_id").collect()])
-    poses, _, _, _ = adjust.bundle_adjust(rows, setup, Options(loss_name="trivial", max_iterations=6))
-    return spark.createDataFrame([(int(i), *map(float, q), *map(float, t)) for i, (q, t) in poses.items()], "image_id int, qw double, qx double, qy double, qz double, tx double, ty double, tz double")
-
-
 def localized_queries(spark, sf):
     """Every image taken as a query: its pose found again from its observations."""
     rows = _truth(spark, sf).select(F.col("image_id").cast("string").alias("query"), F.col("point3d_id").cast("int").alias("pos"), F.col("point3d_id").cast("int").alias("kp_id"), "point3d_id", "x", "y", "px", "py", "pz", "model", "params")
@@ -161,7 +153,7 @@ def qka(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     project_points, reprojection_error, pose_errors, unique_inliers, unique_min_error, unique_min_error_two_keys, best_cluster, recall_curve, auc_at_thresholds, pooled_auc, ecdf, scene_means, result_table,
-    error_by_track_length, ba_points_geometric, ba_full_geometric, localized_queries, ka_featuremetric, ka_summary, qka,
+    error_by_track_length, ba_points_geometric, localized_queries, ka_featuremetric, ka_summary, qka,
 )}
 
 _PROJECTED = f"""WITH {ctes("v_cameras", "v_points3d", "v_obs", "v_poses")},
