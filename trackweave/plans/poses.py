@@ -117,7 +117,7 @@ def _truth(spark: SparkSession, sf: str) -> DataFrame:
 def ba_points_geometric(spark, sf):
     """Points moved off by 0.05 come back to where their observations put them."""
     rows = _truth(spark, sf).withColumns({"px": F.col("px") + 0.05, "py": F.col("py") - 0.03, "pz": F.col("pz") + 0.08})
-    return adjust.adjust_points(rows, Options(loss_name="trivial", parameter_tolerance=1e-10)).join(ba_problem_labels(view(spark, sf, "v_points3d")), "point3d_id")
+    return adjust.adjust_points(rows, Options(loss_name="trivial", parameter_tolerance=1e-8, max_iterations=15)).join(ba_problem_labels(view(spark, sf, "v_points3d")), "point3d_id")
 
 
 def localized_queries(spark, sf):
