@@ -10,6 +10,6 @@ from trackweave.runtime import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session(cpus=4, partitions=4, memory="3g")
+    session = build_session(cpus=4, partitions=4, memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     return session
