@@ -82,3 +82,21 @@ def test_search_finds_the_nearest(spark, monkeypatch, dependable):
         total += 3
         hits += len(set(near) & set(got[q].values()))
     assert set(got) == set(range(0, len(x), 50)) and hits >= 0.95 * total
+
+
+@pytest.mark.parametrize("spread", [0.3, 3.0, 9.0])
+def test_a_third_of_the_rows_in_one_dense_region(spark, spread):
+    rng = np.random.default_rng(5)
+    base = rng.integers(40, 200, 128)
+    x = np.concatenate([np.clip(np.rint(base + rng.normal(0, spread, (1000, 128))), 0, 255), planted(rng, 20, 1960)[:2000]]).astype(np.uint8)
+    x = np.unique(x[rng.permutation(len(x))], axis=0)
+    got = neighbours.similar_pairs(neighbours.Blobs(blobs(spark, [(1, len(x), 128, x.tobytes())])), 0.95, neighbours.MOST_DIFFERENT[0.95], Scratch(spark, "t")).collect()
+    unit = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    similar = unit @ unit.T
+    np.fill_diagonal(similar, -2)
+    wanted = set()
+    for a, row in enumerate(similar):
+        wanted |= {tuple(sorted((a, int(b)))) for b in np.lexsort((np.arange(len(row)), -row))[:3] if row[b] >= 0.95}
+    found = {(r.idx1, r.idx2) for r in got}
+    # Cosines that are equal but for rounding may be ordered either way.
+    assert len(found - wanted) <= 0.005 * len(wanted) and len(found & wanted) >= 0.99 * len(wanted)

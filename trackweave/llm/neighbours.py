@@ -25,6 +25,9 @@ MOST_DIFFERENT = {0.90: 34, 0.95: 27}
 CENTRE_SAMPLE = 20_000
 SEED = 20_240_131
 
+#: A vector with so many candidates may have had a walk that ended at the reach: it lies in a dense region and is compared exactly.
+CROWDED = REACH // 2
+
 #: Wanted vectors are broadcast only up to this many (their ids take 40 bytes each); beyond, they meet their sources by a shuffle.
 BROADCAST_WANTED = 1_000_000
 
@@ -211,7 +214,7 @@ def similar_pairs(vectors: Blobs | Arrays, least_cosine: float, most_different:
     near it take the places left. Equal cosines are ordered by (id, idx), copies first. Rows repeated exactly (id, idx, vector) count once.
 
     Cosines of the candidates are computed from the vectors themselves. The forest finds a pair with probability below 1: recall is
-    measured in the tests and stated in the README. Vectors with NULL ids, of another length, all zero, or with NULL, NaN or
+    measured in the tests and stated in the README. Vectors of dense regions, where walks end at the reach, are compared exactly. Vectors with NULL ids, of another length, all zero, or with NULL, NaN or
     infinite entries are no vectors; an empty table gives no rows.
     """
     copy = ["space", "high", "print"]
@@ -221,6 +224,7 @@ def similar_pairs(vectors: Blobs | Arrays, least_cosine: float, most_different:
     firsts = scratch.save(rows.withColumn("place", place).where(F.col("place") <= k + 1))
     heads = firsts.where("place = 1")
     pairs = scratch.save(candidates(heads.select("space", "high", "low", "key"), most_different))
+    pairs = _with_dense_regions(pairs, heads, vectors, least_cosine, k, scratch)
     near = scratch.save(_with_cosine(pairs, heads, vectors, scratch).where(F.col("cosine") >= least_cosine))
     scratch.drop(pairs)
 
@@ -243,6 +247,106 @@ def similar_pairs(vectors: Blobs | Arrays, least_cosine: float, most_different:
     return ordered.groupBy("a", "b").agg(F.max("cosine").alias("cosine")).select(F.col("a.id").alias("id1"), F.col("a.idx").alias("idx1"), F.col("b.id").alias("id2"), F.col("b.idx").alias("idx2"), "cosine")
 
 
+def _with_dense_regions(pairs: DataFrame, heads: DataFrame, vectors: Blobs | Arrays, least_cosine: float, k: int, scratch: Scratch) -> DataFrame:
+    """The candidate pairs, where those among crowded vectors are replaced by each one's k nearest of all heads, found exactly.
+
+    Crowded are vectors with CROWDED candidates or more. They are compared in blocks of near ones with all that can have the least
+    cosine to any of the block, so the work is that of the dense regions alone.
+    """
+    crowded = scratch.save(pairs.select(F.explode(F.array("key1", "key2")).alias("key")).groupBy("key").count().where(F.col("count") >= CROWDED).select("key"))
+    blocks = -(-crowded.count() // QUERY_BLOCK)
+    if not blocks:
+        return pairs
+    wanted = heads.select("key", "id", "tag", "idx")
+    if wanted.count() <= BROADCAST_WANTED:
+        wanted = F.broadcast(wanted)
+    named = scratch.save(vectors.vectors(wanted).join(heads.select("key", "space", "id", "idx", "high", "low"), "key").select("space", "id", "idx", "key", "vector", "high", "low"))
+    queries = scratch.save(named.join(crowded, "key", "left_semi").repartitionByRange(blocks, "space", "high", "low").withColumn("block", F.spark_partition_id()))
+    rest = pairs.join(crowded.withColumnsRenamed({"key": "key1"}).withColumn("one", F.lit(1)), "key1", "left").join(crowded.withColumnsRenamed({"key": "key2"}).withColumn("two", F.lit(1)), "key2", "left").where("one IS NULL OR two IS NULL")
+    every, parts = rest.select("key1", "key2"), []
+    for b in range(blocks):
+        found = _nearest(named, queries.where(F.col("block") == b).orderBy("space", "high", "low"), vectors, k, least_cosine)
+        parts.append(scratch.save(found.select(F.least("key", "other_key").alias("key1"), F.greatest("key", "other_key").alias("key2"))))
+        every = every.unionByName(parts[-1])
+    every = scratch.save(every.distinct())
+    scratch.drop(pairs, crowded, named, queries, *parts)
+    return every
+
+
+#: Queries compared by one matrix product.
+PRODUCT = 256
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, vectors: Blobs | Arrays, k: int, least: float = -1.0) -> DataFrame:
+    """The k nearest of all rows for a block of queries, exactly: id, idx, key, other_id, other_idx, other_key, cosine.
+
+    Rows and queries have (space, id, idx, key, vector). (id, idx, key) is the name of a row, which counts once however often it is
+    repeated, by its most similar vector; a query doesn't meet its own name. Equal cosines are ordered by name. With a least cosine,
+    rows are compared only if their angle to the mean of PRODUCT queries allows it to one of them, so queries should come near ones together.
+    """
+    decode, width = vectors.decoder(), vectors.width
+    asked = queries.select("space", "id", "idx", "key", "vector").toArrow()  # about QUERY_BLOCK rows
+    table = decode(asked.column("vector").combine_chunks()) if len(asked) else np.zeros((0, width))
+    spaces, q_ids, q_idx, q_keys = (asked.column(c).to_numpy() for c in ("space", "id", "idx", "key"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked_size = np.linalg.norm(table, axis=1)
+        asked_unit = (table / asked_size[:, None]).astype(np.float32)
+        starts = range(0, len(table), PRODUCT)
+        means = np.array([asked_unit[s : s + PRODUCT].mean(axis=0) for s in starts]).reshape(-1, width)
+        means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-30)
+        angle = lambda cosine: np.arccos(np.clip(cosine, -1, 1))
+        within = [angle(asked_unit[s : s + PRODUCT] @ m).max() + np.arccos(least) + 2e-3 for s, m in zip(starts, means)]
+        for batch in batches:
+            space, ids, idx, keys = (batch.column(i).to_numpy() for i in range(4))
+            order = np.lexsort((keys, idx, ids, space))
+            space, ids, idx, keys, raw = space[order], ids[order], idx[order], keys[order], decode(batch.column(4))[order]
+            new = np.ones(len(ids), bool)
+            new[1:] = (np.diff(space) != 0) | (np.diff(ids) != 0) | (np.diff(idx) != 0) | (np.diff(keys) != 0)
+            name = np.cumsum(new) - 1
+            size = np.linalg.norm(raw, axis=1)
+            unit = (raw / size[:, None]).astype(np.float32)
+            toward = angle(unit @ means.T) if least > -1 else None
+            out: list[list[np.ndarray]] = []
+            for number, start in enumerate(starts):
+                q = slice(start, start + PRODUCT)
+                rows_in = np.arange(len(ids)) if toward is None else np.nonzero(toward[:, number] <= within[number])[0]
+                if not len(rows_in):
+                    continue
+                similar = asked_unit[q] @ unit[rows_in].T
+                same = (q_ids[q, None] == ids[rows_in]) & (q_idx[q, None] == idx[rows_in]) & (q_keys[q, None] == keys[rows_in])
+                similar[(spaces[q, None] != space[rows_in]) | same] = -2
+                names = name[rows_in]
+                firsts = np.nonzero(np.diff(names, prepend=-1))[0]
+                by_name = similar if len(firsts) == len(names) else np.maximum.reduceat(similar, firsts, axis=1)
+                kth = min(k, by_name.shape[1])
+                floor = np.maximum(np.partition(by_name, -kth, axis=1)[:, -kth], least) - 1e-5  # float32 may swap near-equal ones: all within its error stay
+                at, column = np.nonzero(similar >= np.maximum(floor, -1.5)[:, None])
+                at, column = at + start, rows_in[column]
+                exact = np.concatenate([np.einsum("ij,ij->i", table[at[c : c + 20_000]], raw[column[c : c + 20_000]]) for c in range(0, max(1, len(at)), 20_000)]) / (asked_size[at] * size[column])
+                order = np.lexsort((-exact, name[column], at))
+                at, column, exact = at[order], column[order], exact[order]
+                best = np.ones(len(at), bool)
+                best[1:] = (np.diff(at) != 0) | (np.diff(name[column]) != 0)
+                at, column, exact = at[best], column[best], exact[best]
+                order = np.lexsort((name[column], -exact, at))
+                at, column, exact = at[order], column[order], exact[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                good = (place < k) & (exact >= least - 1e-9)
+                at, column, exact = at[good], column[good], exact[good]
+                out.append([q_ids[at], q_idx[at], q_keys[at], ids[column], idx[column], keys[column], exact])
+            if out:
+                columns = [np.concatenate(c) for c in zip(*out)]
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "idx", "key", "other_id", "other_idx", "other_key", "cosine"])
+
+    asking, other = ["id", "idx", "key"], ["other_id", "other_idx", "other_key"]
+    found = rows.select("space", "id", "idx", "key", "vector").mapInArrow(scan, "id bigint, idx int, key bigint, other_id bigint, other_idx int, other_key bigint, cosine double")
+    best = found.groupBy(*asking, *other).agg(F.max("cosine").alias("cosine"))
+    rank = F.row_number().over(Window.partitionBy(*asking).orderBy(F.desc("cosine"), *other))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def _with_cosine(pairs: DataFrame, heads: DataFrame, vectors: Blobs | Arrays, scratch: Scratch) -> DataFrame:
     """key1, key2, cosine: only the vectors that a candidate needs are read out of their sources and moved."""
     keys = pairs.select(F.explode(F.array("key1", "key2")).alias("key")).distinct()
