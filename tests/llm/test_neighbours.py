@@ -100,3 +100,18 @@ def test_a_third_of_the_rows_in_one_dense_region(spark, spread):
     found = {(r.idx1, r.idx2) for r in got}
     # Cosines that are equal but for rounding may be ordered either way.
     assert len(found - wanted) <= 0.005 * len(wanted) and len(found & wanted) >= 0.99 * len(wanted)
+
+
+def test_search_in_a_dense_region(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(40, 200, 128)
+    x = np.concatenate([np.clip(np.rint(base + rng.normal(0, 9, (1000, 128))), 0, 255), planted(rng, 20, 1960)[:2000]]).astype(np.uint8)
+    x = x[rng.permutation(len(x))]
+    unit = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    got = {}
+    for r in neighbours.search(neighbours.Blobs(blobs(spark, [(i, 1, 128, r.tobytes()) for i, r in enumerate(x)])), neighbours.F.col("id") % 50 == 0, Scratch(spark, "t")).collect():
+        got.setdefault(r.id, {})[r.rank] = r.other_id
+    for q in range(0, len(x), 50):
+        similar = unit @ unit[q]
+        similar[q] = -2
+        assert [got[q][rank] for rank in (1, 2, 3)] == np.lexsort((np.arange(len(x)), -similar))[:3].tolist()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -368,35 +369,22 @@ def _with_cosine(pairs: DataFrame, heads: DataFrame, vectors: Blobs | Arrays, sc
 
 #: Query vectors that one pass over the collection compares at once (10 MB of 128 floats).
 QUERY_BLOCK = 20_000
-#: A query whose k-th candidate of the forest is at least this similar keeps the forest's answer; below, the forest is not dependable.
+#: Once the cosine from which search kept the forest's answer; it has no effect now that all queries are compared exactly.
 DEPENDABLE = 0.9
 
 
 def search(vectors: Blobs | Arrays, asked: Column, scratch: Scratch, k: int = 3) -> DataFrame:
     """The k most similar others of each asked vector (a condition on id and idx): id, idx, rank, other_id, other_idx, cosine.
 
-    The forest answers queries that have k candidates of cosine DEPENDABLE; in collections whose vectors are mostly unrelated the
-    rest is many, and those are compared with all rows, in blocks of QUERY_BLOCK, by matrix products: a stated query set against
-    everything. Equal cosines are ordered by (id, idx); rows repeated exactly count once; fewer than k others give fewer rows.
+    Every query is compared with all rows, in blocks of QUERY_BLOCK, by matrix products: a stated query set against everything. A
+    good candidate of the forest says nothing about nearer ones that its walk did not visit. Equal cosines are ordered by
+    (id, idx); rows repeated exactly count once; fewer than k others give fewer rows.
     """
-    rows = scratch.save(vectors.coded().groupBy("space", "id", "tag", "idx").agg(F.first("high").alias("high"), F.first("low").alias("low")).withColumn("key", F.monotonically_increasing_id()))
-    pairs = scratch.save(candidates(rows.select("space", "high", "low", "key"), MOST_DIFFERENT[0.90]))
-    asked_keys = rows.where(asked).select("key", "space")
-    touching = pairs.join(asked_keys.select(F.col("key").alias("key1"), F.lit(1).alias("one")), "key1", "left").join(asked_keys.select(F.col("key").alias("key2"), F.lit(1).alias("two")), "key2", "left").where("one = 1 OR two = 1").select("key1", "key2")
-    near = scratch.save(_with_cosine(scratch.save(touching), rows, vectors, scratch))
-    ways = near.select(F.explode(F.array(F.struct(F.col("key1").alias("key"), F.col("key2").alias("other")), F.struct(F.col("key2").alias("key"), F.col("key1").alias("other")))).alias("w"), "cosine").select("w.*", "cosine").join(asked_keys, "key", "left_semi")
-    named = ways.join(rows.select(F.col("key").alias("other"), F.col("id").alias("other_id"), F.col("idx").alias("other_idx")), "other")
-    best = named.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "other_id", "other_idx"))).where(F.col("rank") <= k)
-    done = best.where((F.col("rank") == k) & (F.col("cosine") >= DEPENDABLE)).select("key")
-    answers = scratch.save(best.join(done, "key", "left_semi").join(rows.select("key", "id", "idx"), "key").select("id", "idx", "rank", "other_id", "other_idx", "cosine"))
-    left = scratch.save(rows.join(asked_keys, ["key", "space"], "left_semi").join(done, "key", "left_anti").select("key", "id", "tag", "idx", "space"))
-    blocks = -(-left.count() // QUERY_BLOCK)
-    numbered = left.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(max(1, blocks))))
-    found = [_scan(vectors, numbered.where(F.col("block") == b).drop("block"), k) for b in range(blocks)]
-    result = answers
-    for part in found:
-        result = result.unionByName(scratch.save(part))
-    return result
+    queries = scratch.save(vectors.coded().where(asked).select("space", "id", "tag", "idx").distinct().withColumn("key", F.monotonically_increasing_id()))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    numbered = queries.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    found = [scratch.save(_scan(vectors, numbered.where(F.col("block") == b).drop("block"), k)) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def _scan(vectors: Blobs | Arrays, queries: DataFrame, k: int) -> DataFrame:
