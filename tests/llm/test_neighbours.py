@@ -115,3 +115,15 @@ def test_search_in_a_dense_region(spark):
         similar = unit @ unit[q]
         similar[q] = -2
         assert [got[q][rank] for rank in (1, 2, 3)] == np.lexsort((np.arange(len(x)), -similar))[:3].tolist()
+
+
+def test_search_counts_repeated_rows_once_and_keeps_ties(spark):
+    rng = np.random.default_rng(7)
+    one = rng.integers(60, 180, 128)
+    steps = rng.choice([-1, 1], (4, 128))
+    near = [np.clip(one + s * size, 0, 255) for s, size in zip(steps, (2, 4, 6, 8))]
+    lone = rng.integers(1, 255, 128)
+    entries = [(0, one), *[(11, near[0])] * 6, *[(12, near[1])] * 6, (13, near[2]), (14, near[3]), (50, lone), *[(i, near[3]) for i in range(29, 20, -1)]]
+    table = blobs(spark, [(i, 1, 128, x.astype(np.uint8).tobytes()) for i, x in entries]).coalesce(1)
+    got = {(r.id, r.rank): r.other_id for r in neighbours.search(neighbours.Blobs(table), neighbours.F.col("id") % 50 == 0, Scratch(spark, "t"), 5).collect()}
+    assert [got[0, rank] for rank in range(1, 6)] == [11, 12, 13, 14, 21]

@@ -380,44 +380,9 @@ def search(vectors: Blobs | Arrays, asked: Column, scratch: Scratch, k: int = 3)
     good candidate of the forest says nothing about nearer ones that its walk did not visit. Equal cosines are ordered by
     (id, idx); rows repeated exactly count once; fewer than k others give fewer rows.
     """
-    queries = scratch.save(vectors.coded().where(asked).select("space", "id", "tag", "idx").distinct().withColumn("key", F.monotonically_increasing_id()))
+    rows = vectors.rows().withColumn("key", F.lit(0).cast("bigint"))
+    queries = scratch.save(rows.where(asked).distinct())
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    found = [scratch.save(_scan(vectors, numbered.where(F.col("block") == b).drop("block"), k)) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _scan(vectors: Blobs | Arrays, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest of all rows for a block of queries: each batch of rows gives its k best per query, and the best of those stay."""
-    decode = vectors.decoder()
-    asked = vectors.vectors(queries.select("key", "id", "tag", "idx")).join(queries.select("key", "space", F.col("id").alias("q_id"), F.col("idx").alias("q_idx")), "key").select("space", "q_id", "q_idx", "vector").toArrow()  # at most QUERY_BLOCK rows
-    table = decode(asked.column("vector").combine_chunks()) if len(asked) else np.zeros((0, vectors.width))
-    table = (table / np.linalg.norm(table, axis=1, keepdims=True)).astype(np.float32)
-    spaces, q_ids, q_idx = (asked.column(c).to_numpy() for c in ("space", "q_id", "q_idx"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "idx", "other_id", "other_idx", "cosine"]
-        for batch in batches:
-            out: list[list[np.ndarray]] = []
-            raw = decode(batch.column(3))
-            unit = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
-            space, ids, idx = (batch.column(i).to_numpy() for i in range(3))
-            for start in range(0, len(table), 1024):
-                q = slice(start, start + 1024)
-                similar = table[q] @ unit.T
-                similar[(spaces[q, None] != space) | (q_ids[q, None] == ids) & (q_idx[q, None] == idx)] = -2
-                kth = min(k + 2, similar.shape[1])  # float32 may swap near-equal ones: two more are kept
-                top = np.argpartition(-similar, kth - 1, axis=1)[:, :kth]
-                at, column = np.repeat(np.arange(len(similar)), kth), top.ravel()
-                good = similar[at, column] > -2
-                at, column = at[good], column[good]
-                exact = np.einsum("ij,ij->i", table[q][at].astype(float), raw[column]) / np.linalg.norm(raw[column], axis=1)
-                out.append([q_ids[q][at], q_idx[q][at], ids[column], idx[column], exact])
-            if out:
-                columns = [np.concatenate(c) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.float64())], names=names)
-
-    schema = "id bigint, idx int, other_id bigint, other_idx int, cosine double"
-    best = vectors.rows().mapInArrow(scan, schema).groupBy("id", "idx", "other_id", "other_idx").agg(F.max("cosine").alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("id", "idx").orderBy(F.desc("cosine"), "other_id", "other_idx"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "idx", "rank", "other_id", "other_idx", "cosine")
+    numbered = queries.withColumn("block", F.pmod(F.xxhash64("id", "idx"), F.lit(blocks)))
+    found = [scratch.save(_nearest(rows, numbered.where(F.col("block") == b), vectors, k)) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found).select("id", "idx", "rank", "other_id", "other_idx", "cosine")
