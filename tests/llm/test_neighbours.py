@@ -127,3 +127,17 @@ def test_search_counts_repeated_rows_once_and_keeps_ties(spark):
     table = blobs(spark, [(i, 1, 128, x.astype(np.uint8).tobytes()) for i, x in entries]).coalesce(1)
     got = {(r.id, r.rank): r.other_id for r in neighbours.search(neighbours.Blobs(table), neighbours.F.col("id") % 50 == 0, Scratch(spark, "t"), 5).collect()}
     assert [got[0, rank] for rank in range(1, 6)] == [11, 12, 13, 14, 21]
+
+
+def test_recall_with_a_strong_common_direction(spark):
+    rng = np.random.default_rng(8)
+    base = 1.6 + rng.normal(size=(2000, 64))
+    x = np.concatenate([base, base + rng.normal(0, 0.55, base.shape)])
+    rows = [(0, i, v.tolist(), 0, 0, 0) for i, v in enumerate(x)]
+    got = neighbours.similar_pairs(neighbours.Arrays(spark.createDataFrame(rows, ARRAYS).coalesce(1)), 0.95, neighbours.MOST_DIFFERENT[0.95], Scratch(spark, "t")).collect()
+    found = {(r.id1, r.id2) for r in got}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    similar = unit @ unit.T
+    np.fill_diagonal(similar, -2)
+    wanted = {tuple(sorted((a, int(b)))) for a, row in enumerate(similar) for b in np.argsort(-row)[:3] if row[b] >= 0.95}
+    assert len(wanted) > 500 and len(found & wanted) >= 0.95 * len(wanted)

@@ -20,8 +20,8 @@ TREES = 10
 REACH = 32
 #: Shortest common prefix at which the ascent stops, if the reach has not ended it.
 LEAST_PREFIX = 4
-#: Bits of 128 in which the strings of two candidates may differ at most. Expected are 18.4 for cosine 0.90 and 13.0 for 0.95; these are four standard deviations more.
-MOST_DIFFERENT = {0.90: 34, 0.95: 27}
+#: Bits of 128 in which the strings of two candidates may differ; more where the norms of the centred vectors ask for it (most_apart).
+MOST_DIFFERENT = {0.90: 38, 0.95: 32}
 #: Vectors that the centre of the projections is the mean of, and the seed of the projections.
 CENTRE_SAMPLE = 20_000
 SEED = 20_240_131
@@ -32,13 +32,23 @@ CROWDED = REACH // 2
 #: Wanted vectors are broadcast only up to this many (their ids take 40 bytes each); beyond, they meet their sources by a shuffle.
 BROADCAST_WANTED = 1_000_000
 
-CODED = "space bigint, id bigint, tag bigint, idx int, high bigint, low bigint, print bigint"
+CODED = "space bigint, id bigint, tag bigint, idx int, high bigint, low bigint, print bigint, norm float"
 
 
 def _projections(dim: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((dim, BITS)).astype(np.float32)
 
 
+def most_apart(norm: Column, least_cosine: float) -> Column:
+    """Bits in which a centred vector of this norm differs from a longer one of the least cosine: those expected and four standard deviations.
+
+    The centre widens angles: vectors a distance d apart, of norms n or more, are at most 2 asin(d / 2n) apart.
+    """
+    half = (2 - 2 * least_cosine) ** 0.5 / 2
+    share = F.when(norm > half, 2 * F.asin(half / norm) / np.pi).otherwise(1.0)
+    return F.least(F.lit(BITS), F.ceil(BITS * share + 4 * F.sqrt(BITS * share * (1 - share)))).cast("smallint")
+
+
 def hash_strings(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two BIGINT words per row. The vectors are brought to unit length first, so that multiples of a vector agree."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -59,9 +69,11 @@ def _print(rows: np.ndarray) -> np.ndarray:
 
 
 def _coded(space: np.ndarray, ids: np.ndarray, tags: np.ndarray, idx: np.ndarray, vectors: np.ndarray, raw: np.ndarray, centre: np.ndarray) -> pa.RecordBatch:
-    high, low = hash_strings(vectors.astype(np.float32), centre)
-    columns = [space.astype(np.int64), ids.astype(np.int64), tags.astype(np.int64), idx.astype(np.int32), high, low, _print(raw)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["space", "id", "tag", "idx", "high", "low", "print"])
+    vectors = vectors.astype(np.float32)
+    high, low = hash_strings(vectors, centre)
+    norm = np.linalg.norm(vectors / np.linalg.norm(vectors, axis=1, keepdims=True) - centre, axis=1).astype(np.float32)
+    columns = [space.astype(np.int64), ids.astype(np.int64), tags.astype(np.int64), idx.astype(np.int32), high, low, _print(raw), norm]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["space", "id", "tag", "idx", "high", "low", "print", "norm"])
 
 
 class Blobs:
@@ -74,7 +86,7 @@ class Blobs:
 
     def coded(self) -> DataFrame:
         width = self.width
-        sample = [np.frombuffer(r.data, np.uint8).reshape(r.rows, width) for r in self.source.select("rows", "data").limit(400).collect()]
+        sample = [np.frombuffer(r.data, np.uint8).reshape(r.rows, width) for r in _hash_sample(self.source, ["id", "tag"], 400).select("rows", "data").collect()]
         centre = _centre([v[v.any(axis=1)] for v in sample], width)
 
         def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +129,9 @@ class Arrays:
 
     def coded(self) -> DataFrame:
         width = self.width
-        sample = np.array([r.vector for r in self.source.select("vector").limit(CENTRE_SAMPLE // 4).collect()], float).reshape(-1, width)
-        centre = _centre([sample[sample.any(axis=1)]], width)
+        sample = np.array([r.vector for r in _hash_sample(self.source, ["id", "idx", "tag"], CENTRE_SAMPLE // 4).select("vector").collect()], float).reshape(-1, width)
+        sample = sample[sample.any(axis=1)]
+        centre = _centre([sample / np.abs(sample).max(axis=1, keepdims=True)], width)
 
         def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -147,6 +160,13 @@ class Arrays:
         return decode
 
 
+def _hash_sample(source: DataFrame, name: list[str], size: int) -> DataFrame:
+    """About `size` different rows, those of the least hashes of their names: wherever they are stored, each has the same chance."""
+    code = F.xxhash64(F.lit(SEED), *name)
+    least = source.select(code.alias("code")).distinct().orderBy("code").limit(size).agg(F.max("code")).first()[0]
+    return source.where(code <= F.lit(least).cast("bigint")).dropDuplicates(name)
+
+
 def _centre(rows: list[np.ndarray], width: int) -> np.ndarray:
     """The mean of at most CENTRE_SAMPLE different unit vectors: all that is fitted. Copies count once, or a large group of them would become the centre."""
     vectors = np.unique(np.concatenate(rows)[:CENTRE_SAMPLE], axis=0).astype(np.float32) if rows else np.zeros((0, width), np.float32)
@@ -155,7 +175,7 @@ def _centre(rows: list[np.ndarray], width: int) -> np.ndarray:
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).mean(axis=0).astype(np.float32)
 
 
-def _visit(reach: int, most_different: int):
+def _visit(reach: int):
     """Candidate pairs of one range of the sorted arrays: each entry meets the next `reach` entries of its tree while the common prefix holds."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +186,7 @@ def _visit(reach: int, most_different: int):
             if rest is not None:
                 fresh = len(rest[0])
                 now = [np.concatenate(c) for c in zip(rest, now)]
-            tree, high, low, key = now
+            tree, high, low, most, key = now
             high, low = high.view(np.uint64), low.view(np.uint64)
             size, found = len(key), []
             for step in range(1, min(reach, size - 1) + 1):
@@ -175,7 +195,7 @@ def _visit(reach: int, most_different: int):
                 apart = high[a] ^ high[b]
                 near = (tree[a] == tree[b]) & (apart < np.uint64(2 ** (64 - LEAST_PREFIX)))
                 count = np.bitwise_count(apart) + np.bitwise_count(low[a] ^ low[b])
-                at = np.nonzero(near & (count <= most_different))[0] + start
+                at = np.nonzero(near & (count <= np.maximum(most[a], most[b])))[0] + start
                 found.append(np.stack([key[at], key[at + step]], axis=1))
             rest = [c[max(0, size - reach) :] for c in now]
             pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
@@ -194,8 +214,8 @@ def _rotated(high: Column, low: Column, by: int) -> tuple[Column, Column]:
     return turn(high, low), turn(low, high)
 
 
-def candidates(entries: DataFrame, most_different: int, trees: int = TREES, reach: int = REACH) -> DataFrame:
-    """Distinct candidate pairs (key1 < key2) of hash strings (space, high, low, key) of one space.
+def candidates(entries: DataFrame, trees: int = TREES, reach: int = REACH) -> DataFrame:
+    """Distinct candidate pairs (key1 < key2) of hash strings (space, high, low, most, key) of one space, which differ in as many bits as `most` of either at most.
 
     A tree is a sorted array of the strings, rotated by its number; all trees are range-partitioned and sorted at once, so a region
     of the space that holds many vectors is cut into several tasks. An entry's neighbours in the sorted array are its longest
@@ -203,8 +223,8 @@ def candidates(entries: DataFrame, most_different: int, trees: int = TREES, reac
     a task; the other trees, whose borders lie elsewhere, cover that.
     """
     forest = F.array(*[F.struct(F.lit(t).cast("bigint").alias("tree"), *[c.alias(n) for c, n in zip(_rotated(F.col("high"), F.col("low"), t * BITS // trees), ("high", "low"))]) for t in range(trees)])
-    rows = entries.select(F.explode(forest).alias("t"), "space", "key").select((F.col("space") * trees + F.col("t.tree")).alias("tree"), F.col("t.high").alias("high"), F.col("t.low").alias("low"), "key")
-    return rows.repartitionByRange("tree", "high", "low").sortWithinPartitions("tree", "high", "low", "key").mapInArrow(_visit(reach, most_different), "key1 bigint, key2 bigint").distinct()
+    rows = entries.select(F.explode(forest).alias("t"), "space", "most", "key").select((F.col("space") * trees + F.col("t.tree")).alias("tree"), F.col("t.high").alias("high"), F.col("t.low").alias("low"), "most", "key")
+    return rows.repartitionByRange("tree", "high", "low").sortWithinPartitions("tree", "high", "low", "key").mapInArrow(_visit(reach), "key1 bigint, key2 bigint").distinct()
 
 
 def similar_pairs(vectors: Blobs | Arrays, least_cosine: float, most_different: int, scratch: Scratch, k: int = 3) -> DataFrame:
@@ -219,12 +239,12 @@ def similar_pairs(vectors: Blobs | Arrays, least_cosine: float, most_different:
     infinite entries are no vectors; an empty table gives no rows.
     """
     copy = ["space", "high", "print"]
-    once = vectors.coded().groupBy(*copy, "id", "idx", "tag").agg(F.first("low").alias("low"))
+    once = vectors.coded().groupBy(*copy, "id", "idx", "tag").agg(F.first("low").alias("low"), F.greatest(F.lit(most_different).cast("smallint"), most_apart(F.first("norm"), least_cosine)).alias("most"))
     rows = scratch.save(once.withColumn("key", F.monotonically_increasing_id()))
     place = F.row_number().over(Window.partitionBy(*copy).orderBy("id", "idx", "tag"))
     firsts = scratch.save(rows.withColumn("place", place).where(F.col("place") <= k + 1))
     heads = firsts.where("place = 1")
-    pairs = scratch.save(candidates(heads.select("space", "high", "low", "key"), most_different))
+    pairs = scratch.save(candidates(heads.select("space", "high", "low", "most", "key")))
     pairs = _with_dense_regions(pairs, heads, vectors, least_cosine, k, scratch)
     near = scratch.save(_with_cosine(pairs, heads, vectors, scratch).where(F.col("cosine") >= least_cosine))
     scratch.drop(pairs)
