@@ -118,12 +118,21 @@ def reference_observations(spark, sf):
     return _extracted(spark, sf).select("point3d_id", F.explode("observations").alias("o")).select("point3d_id", "o.track_pos", "o.kp_id", (F.round("o.cost", 6) + F.lit(0.0)).alias("cost"))
 
 
-def nearest_reference(spark, sf):
-    """For the first observation of each image, the nearest of the observations of the track that follows its own."""
-    queries = view(spark, sf, "v_desc").where("kp_id % 7 = 0").select(F.col("image_id").cast("string").alias("query"), F.col("kp_id").alias("pos"), ((F.col("track") + 1) % 10).cast("bigint").alias("point3d_id"), F.col("embedding").cast("array<double>").alias("descriptor"))
+def _nearest(spark: SparkSession, sf: str, observations: DataFrame) -> DataFrame:
+    queries = observations.select(F.col("image_id").cast("string").alias("query"), F.col("kp_id").alias("pos"), ((F.col("track") + 1) % 10).cast("bigint").alias("point3d_id"), F.col("embedding").cast("array<double>").alias("descriptor"))
     return references.nearest_references(queries, _extracted(spark, sf)).select("query", "pos", "point3d_id", "src_kp_id")
 
 
+def nearest_reference(spark, sf):
+    """The rows of nearest_reference_all that its SQL has: those of the observations whose kp_id is divisible by 7."""
+    return _nearest(spark, sf, view(spark, sf, "v_desc").where("kp_id % 7 = 0"))
+
+
+def nearest_reference_all(spark, sf):
+    """For every observation, the nearest of the observations of the track that follows its own."""
+    return _nearest(spark, sf, view(spark, sf, "v_desc"))
+
+
 def stored_references(spark, sf):
     """Of each stored reference, the observation of least cost by its parallel lists; repeated rows once."""
     rows = table(spark, sf, "point_references").where(F.size("costs") == F.size("track_list_image_id")).select("level", "point3d_id", "costs", "track_list_image_id", "track_list_point2d_idx").dropDuplicates(["level", "point3d_id"])
@@ -154,7 +163,7 @@ def scored_matches(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     l2_normalize, ncc_normalize, cosine_scores, corner_boxes, scaled_sizes, bilinear_sample, nearest_sample, bicubic_sample, bicubic_nodes_ncc, gradient_field_sample, patch_slice, robust_costs, robust_mean_irls,
-    reference_source, reference_observations, nearest_reference, stored_references, costmap_cost, costmap_gradients, scored_matches,
+    reference_source, reference_observations, nearest_reference, nearest_reference_all, stored_references, costmap_cost, costmap_gradients, scored_matches,
 )}
 
 
