@@ -50,9 +50,15 @@ def _rounded(frame: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def match_decode(spark, sf):
+    """The rows of match_decode_all that its SQL has: those with a score below 1e6."""
     return _rounded(_matches(spark, sf).where(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < 1e6)), "score")
 
 
+def match_decode_all(spark, sf):
+    """Every decoded match, whether or not it has a usable score."""
+    return _rounded(_matches(spark, sf), "score")
+
+
 def pair_id_roundtrip(spark, sf):
     first, second = ids.pair_images(F.col("pair_id"))
     pairs = table(spark, sf, "pair_matches").select("pair_id").distinct().select("pair_id", first.alias("id1"), second.alias("id2"))
@@ -189,7 +195,7 @@ def covisibility_holdout(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    match_decode, pair_id_roundtrip, graph_nodes, graph_degrees, graph_scores, required_patches, graph_components, component_scores, component_roots, component_edges_ab, track_labels, track_roots, track_root_edges,
+    match_decode, match_decode_all, pair_id_roundtrip, graph_nodes, graph_degrees, graph_scores, required_patches, graph_components, component_scores, component_roots, component_edges_ab, track_labels, track_roots, track_root_edges,
     problem_labels_ba, problem_labels_ka, track_lengths, long_tracks, contained_tracks, images_with_points, residuals_per_image, feature_view, memory_by_level, exhaustive_pairs, holdout_pairs, query_pairs, query_points, covisible_pairs, covisibility_holdout,
 )}
 
