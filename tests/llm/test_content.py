@@ -99,3 +99,10 @@ def test_without_labels_all_scores_are_alike(spark):
     labels = spark.createDataFrame([], "doc_id bigint, abusive int, hateful int, sexual int")
     assert {r.probability for r in content.scored(documents, labels, Scratch(spark, "t")).collect()} == {0.5}
     assert content.scored(documents.limit(0), labels, Scratch(spark, "t")).count() == 0
+
+
+def test_adverts_end_with_their_text():
+    texts = [film("Get it at www.example.com"), "Speech without any timing line\nYou idiot", film("You"), "See www.example.com\nand more speech"]
+    together, alone = plain_form(texts), [plain_form([t]) for t in texts]
+    assert together.letters.tolist() == [int(p.letters[0]) for p in alone]
+    assert together.letters[1] > 0 and together.letters[2] > 0 and together.letters[3] > 0

@@ -141,9 +141,11 @@ def plain_form(texts: list[str]) -> Plain:
     dots = np.nonzero(points[2:-2] == 46)[0] + 2
     low = (points >= 97) & (points <= 122)
     dots = dots[low[dots - 1] & low[dots - 2] & low[dots + 1] & low[dots + 2]]
-    cue_of_line = np.cumsum(timing)
-    adverts = np.unique(cue_of_line[np.searchsorted(line_ends, dots)])
-    advert = np.isin(cue_of_line, adverts[adverts > 0])
+    opens = np.zeros(len(line_ends), bool)
+    opens[np.searchsorted(line_ends, np.nonzero(points == END)[0])] = True  # lines before a text's first timing line belong to no cue
+    cue_of_line = np.cumsum(timing | opens)
+    adverts = np.setdiff1d(cue_of_line[np.searchsorted(line_ends, dots)], cue_of_line[opens])
+    advert = np.isin(cue_of_line, adverts)
     drop_line = header | advert
 
     gone = _spans(size, line_starts[drop_line], line_ends[drop_line])
