@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Settings that the plans rely on; a cluster's own settings win where they exist.
@@ -19,9 +20,11 @@ DEFAULTS = {
 }
 
 
-def build_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the bench."""
+def build_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g", folder: str | None = None) -> SparkSession:
+    """A local session for tests, the bench and the command line; folder becomes spark.checkpoint.dir."""
     builder = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", str(partitions)).config("spark.driver.memory", memory)
+    if folder is not None:
+        builder = builder.config("spark.checkpoint.dir", folder)
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -32,9 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor reaches; only where it is unset, one of our own."""
+    """The folder of spark.checkpoint.dir, which every executor reaches.
+
+    Where it is unset, a session whose driver is its only executor (master local[...]) gets a folder of its own; on a cluster that is
+    an error, since executors would write to their own disks and read back other rows.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="trackweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
         _remove_at_exit(spark, folder)
@@ -59,6 +69,13 @@ class Scratch:
         saved._scratch_path = path
         return saved
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Delete all tables of the run. A caller that has written what it wants leaves here; results not yet read are lost."""
+        _delete(self.spark, self.base)
+
     def drop(self, *saved: DataFrame) -> None:
         """Delete tables of this run that no later plan reads."""
         for frame in saved:
@@ -85,16 +102,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def heavy_keys(frame: DataFrame, keys: list[str], share_of_task: float = 0.25) -> DataFrame:
-    """Keys that hold more rows than a fourth of an even task's share, by an exact, map-side combined count.
+#: A key of fewer rows is never heavy.
+LEAST_HEAVY = 10_000
 
-    At most shuffle partitions / share_of_task keys can pass, whatever the data: that bound makes the result fit for a broadcast.
+
+def heavy(counts: DataFrame, total: int, share_of_task: float = 0.25) -> DataFrame:
+    """Rows of `counts` (count, ...) with more than a fourth of an even task's share of `total`.
+
+    At most shuffle partitions / share_of_task can pass, whatever the data: that bound makes the result fit for a broadcast.
     """
-    spark = frame.sparkSession
-    counts = frame.groupBy(*keys).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    least = max(10_000, total * share_of_task / shuffle_partitions(spark))
-    return counts.where(F.col("count") > F.lit(int(least))).select(*keys)
+    least = max(LEAST_HEAVY, total * share_of_task / shuffle_partitions(counts.sparkSession))
+    return counts.where(F.col("count") > F.lit(int(least)))
+
+
+def heavy_keys(frame: DataFrame, keys: list[str], share_of_task: float = 0.25) -> DataFrame:
+    """Keys that hold more rows than a fourth of an even task's share, by an exact, map-side combined count in one pass."""
+    seen = Observation()
+    counts = frame.groupBy(*keys).count().observe(seen, F.sum("count").alias("rows"))
+    large = Scratch(frame.sparkSession, "heavy").save(counts.where(F.col("count") > LEAST_HEAVY))
+    return heavy(large, seen.get["rows"] or 0, share_of_task).select(*keys)
 
 
 def join_nulls(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
