@@ -141,3 +141,37 @@ def test_recall_with_a_strong_common_direction(spark):
     np.fill_diagonal(similar, -2)
     wanted = {tuple(sorted((a, int(b)))) for a, row in enumerate(similar) for b in np.argsort(-row)[:3] if row[b] >= 0.95}
     assert len(wanted) > 500 and len(found & wanted) >= 0.95 * len(wanted)
+
+
+def test_the_candidates_do_not_depend_on_the_partitions(spark):
+    x = planted(np.random.default_rng(9), 80, 1200)
+    table = blobs(spark, [(i, len(x[i : i + 40]), 128, x[i : i + 40].tobytes()) for i in range(0, len(x), 40)])
+    results, before = [], {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for partitions in (4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            scratch = Scratch(spark, "t")
+            entries = scratch.save(neighbours.Blobs(table).coded().select("space", "high", "low", neighbours.F.lit(40).cast("smallint").alias("most"), (neighbours.F.col("id") * 1000 + neighbours.F.col("idx")).alias("key")))
+            results.append({(r.key1, r.key2) for r in neighbours.candidates(entries, scratch).collect()})
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert results[0] == results[1] and len(results[0]) > 200
+
+
+def test_walks_cross_short_ranges():
+    rng = np.random.default_rng(10)
+    size, reach = 300, 8
+    high, low = np.sort(rng.integers(-(2**62), 2**62, size)), rng.integers(-(2**62), 2**62, size)
+    entries = [np.repeat([0, 1], size // 2), high, low, np.full(size, 128, np.int16), np.arange(size), np.zeros(size, np.int32)]
+    whole = {tuple(p) for p in neighbours._met(entries, 0, reach, False).tolist()}
+    cuts = [0, 1, 2, 5, 40, 41, 50, 57, 66, 160, 168, 299, size]
+    inner, ends = set(), []
+    for number, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        part = [c[a:b] for c in entries[:5]] + [np.full(b - a, number, np.int32)]
+        inner |= {tuple(p) for p in neighbours._met(part, 0, reach, False).tolist()}
+        kept = [i for i in range(b - a) if i < reach or i >= b - a - reach]
+        ends.append([c[kept] for c in part])
+    seams = {tuple(p) for p in neighbours._met([np.concatenate(c) for c in zip(*ends)], 0, reach, True).tolist()}
+    assert inner | seams == whole and not inner & seams

@@ -7,19 +7,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.runtime import Scratch
+from trackweave.runtime import Scratch, heavy
 
 #: Bits of a hash string: signs of random projections, held in two BIGINTs.
 BITS = 128
 #: Trees: sorted arrays of the hash strings, each rotated by a further BITS / TREES bits.
 TREES = 10
-#: Places above and below its own that a vector visits in each sorted array, from the longest common prefix upwards.
+#: Candidates that a vector's ascent meets at least, all trees together. Each tree is walked so many places to either side.
 REACH = 32
-#: Shortest common prefix at which the ascent stops, if the reach has not ended it.
-LEAST_PREFIX = 4
 #: Bits of 128 in which the strings of two candidates may differ; more where the norms of the centred vectors ask for it (most_apart).
 MOST_DIFFERENT = {0.90: 38, 0.95: 32}
 #: Vectors that the centre of the projections is the mean of, and the seed of the projections.
@@ -29,8 +28,8 @@ SEED = 20_240_131
 #: A vector with so many candidates may have had a walk that ended at the reach: it lies in a dense region and is compared exactly.
 CROWDED = REACH // 2
 
-#: Wanted vectors are broadcast only up to this many (their ids take 40 bytes each); beyond, they meet their sources by a shuffle.
-BROADCAST_WANTED = 1_000_000
+#: Wanted vectors are broadcast only up to this many (their ids take 40 bytes each, 4 MB); beyond, they meet their sources by a shuffle.
+BROADCAST_WANTED = 100_000
 
 CODED = "space bigint, id bigint, tag bigint, idx int, high bigint, low bigint, print bigint, norm float"
 
@@ -175,32 +174,62 @@ def _centre(rows: list[np.ndarray], width: int) -> np.ndarray:
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).mean(axis=0).astype(np.float32)
 
 
-def _visit(reach: int):
-    """Candidate pairs of one range of the sorted arrays: each entry meets the next `reach` entries of its tree while the common prefix holds."""
+ENTRY = ("tree", "high", "low", "most", "key", "part")
+MET = "key1 bigint, key2 bigint, tree bigint, high bigint, low bigint, most smallint, key bigint, part int"
+
+
+def _met(entries: list[np.ndarray], fresh: int, reach: int, across: bool) -> np.ndarray:
+    """Pairs of keys of sorted entries at most `reach` places apart in one tree, near enough by their strings, the later one new (from `fresh` on)."""
+    tree, high, low, most, key, part = entries
+    high, low = high.view(np.uint64), low.view(np.uint64)
+    size, found = len(key), [np.zeros((0, 2), np.int64)]
+    for step in range(1, min(reach, size - 1) + 1):
+        start = max(0, fresh - step)
+        a, b = slice(start, size - step), slice(start + step, size)
+        near = tree[a] == tree[b]
+        if across:
+            near &= part[a] != part[b]
+        count = np.bitwise_count(high[a] ^ high[b]) + np.bitwise_count(low[a] ^ low[b])
+        at = np.nonzero(near & (count <= np.maximum(most[a], most[b])))[0] + start
+        found.append(np.stack([key[at], key[at + step]], axis=1))
+    pairs = np.concatenate(found)
+    pairs.sort(axis=1)
+    return pairs
+
+
+def _visit(reach: int, across: bool = False):
+    """Walks of one range of the sorted arrays: the pairs met, and the first and last `reach` entries, whose walks go on in other ranges.
+
+    across: the entries are such ends of all ranges in one order, and only pairs of different ranges are wanted. A range of 2 reach
+    entries or more is cut down to so many, so what is left between two ends is as long as before or too long for a walk.
+    """
+
+    def batch_of(pairs: np.ndarray, ends: list[np.ndarray]) -> pa.RecordBatch:
+        missing = [pa.nulls(len(ends[0]), pa.int64())] * 2
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int64(), pa.int32()]
+        columns = [pa.concat_arrays([pa.array(pairs[:, i]), missing[i]]) for i in (0, 1)]
+        columns += [pa.concat_arrays([pa.nulls(len(pairs), t), pa.array(c, t)]) for c, t in zip(ends, types[2:])]
+        return pa.RecordBatch.from_arrays(columns, names=["key1", "key2", *ENTRY])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        own = TaskContext.get().partitionId()
+        rest, seen = None, 0
         for batch in batches:
             now = [c.to_numpy() for c in batch.columns]
+            if not across:
+                now.append(np.full(len(batch), own, np.int32))
+            first = [c[: max(0, reach - seen)] for c in now]
+            seen += len(batch)
             fresh = 0
             if rest is not None:
                 fresh = len(rest[0])
                 now = [np.concatenate(c) for c in zip(rest, now)]
-            tree, high, low, most, key = now
-            high, low = high.view(np.uint64), low.view(np.uint64)
-            size, found = len(key), []
-            for step in range(1, min(reach, size - 1) + 1):
-                start = max(0, fresh - step)  # the later entry of a pair is new
-                a, b = slice(start, size - step), slice(start + step, size)
-                apart = high[a] ^ high[b]
-                near = (tree[a] == tree[b]) & (apart < np.uint64(2 ** (64 - LEAST_PREFIX)))
-                count = np.bitwise_count(apart) + np.bitwise_count(low[a] ^ low[b])
-                at = np.nonzero(near & (count <= np.maximum(most[a], most[b])))[0] + start
-                found.append(np.stack([key[at], key[at + step]], axis=1))
-            rest = [c[max(0, size - reach) :] for c in now]
-            pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-            pairs.sort(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key1", "key2"])
+            pairs = _met(now, fresh, reach, across)
+            rest = [c[max(0, len(c) - reach) :] for c in now]
+            yield batch_of(pairs, [c[:0] for c in first] if across else first)
+        if rest is not None and not across:
+            known = max(0, reach - (seen - len(rest[0])))  # of a short range, entries that were among the first
+            yield batch_of(np.zeros((0, 2), np.int64), [c[known:] for c in rest])
 
     return visit
 
@@ -214,17 +243,26 @@ def _rotated(high: Column, low: Column, by: int) -> tuple[Column, Column]:
     return turn(high, low), turn(low, high)
 
 
-def candidates(entries: DataFrame, trees: int = TREES, reach: int = REACH) -> DataFrame:
+def candidates(entries: DataFrame, scratch: Scratch, trees: int = TREES, reach: int = REACH) -> DataFrame:
     """Distinct candidate pairs (key1 < key2) of hash strings (space, high, low, most, key) of one space, which differ in as many bits as `most` of either at most.
 
     A tree is a sorted array of the strings, rotated by its number; all trees are range-partitioned and sorted at once, so a region
-    of the space that holds many vectors is cut into several tasks. An entry's neighbours in the sorted array are its longest
-    prefix matches; the ascent to shorter common prefixes is the walk away from it, in all trees alike. Walks end at the borders of
-    a task; the other trees, whose borders lie elsewhere, cover that.
+    of the space that holds many vectors is cut into several tasks. A vector descends to its own place, next to which its longest
+    prefix matches lie, however long they are; walking away from it means ascending to shorter common prefixes. The trees ascend in
+    step: a prefix length at which fewer than `reach` candidates are met in all trees together has fewer than that in each, so
+    walks of `reach` places meet all of them, and the candidates of the next length up to that number. They go on to the end of
+    every walk, since what is met costs no more.
+
+    The ends of the ranges, 2 reach entries of each, are walked once more in one task, so that walks cross from range to range and
+    the candidates don't depend on the partitions.
     """
     forest = F.array(*[F.struct(F.lit(t).cast("bigint").alias("tree"), *[c.alias(n) for c, n in zip(_rotated(F.col("high"), F.col("low"), t * BITS // trees), ("high", "low"))]) for t in range(trees)])
     rows = entries.select(F.explode(forest).alias("t"), "space", "most", "key").select((F.col("space") * trees + F.col("t.tree")).alias("tree"), F.col("t.high").alias("high"), F.col("t.low").alias("low"), "most", "key")
-    return rows.repartitionByRange("tree", "high", "low").sortWithinPartitions("tree", "high", "low", "key").mapInArrow(_visit(reach), "key1 bigint, key2 bigint").distinct()
+    order = ["tree", "high", "low"]
+    met = scratch.save(rows.repartitionByRange(*order).sortWithinPartitions(*order, "key").mapInArrow(_visit(reach), MET))
+    ends = met.where(F.col("key").isNotNull()).select(*ENTRY)
+    seams = ends.coalesce(1).sortWithinPartitions(*order, "key").mapInArrow(_visit(reach, across=True), MET)
+    return met.where(F.col("key").isNull()).select("key1", "key2").unionByName(seams.select("key1", "key2")).distinct()
 
 
 def similar_pairs(vectors: Blobs | Arrays, least_cosine: float, most_different: int, scratch: Scratch, k: int = 3) -> DataFrame:
@@ -244,13 +282,15 @@ def similar_pairs(vectors: Blobs | Arrays, least_cosine: float, most_different:
     place = F.row_number().over(Window.partitionBy(*copy).orderBy("id", "idx", "tag"))
     firsts = scratch.save(rows.withColumn("place", place).where(F.col("place") <= k + 1))
     heads = firsts.where("place = 1")
-    pairs = scratch.save(candidates(heads.select("space", "high", "low", "most", "key")))
+    pairs = scratch.save(candidates(heads.select("space", "high", "low", "most", "key"), scratch))
     pairs = _with_dense_regions(pairs, heads, vectors, least_cosine, k, scratch)
     near = scratch.save(_with_cosine(pairs, heads, vectors, scratch).where(F.col("cosine") >= least_cosine))
     scratch.drop(pairs)
 
-    several = firsts.where("place = 2").select(*copy)
-    copies = rows.join(several, copy, "left_semi").join(firsts.select(*copy, F.col("id").alias("id2"), F.col("idx").alias("idx2"), F.col("key").alias("key2"), "place"), copy)
+    several = scratch.save(rows.groupBy(*copy).count().where("count > 1"))
+    hot = F.broadcast(heavy(several, rows.count()).select(*copy))  # a class of so many copies doesn't go to one task: its first k + 1 go to its rows
+    partners = firsts.select(*copy, F.col("id").alias("id2"), F.col("idx").alias("idx2"), F.col("key").alias("key2"), "place")
+    copies = rows.join(hot, copy, "left_anti").join(several, copy, "left_semi").join(partners, copy).unionByName(rows.join(F.broadcast(partners.join(hot, copy, "left_semi")), copy))
     # For a member after the first k + 1, its first k; for one of them, the first k others.
     own_place = firsts.select("key", F.col("place").alias("own"))
     copies = copies.join(own_place, "key", "left").where((F.col("key") != F.col("key2")) & ((F.col("place") <= k) | (F.col("own") <= k)))
