@@ -2,11 +2,15 @@ import random
 
 import numpy as np
 import pytest
+import sentences
+from oracle import TESTDATA
+from sentences import film as sentence_film
 
-from trackweave.llm import content
+from trackweave.llm import content, passages
 from trackweave.llm.boosting import Boosted, Isotonic, cross_scores
+from trackweave.llm.passages import Weights
 from trackweave.llm.textform import fold, plain_form, repaired
-from trackweave.runtime import Scratch
+from trackweave.runtime import Scratch, table
 
 CUE = "{n}\n00:00:{n:02d},000 --> 00:00:{n:02d},900\n{text}\n\n"
 
@@ -41,21 +45,65 @@ def test_misread_encodings():
     assert repaired(twice) == "réveille ça"
 
 
+NO_WEIGHTS = Weights(np.zeros(0, np.int64), np.zeros(0))
+
+
+def patterns(text: str) -> set[str]:
+    _, code, _ = passages.passages(passages.read([text]), NO_WEIGHTS)
+    return {name for bit, name in enumerate(passages.PATTERNS) if (code >> bit & 1).any()}
+
+
 def test_texts_do_not_touch():
-    texts = [film("You"), "", film("idiot"), "no cue at all", film("x" * 5000)]
-    together = content.features_of(plain_form(texts))
-    assert np.allclose(together, np.concatenate([content.features_of(plain_form([t])) for t in texts]))
-    assert content.features_of(plain_form([])).shape == (0, len(content.FEATURES))
+    texts = [film("You"), "", film("idiot"), "no cue at all", film("x" * 5000), film("You idiot. I will kill you!")]
+    doc, code, dense = passages.passages(passages.read(texts), NO_WEIGHTS)
+    for i, text in enumerate(texts):
+        _, own, own_dense = passages.passages(passages.read([text]), NO_WEIGHTS)
+        assert code[doc == i].tolist() == own.tolist() and np.allclose(dense[i], own_dense[0])
+    assert passages.passages(passages.read([]), NO_WEIGHTS)[2].shape == (0, len(passages.DENSE))
+
+
+@pytest.mark.parametrize("text", ["What a sc*mbag", "What a scumbag", "What a sc#mbag", "What a scummmmbag"])
+def test_masked_words_count(text):
+    assert "insult" in patterns(film(text)) and "insult" not in patterns(film("What a bag"))
+
+
+def test_patterns_keep_to_a_sentence():
+    assert "kill_you" in patterns(film("I will kill you")) and "kill_you" not in patterns(film("They kill. You wait."))
+    assert "insult_no" in patterns(film("You were no idiot to wait"))
+    assert not patterns(film("You can see it with the naked eye.")) & {"sex", "insult"}
+
+
+def test_word_groups_are_weighted_by_the_documents_that_hold_them():
+    texts = [film("Look at the stupid pond")] * 20 + [film("Look at the stupid wall")] * 20
+    yes = np.repeat([1.0, 0.0], 20)
+    doc, code = passages.groups_of(passages.read(texts))
+    codes, which = np.unique(code, return_inverse=True)
+    weights = Weights.of_counts(codes, np.bincount(which, yes[doc]), np.bincount(which, 1 - yes[doc]), 20, 20)
+    own = passages.word_weights(passages.read([film("the stupid pond"), film("the stupid wall"), film("the calm wall")]), weights)
+    assert own.max() > 0.8 and own.min() < -0.8 and set(own[-3:]) == {0.0}
+    assert len(Weights.of_counts(codes, np.zeros(len(codes)), np.ones(len(codes)), 0, 40).codes) == 0
+
+
+def test_speech_beside_addresses_and_in_brackets_stays():
+    assert speech(film("Get lost.you idiot")) == fold("get lost you idiot")
+    assert speech(film("(you filthy idiot, go to hell)")) == fold("you filthy idiot go to hell")
+    assert speech(film("(a door slams)")) == ""
+    assert speech(film("You stupid idiot! Visit www.example.com now")) == fold("you stupid idiot")
+    assert speech(film("Naked girls at www.example.com")) == ""
 
 
-def test_masked_word_counts():
-    strong = content.FEATURES.index("n_insult")
-    assert content.features_of(plain_form([film("What a sc*mbag"), film("What a scumbag"), film("What a bag")]))[:, strong].tolist() == [1, 1, 0]
+def test_sentences_that_no_list_holds(spark):
+    """Recall and precision on sentences written for the test, by the model of the rated documents of sf0.1."""
+    tables = [table(spark, f"{TESTDATA}/sf0.1", name) for name in ("documents", "doc_labels")]
+    model, weights = content.fitted(*tables, Scratch(spark, "t"))
 
+    def reported(sentences: dict) -> tuple[int, int]:
+        texts = [sentence_film(lang, s) for lang, group in sentences.items() for s in group]
+        return int((model.probability(*passages.passages(passages.read(texts), weights)) >= content.THRESHOLD).sum()), len(texts)
 
-def test_harmless_turns_cover_their_words():
-    row = content.features_of(plain_form([film("You can see it with the naked eye.")]))[0]
-    assert row[content.FEATURES.index("n_sex_doubtful")] == 0 and row[content.FEATURES.index("covered")] == 1
+    for harsh, calm in ((sentences.UNSEEN, sentences.HARMLESS), (sentences.FRESH, sentences.FRESH_HARMLESS)):
+        (found, cases), (wrong, _) = reported(harsh), reported(calm)
+        assert found >= 0.8 * cases and found >= 0.9 * (found + wrong)
 
 
 def test_boosting_learns_and_calibrates():

@@ -2,171 +2,86 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm import lexicon
-from trackweave.llm.boosting import Boosted, Isotonic, cross_scores
-from trackweave.llm.textform import END, Plain, fold, plain_form
+from trackweave.llm import passages
+from trackweave.llm.boosting import Boosted, Isotonic
+from trackweave.llm.passages import DENSE, MOST_GROUPS, Weights, described
 
 #: Labelled documents that the model is fitted on at most, in the order of a hash of doc_id.
 FIT_DOCUMENTS = 20_000
-#: Characters of text that are brought to plain form at once (a longer document is done alone).
-AT_ONCE = 1_000_000
+#: Parts of the sample; weights and scores of a part come from the others.
+FOLDS = 3
 #: A document is reported if its calibrated probability reaches this.
 THRESHOLD = 0.5
-
-CLASSES = ("insult", "threat", "degrade", "group", "sex", "insult_doubtful", "group_doubtful", "sex_doubtful")
-WORDS = dict(zip(CLASSES, (lexicon.INSULT, lexicon.THREAT, lexicon.DEGRADE, lexicon.GROUP, lexicon.SEX, lexicon.INSULT_DOUBTFUL, lexicon.GROUP_DOUBTFUL, lexicon.SEX_DOUBTFUL)))
-#: Plain characters within which terms count as one passage, within which a pronoun is near, and within which a harmless turn covers a term.
-PASSAGE, NEAR, COVER = 90, 40, 30
-FEATURES = (
-    [f"n_{c}" for c in CLASSES] + [f"density_{c}" for c in CLASSES] + [f"second_{c}" for c in CLASSES]
-    + ["most_in_passage", "most_insult", "most_group", "most_sex", "most_classes", "pronoun_distance", "covered", "doubtful_alone"]
-    + ["upper_share", "exclaim_rate", "star_rate", "odd_letters", "spaced", "drawn_out", "size"]
-)
-
-
-@lru_cache(maxsize=1)
-def _matcher():
-    """Aho-Corasick automaton over the plain forms of all terms (class index, length; the harmless ones last), pronouns, and masked words by length and ends."""
-    import ahocorasick
-
-    automaton, masked = ahocorasick.Automaton(), {}
-    for number, terms in enumerate([*WORDS.values(), lexicon.HARMLESS]):
-        for term in terms:
-            stem = term.endswith("*")
-            plain = fold(term.rstrip("*"))
-            forms = {plain, fold(re.sub(r"(\w)\1", r"\1", term.rstrip("*")))}  # a double letter that is drawn out comes once
-            for form in forms:
-                key = f" {form}" + ("" if stem else " ")
-                found = automaton.get(key, (len(key) - (not stem), ()))
-                automaton.add_word(key, (found[0], tuple(sorted({*found[1], number}))))
-            if number < len(CLASSES):
-                for word in plain.split():
-                    if len(word) >= 4:
-                        masked.setdefault((len(word), word[0], word[-1]), set()).add(word)
-    automaton.make_automaton()
-    pronouns = re.compile(" (?:" + "|".join(sorted({fold(p) for p in lexicon.SECOND_PERSON})) + ")(?= )")
-    return automaton, pronouns, masked
-
-
-_MASKED = re.compile(r"(?<= )[a-z]*\*[a-z*]*(?= )")
-
-
-def _unmasked(text: str, masked: dict) -> str:
-    """Words with masked letters become the listed word of the same length and shown letters; the first by alphabet, if several fit."""
-
-    def word(match: re.Match) -> str:
-        shown = match[0]
-        if len(shown) < 4:
-            return shown
-        if shown[0] == "*" or shown[-1] == "*":
-            keys = [k for k in masked if k[0] == len(shown) and shown[0] in ("*", k[1]) and shown[-1] in ("*", k[2])]
-        else:
-            keys = [(len(shown), shown[0], shown[-1])]
-        hits = [w for k in keys for w in masked.get(k, ()) if all(a in ("*", b) for a, b in zip(shown, w))]
-        return min(hits, default=shown)
-
-    return _MASKED.sub(word, text)
-
-
-def features_of(plain: Plain) -> np.ndarray:
-    """One row of FEATURES per text."""
-    automaton, pronouns, masked = _matcher()
-    text = _unmasked(plain.text, masked) if "*" in plain.text else plain.text
-    n, classes = len(plain.starts) - 1, len(CLASSES)
-    out = np.zeros((n, len(FEATURES)), np.float32)
-    hits: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(n)]
-    starts = plain.starts.tolist()
-    doc = 0
-    for end, (length, kinds) in automaton.iter(text):
-        while end >= starts[doc + 1]:
-            doc += 1
-        hits[doc].append((end - length + 1, end + 1, kinds))
-    sizes = np.maximum(np.diff(plain.starts), 1)
-    for doc, found in enumerate(hits):
-        if found:
-            out[doc, : 3 * classes + 8] = _hit_features(text, found, pronouns, sizes[doc], starts[doc], starts[doc + 1])
-    letters = np.maximum(plain.letters, 1)
-    out[:, 3 * classes + 8 :] = np.stack([plain.upper / letters, plain.exclaims / sizes * 1000, plain.stars / sizes * 1000, np.log1p(plain.odd_letters), plain.spaced, plain.drawn_out, np.log1p(sizes)], axis=1)
-    return out
-
-
-def _hit_features(text: str, found: list, pronouns: re.Pattern, size: int, begin: int, finish: int) -> np.ndarray:
-    classes, harmless = len(CLASSES), len(CLASSES)
-    covers = [(a, b) for a, b, kinds in found if harmless in kinds]
-    kept, covered = [], 0
-    for a, b, kinds in found:
-        own = tuple(k for k in kinds if k != harmless)
-        if not own:
-            continue
-        if any(a < d + 2 and b > c - 2 for c, d in covers):
-            covered += 1
-        else:
-            kept.append((a, b, own))
-    out = np.zeros(3 * classes + 8, np.float32)
-    nearest = NEAR + 1
-    for a, b, own in kept:
-        low, high = max(begin, a - NEAR), min(finish, b + NEAR)
-        around = [0 if a <= m.start() < b else min(abs(a - m.end()), abs(m.start() - b)) for m in pronouns.finditer(text, low, high)]
-        close = min(around, default=NEAR + 1)
-        for k in own:
-            out[k] += 1
-            if close <= NEAR:
-                out[2 * classes + k] += 1
-            if k in (0, 5):
-                nearest = min(nearest, close)
-    out[classes : 2 * classes] = out[:classes] / size * 1000
-    most = [0, 0, 0, 0, 0]
-    alone = 0
-    for i, (a, _, own) in enumerate(kept):
-        terms, kinds = [set(), set(), set(), set()], set()
-        for c, d, other in kept[i:]:
-            if c - a > PASSAGE:
-                break
-            word = text[c:d]
-            terms[0].add(word)
-            for k in other:
-                kinds.add(k)
-                for group, members in ((1, (0, 5)), (2, (3, 6)), (3, (4, 7))):
-                    if k in members:
-                        terms[group].add(word)
-        most = [max(m, len(t)) for m, t in zip(most, [*terms, kinds])]
-        if kinds and min(kinds) >= 5 and len(terms[0]) == 1:
-            alone += 1
-    out[3 * classes :] = [*most, nearest, covered, alone]
-    return out
-
-
-def with_features(documents: DataFrame) -> DataFrame:
-    """All columns but the text, and features ARRAY<FLOAT>; a NULL text counts as empty."""
-    others = [c for c in documents.columns if c != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*others).schema), "features array<float>"])
-    names = [*others, "features"]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, rows = [t or "" for t in batch.column(len(others)).to_pylist()], []
-            start = 0
-            while start < len(texts):
-                stop, chars = start, 0
-                while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= AT_ONCE):
-                    chars += len(texts[stop])
-                    stop += 1
-                rows.append(features_of(plain_form(texts[start:stop])))
-                start = stop
-            table = np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)), np.float32)
-            offsets = pa.array(np.arange(len(table) + 1) * len(FEATURES), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.ListArray.from_arrays(offsets, pa.array(table.ravel()))], names=names)
-
-    return documents.select(*others, "text").mapInArrow(score, schema)
+#: Score of a document without any passage.
+NOTHING = -8.0
+
+
+@dataclass
+class Model:
+    """Boosted trees over passages, trees over documents with their best passages, and the calibration."""
+
+    passage: Boosted
+    document: Boosted
+    calibrate: Isotonic
+
+    def probability(self, doc: np.ndarray, code: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        return self.calibrate(self.document.score(document_features(self.passage, doc, code, dense)))
+
+
+def document_features(model: Boosted, doc: np.ndarray, code: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """Per document: scores of its best and second passage kind, how many are likely, and DENSE."""
+    kinds, which = np.unique(code, return_inverse=True)
+    score = model.score(described(kinds))[which] if len(kinds) else np.zeros(0)
+    order = np.lexsort((-score, doc))
+    place = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
+    best = np.full((len(dense), 2), NOTHING)
+    for rank in (0, 1):
+        best[doc[order][place == rank], rank] = score[order][place == rank]
+    likely = np.bincount(doc, score > 0, len(dense)) if len(doc) else np.zeros(len(dense))
+    return np.concatenate([best, likely[:, None], dense], axis=1)
+
+
+def fit_passages(doc: np.ndarray, code: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 4) -> Boosted:
+    """Trees over passages from ratings of whole documents: of a document rated yes, its best passage by the last model counts as yes; of one rated no, all count as no."""
+    kinds, which = np.unique(code, return_inverse=True)
+    x, base = described(kinds), target.mean() if len(target) else 0.5
+    score = (np.bincount(which, (target * weight)[doc], len(kinds)) + 4 * base) / (np.bincount(which, weight[doc], len(kinds)) + 4)
+    model = Boosted(rounds=60, depth=5, least_bend=0.3).fit(x[:0], np.zeros(0))
+    for _ in range(rounds if len(kinds) else 0):
+        best = np.full(len(target), -np.inf)
+        np.maximum.at(best, doc, score[which])
+        yes = np.bincount(which, (target * weight)[doc] * (score[which] >= best[doc]), len(kinds))
+        total = yes + np.bincount(which, ((1 - target) * weight)[doc], len(kinds))
+        seen = total > 0
+        model = Boosted(rounds=60, depth=5, least_bend=0.3).fit(x[seen], (yes / np.maximum(total, 1e-9))[seen], total[seen])
+        score = model.score(x)
+    return model
+
+
+def fit(doc: np.ndarray, code: np.ndarray, dense: np.ndarray, target: np.ndarray, weight: np.ndarray) -> Model:
+    """The model of documents 0..n-1 whose passages were weighted by the other folds. Calibrated on scores of documents that the trees did not see."""
+    fold = np.arange(len(target)) % FOLDS
+    features = np.zeros((len(target), 3 + dense.shape[1]))
+    for k in range(FOLDS):
+        seen, rows = fold != k, np.nonzero(fold == k)[0]
+        number = np.cumsum(seen) - 1
+        inner = seen[doc] if len(doc) else np.zeros(0, bool)
+        model = fit_passages(number[doc[inner]], code[inner], target[seen], weight[seen])
+        own = np.cumsum(~seen) - 1
+        features[rows] = document_features(model, own[doc[~inner]], code[~inner], dense[rows])
+    trees = lambda: Boosted(rounds=30, depth=3, rate=0.2, least_bend=8.0)
+    scores = np.zeros(len(target))
+    for k in range(FOLDS):
+        scores[fold == k] = trees().fit(features[fold != k], target[fold != k], weight[fold != k]).score(features[fold == k])
+    return Model(fit_passages(doc, code, target, weight), trees().fit(features, target, weight), Isotonic().fit(scores, target, weight))
 
 
 def rated(labels: DataFrame) -> DataFrame:
@@ -176,33 +91,95 @@ def rated(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & any_yes.isNotNull()).groupBy("doc_id").agg(F.avg((any_yes > 0).cast("double")).alias("target"), F.count(F.lit(1)).alias("raters"))
 
 
-def fitted(featured: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS) -> tuple[Boosted, Isotonic]:
-    """Boosted trees on at most `limit` rated documents, calibrated on scores by models that did not see the document.
+def group_counts(sample: DataFrame) -> DataFrame:
+    """gram, yes_k and no_k (documents of fold k, weighted by their target) of word groups in at least LEAST_DOCUMENTS documents; the most telling MOST_GROUPS."""
 
-    Without any rated document, or with all rated alike, the score is the same for all.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, fold, target = [t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            start = 0
+            for reading in passages.readings(texts):
+                doc, code = passages.groups_of(reading)
+                key, which = np.unique(np.stack([code, fold[start + doc]], axis=1), axis=0, return_inverse=True)
+                yes, all_ = np.bincount(which.ravel(), target[start + doc], len(key)), np.bincount(which.ravel(), minlength=len(key))
+                start += reading.documents
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0], pa.int64()), pa.array(key[:, 1], pa.int32()), pa.array(yes, pa.float64()), pa.array(all_ - yes, pa.float64())], names=["gram", "fold", "yes", "no"])
+
+    counted = sample.select("text", "fold", "target").mapInArrow(count, "gram bigint, fold int, yes double, no double")
+    sums = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0.0)).alias(f"{c}_{k}") for k in range(FOLDS) for c in ("yes", "no")]
+    held, yes = F.sum(F.col("yes") + F.col("no")), F.sum("yes")
+    telling = F.abs(F.log((yes + 0.5) / (held + 1.0)) - F.log(F.lit(0.1))) * F.sqrt(held)
+    counts = counted.groupBy("gram").agg(*sums, held.alias("held"), telling.alias("telling")).where(F.col("held") >= passages.LEAST_DOCUMENTS)
+    return counts.orderBy(F.desc("telling"), "gram").limit(MOST_GROUPS).drop("held", "telling")
+
+
+def fitted(documents: DataFrame, labels: DataFrame, scratch, limit: int = FIT_DOCUMENTS) -> tuple[Model, Weights]:
+    """The model and the weights of word groups, from at most `limit` rated documents.
+
+    Weights are learned per fold from the other folds, so the trees see passages weighted as those of new documents will be. Without
+    any rated document, or with all rated alike, the score is the same for all.
     """
-    known = featured.select("doc_id", "features").join(rated(labels), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
-    x = np.array([r.features for r in known], np.float32).reshape(-1, len(FEATURES))
-    target, weight = np.array([r.target for r in known], float), np.sqrt(np.array([r.raters for r in known], float))
-    model = Boosted().fit(x, target, weight)
-    return model, Isotonic().fit(cross_scores(x, target, weight), target, weight)
+    chosen = rated(labels).join(documents.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+    at = {r.doc_id: i for i, r in enumerate(chosen)}
+    target, raters = np.array([r.target for r in chosen], float), np.array([r.raters for r in chosen], float)
+    rows = [(i, k, k % FOLDS, float(target[k])) for i, k in at.items()]
+    names = documents.sparkSession.createDataFrame(rows, "doc_id bigint, place int, fold int, target double")
+    sample = scratch.save(documents.select("doc_id", "text").join(F.broadcast(names), "doc_id"))  # at most `limit` ids are broadcast
+    counts = group_counts(sample).toArrow().to_pydict()
+    gram = np.array(counts["gram"], np.int64)
+    yes, no = (np.array([counts[f"{c}_{k}"] for k in range(FOLDS)], float).reshape(FOLDS, -1) for c in ("yes", "no"))
+    fold = np.arange(len(target)) % FOLDS
+    per_fold = []
+    for k in range(FOLDS):
+        others = [j for j in range(FOLDS) if j != k]
+        per_fold.append(Weights.of_counts(gram, yes[others].sum(axis=0), no[others].sum(axis=0), target[fold != k].sum(), (1 - target[fold != k]).sum()))
+    weights = Weights.of_counts(gram, yes.sum(axis=0), no.sum(axis=0), target.sum(), (1 - target).sum())
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own_fold = batch.column(1).to_numpy()
+            for k in range(FOLDS):
+                part = batch.filter(pa.array(own_fold == k))
+                yield from _described(part.column(0), part.column(2), per_fold[k])
+
+    found = sample.select("place", "fold", "text").mapInArrow(describe, "place int, codes array<bigint>, dense array<float>").collect()
+    dense = np.zeros((len(target), len(DENSE)), np.float32)
+    for r in found:
+        dense[r.place] = r.dense
+    doc = np.repeat([r.place for r in found], [len(r.codes) for r in found]).astype(int) if found else np.zeros(0, int)
+    code = np.array([c for r in found for c in r.codes], np.int64)
+    return fit(doc, code, dense, target, np.sqrt(raters)), weights
+
+
+def _described(names: pa.Array, texts: pa.Array, weights: Weights) -> Iterator[pa.RecordBatch]:
+    start = 0
+    for reading in passages.readings([t or "" for t in texts.to_pylist()]):
+        doc, code, dense = passages.passages(reading, weights)
+        n = reading.documents
+        ends = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
+        codes = pa.ListArray.from_arrays(pa.array(ends), pa.array(code, pa.int64()))
+        rows = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * len(DENSE)).astype(np.int32)), pa.array(dense.ravel(), pa.float32()))
+        yield pa.RecordBatch.from_arrays([names.slice(start, n), codes, rows], names=["place", "codes", "dense"])
+        start += n
 
 
 def scored(documents: DataFrame, labels: DataFrame, scratch) -> DataFrame:
     """doc_id, source, lang, probability of every document. NULL and empty texts are scored like a text without any listed word.
 
-    Features come from one pass over the whole texts and are written (about 160 bytes a document), so that the texts are read once;
-    the model, some tens of kB, goes to the executors with the code.
+    Two passes over the rated sample fit the model; one pass over the whole texts scores every document. The model and the weights of
+    at most MOST_GROUPS word groups (3 MB) go to the executors with the code.
     """
-    featured = scratch.save(with_features(documents.select("doc_id", "source", "lang", "text")))
-    model, calibrate = fitted(featured, labels)
+    model, weights = fitted(documents, labels, scratch)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(calibrate(model.score(x)), pa.float64())], names=["doc_id", "source", "lang", "probability"])
+            start = 0
+            for reading in passages.readings([t or "" for t in batch.column(3).to_pylist()]):
+                chance = model.probability(*passages.passages(reading, weights))
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, reading.documents) for c in batch.columns[:3]), pa.array(chance, pa.float64())], names=["doc_id", "source", "lang", "probability"])
+                start += reading.documents
 
-    return featured.select("doc_id", "source", "lang", "features").mapInArrow(predict, "doc_id bigint, source string, lang string, probability double")
+    return scratch.save(documents.select("doc_id", "source", "lang", "text").mapInArrow(predict, "doc_id bigint, source string, lang string, probability double"))
 
 
 def rates(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

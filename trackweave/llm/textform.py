@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from trackweave.llm.lexicon import DIGIT_LETTERS, LOOKALIKES
+from trackweave.llm.lexicon import ADDRESS_ENDINGS, DIGIT_LETTERS, LOOKALIKES, MEANINGS
 
 SPACE, STAR, END = ord(" "), ord("*"), 3
 #: Longest stage direction in brackets, speaker label before a colon, and mark-up tag, in characters.
@@ -37,7 +37,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
                 plain[ord(form)] = ord(letter)
     for char, letter in DIGIT_LETTERS:
         plain[ord(char)] = ord(letter)
-    plain[ord("*")] = plain[0xFFFD] = STAR
+    for char in "*#%^~":
+        plain[ord(char)] = STAR
+    plain[0xFFFD] = STAR
     plain[END] = END
     return plain, upper
 
@@ -70,12 +72,21 @@ def repaired(text: str) -> str:
     return once if once == text else _MISREAD.sub(_reread, once)
 
 
+#: Marks that end a sentence, if one of the others follows.
+_STOPS, _AFTER_STOP = [ord(c) for c in ".!?\u2026"], [ord(c) for c in ' \n\r\t"\u00bb\u201d<']
+#: A web address: a known beginning, or a name, a dot and a known ending.
+_ADDRESS = re.compile(r"(?:https?://|www\.)\S+|[\w-]{2,}\.(?:" + "|".join(ADDRESS_ENDINGS) + r")(?![\w-])", re.IGNORECASE)
+#: A second person who is called something: the mark of speech beside an address or in brackets.
+_SPOKEN_TO = re.compile(r"\b(?:" + "|".join(re.escape(w) for w in MEANINGS["you"] if len(w) > 1 and "*" not in w) + r")\s+(?:\w+\s+){0,2}?(?:" + "|".join(sorted(re.escape(w.rstrip("*")) for w in MEANINGS["insult"] + MEANINGS["beast"] + MEANINGS["demean"] if len(w) > 3)) + ")", re.IGNORECASE)
+
+
 @dataclass
 class Plain:
-    """Plain texts, one after the other, each begun and ended by a space; starts has one entry more than texts. The counts are per text."""
+    """Plain texts, one after the other, each begun and ended by a space; starts has one entry more than texts, stops are the places where sentences end. The counts are per text."""
 
     text: str
     starts: np.ndarray
+    stops: np.ndarray
     letters: np.ndarray
     upper: np.ndarray
     exclaims: np.ndarray
@@ -107,7 +118,7 @@ def _pairs(points: np.ndarray, opening: int, closing: int, longest: int) -> tupl
 
 
 def plain_form(texts: list[str]) -> Plain:
-    """Speech only: without cue numbers, timing lines, mark-up, stage directions in brackets or between asterisks, speaker labels and cues with web addresses.
+    """Speech only: without cue numbers, timing lines, mark-up, stage directions in brackets or between asterisks, speaker labels and sentences with web addresses.
 
     Letters lose case and accents; look-alike letters of other scripts, digits and signs written for letters become the letter;
     invisible characters go; words broken over lines by a hyphen are joined; letters spaced apart make one word; a letter drawn out
@@ -137,20 +148,30 @@ def plain_form(texts: list[str]) -> Plain:
     number = (digits_in > 0) & (width - digits_in <= 2) & (real_before[line_ends] == real_before[line_starts])
     header = timing | number
 
-    # A web address: letters, a dot, letters, in lower case and without a space; its whole cue is an advert.
-    dots = np.nonzero(points[2:-2] == 46)[0] + 2
-    low = (points >= 97) & (points <= 122)
-    dots = dots[low[dots - 1] & low[dots - 2] & low[dots + 1] & low[dots + 2]]
+    # The sentence with a web address is an advert; so is its whole cue, unless somebody is called names in it.
     opens = np.zeros(len(line_ends), bool)
     opens[np.searchsorted(line_ends, np.nonzero(points == END)[0])] = True  # lines before a text's first timing line belong to no cue
     cue_of_line = np.cumsum(timing | opens)
-    adverts = np.setdiff1d(cue_of_line[np.searchsorted(line_ends, dots)], cue_of_line[opens])
+    addresses = np.array([m.start() for m in _ADDRESS.finditer(joined)], np.int64)
+    adverts = np.setdiff1d(cue_of_line[np.searchsorted(line_ends, addresses)], cue_of_line[opens])
+    begin, finish = line_starts[np.searchsorted(cue_of_line, adverts)], line_ends[np.searchsorted(cue_of_line, adverts, side="right") - 1]
+    adverts = adverts[[not _SPOKEN_TO.search(joined, a, b) for a, b in zip(begin, finish)]] if len(adverts) else adverts
     advert = np.isin(cue_of_line, adverts)
     drop_line = header | advert
 
     gone = _spans(size, line_starts[drop_line], line_ends[drop_line])
+    if len(addresses):
+        stops = np.nonzero(np.isin(points[:-1], _STOPS) & np.isin(points[1:], _AFTER_STOP))[0]
+        stops = np.sort(np.concatenate([[-1, size], stops, line_ends[header], line_starts[header]]))
+        to = np.searchsorted(stops, addresses)
+        begin, finish = stops[to - 1] + 1, stops[to]
+        gone |= _spans(size, begin, np.maximum(finish, begin))
     for opening, closing, longest in (("<", ">", LONGEST_TAG), ("{", "}", LONGEST_TAG), ("[", "]", LONGEST_BRACKET), ("(", ")", LONGEST_BRACKET)):
-        gone |= _spans(size, *_pairs(points, ord(opening), ord(closing), longest))
+        begin, finish = _pairs(points, ord(opening), ord(closing), longest)
+        if opening == "(":  # speech in brackets, to somebody
+            aside = np.array([not _SPOKEN_TO.search(joined, a, b) for a, b in zip(begin, finish)], bool)
+            begin, finish = begin[aside], finish[aside]
+        gone |= _spans(size, begin, finish)
     stars, blank = points == STAR, (points == 32) | newline  # *a dog barks*
     before, after = np.concatenate([[True], blank[:-1]]), np.concatenate([blank[1:], [True]])
     marks = np.where(stars & before & ~after, 1, np.where(stars & after & ~before, 2, 0))
@@ -168,13 +189,13 @@ def plain_form(texts: list[str]) -> Plain:
     upper_count, letter_count, exclaims = count(speech & is_upper[points]), count(speech & real), count(speech & (points == 33))
     odd = count(speech & letter & (points > 0x24F))
     keep = speech & (codes != 0)
-    codes, hyphen = codes[keep], (points[keep] == 45) | (points[keep] == 0x2010)
-
-    codes = codes[~_broken(codes, hyphen)]
+    codes, hyphen, place = codes[keep], (points[keep] == 45) | (points[keep] == 0x2010), np.nonzero(keep)[0]
+    whole = ~_broken(codes, hyphen)
+    codes, place = codes[whole], place[whole]
     # Runs of spaces become one; letters three times and more become one.
     first = np.ones(len(codes), bool)
     first[1:] = (codes[1:] != SPACE) | (codes[:-1] != SPACE)
-    codes = codes[first]
+    codes, place = codes[first], place[first]
     same = np.zeros(len(codes), bool)
     same[1:] = (codes[1:] == codes[:-1]) & (codes[1:] != STAR)
     double = same.copy()
@@ -182,14 +203,15 @@ def plain_form(texts: list[str]) -> Plain:
     run = double.copy()  # in a run of three and more, drop all but its first
     run[:-1] |= double[1:] & same[:-1]
     drawn = np.add.reduceat(double, np.nonzero(codes == END)[0]) if len(texts) else np.zeros(0, int)
-    codes = codes[~run]
+    codes, place = codes[~run], place[~run]
     codes[codes == ord("l")] = ord("i")  # l, I, 1 and | look alike
-    codes, spaced = _joined(codes, len(texts))
+    codes, place, spaced = _joined(codes, place, len(texts))
 
     ends = np.nonzero(codes == END)[0]
     stars = np.add.reduceat(codes == STAR, ends) if len(texts) else np.zeros(0, int)
     codes[ends] = SPACE
-    return Plain(codes.tobytes().decode("latin-1"), np.concatenate([ends, [len(codes)]]), letter_count, upper_count, exclaims, stars, odd, spaced, drawn)
+    stops = np.nonzero((np.isin(points[:-1], _STOPS) & np.isin(points[1:], _AFTER_STOP)) | (points[:-1] == END))[0]
+    return Plain(codes.tobytes().decode("latin-1"), np.concatenate([ends, [len(codes)]]), np.searchsorted(place, stops), letter_count, upper_count, exclaims, stars, odd, spaced, drawn)
 
 
 def _broken(codes: np.ndarray, hyphen: np.ndarray) -> np.ndarray:
@@ -205,8 +227,8 @@ def _broken(codes: np.ndarray, hyphen: np.ndarray) -> np.ndarray:
     return broken
 
 
-def _joined(codes: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Four and more single letters with a space between them are one word."""
+def _joined(codes: np.ndarray, place: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Three and more single letters with a space between them are one word."""
     alone = np.zeros(len(codes), bool)
     inner = (codes >= 97) & (codes <= 122) | (codes == STAR)
     if len(codes) > 2:
@@ -218,9 +240,9 @@ def _joined(codes: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
         new = np.concatenate([[True], np.diff(at) != 2])
         runs = np.nonzero(new)[0]
         lengths = np.diff(np.concatenate([runs, [len(at)]]))
-        long = np.repeat(lengths >= 4, lengths)
+        long = np.repeat(lengths >= 3, lengths)
         inside = long & ~new
         drop[at[inside] - 1] = True
-        found = at[runs[lengths >= 4]]
+        found = at[runs[lengths >= 3]]
     doc = np.searchsorted(np.nonzero(codes == END)[0], found, side="right") - 1
-    return codes[~drop], np.bincount(doc, minlength=texts)[:texts] if texts else np.zeros(0, int)
+    return codes[~drop], place[~drop], np.bincount(doc, minlength=texts)[:texts] if texts else np.zeros(0, int)
