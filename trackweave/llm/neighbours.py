@@ -28,8 +28,10 @@ SEED = 20_240_131
 #: A vector with so many candidates may have had a walk that ended at the reach: it lies in a dense region and is compared exactly.
 CROWDED = REACH // 2
 
-#: Wanted vectors are broadcast only up to this many (their ids take 40 bytes each, 4 MB); beyond, they meet their sources by a shuffle.
-BROADCAST_WANTED = 100_000
+def grown(frame: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data: it meets the other by a shuffle at every size, never by a broadcast."""
+    return frame.hint("merge")
+
 
 CODED = "space bigint, id bigint, tag bigint, idx int, high bigint, low bigint, print bigint, norm float"
 
@@ -103,18 +105,22 @@ class Blobs:
 
     def vectors(self, wanted: DataFrame) -> DataFrame:
         """key and vector of the wanted (key, id, tag, idx)."""
-        return self.source.join(wanted, ["id", "tag"]).select("key", F.substring("data", F.col("idx") * self.width + 1, F.lit(self.width)).alias("vector")).dropDuplicates(["key"])
+        return self.source.join(grown(wanted), ["id", "tag"]).select("key", F.substring("data", F.col("idx") * self.width + 1, F.lit(self.width)).alias("vector")).dropDuplicates(["key"])
 
     def rows(self) -> DataFrame:
-        """space, id, idx, vector of every usable row vector."""
-        rows = self.source.select("id", "data", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("idx"))
+        """space, id, idx, key (a hash of the blob), vector of every usable row vector."""
+        rows = self.source.select("id", "tag", "data", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("idx"))
         vector = F.substring("data", F.col("idx") * self.width + 1, F.lit(self.width))
-        return rows.select(F.lit(0).cast("bigint").alias("space"), "id", "idx", vector.alias("vector")).where(F.col("vector") != F.lit(bytes(self.width)))
+        return rows.select(F.lit(0).cast("bigint").alias("space"), "id", "idx", F.col("tag").alias("key"), vector.alias("vector")).where(F.col("vector") != F.lit(bytes(self.width)))
 
     def decoder(self) -> Callable[[pa.Array], np.ndarray]:
         width = self.width
         return lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width).astype(np.float64)
 
+    def prints(self) -> Callable[[pa.Array], np.ndarray]:
+        width = self.width
+        return lambda column: _print(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width))
+
 
 class Arrays:
     """Vectors in a column of arrays of doubles: id = point3d_id, idx = level, a space per level. Usable: `width` finite entries, not all zero."""
@@ -144,10 +150,10 @@ class Arrays:
         return self.source.select("id", "tag", "idx", "vector").mapInArrow(code, CODED)
 
     def vectors(self, wanted: DataFrame) -> DataFrame:
-        return self.source.join(wanted, ["id", "tag", "idx"]).select("key", "vector").dropDuplicates(["key"])
+        return self.source.join(grown(wanted), ["id", "tag", "idx"]).select("key", "vector").dropDuplicates(["key"])
 
     def rows(self) -> DataFrame:
-        return self.source.select((1 + F.col("idx").cast("bigint")).alias("space"), "id", F.col("idx").cast("int").alias("idx"), "vector").where(F.exists("vector", lambda v: v != 0))
+        return self.source.select((1 + F.col("idx").cast("bigint")).alias("space"), "id", F.col("idx").cast("int").alias("idx"), F.col("tag").alias("key"), "vector").where(F.exists("vector", lambda v: v != 0))
 
     def decoder(self) -> Callable[[pa.Array], np.ndarray]:
         width = self.width
@@ -158,6 +164,10 @@ class Arrays:
 
         return decode
 
+    def prints(self) -> Callable[[pa.Array], np.ndarray]:
+        width = self.width
+        return lambda column: _print(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) + 0.0)
+
 
 def _hash_sample(source: DataFrame, name: list[str], size: int) -> DataFrame:
     """About `size` different rows, those of the least hashes of their names: wherever they are stored, each has the same chance."""
@@ -262,7 +272,9 @@ def candidates(entries: DataFrame, scratch: Scratch, trees: int = TREES, reach:
     met = scratch.save(rows.repartitionByRange(*order).sortWithinPartitions(*order, "key").mapInArrow(_visit(reach), MET))
     ends = met.where(F.col("key").isNotNull()).select(*ENTRY)
     seams = ends.coalesce(1).sortWithinPartitions(*order, "key").mapInArrow(_visit(reach, across=True), MET)
-    return met.where(F.col("key").isNull()).select("key1", "key2").unionByName(seams.select("key1", "key2")).distinct()
+    pairs = scratch.save(met.where(F.col("key").isNull()).select("key1", "key2").unionByName(seams.select("key1", "key2")).distinct())
+    scratch.drop(met)
+    return pairs
 
 
 def similar_pairs(vectors: Blobs | Arrays, least_cosine: float, most_different: int, scratch: Scratch, k: int = 3) -> DataFrame:
@@ -279,29 +291,36 @@ def similar_pairs(vectors: Blobs | Arrays, least_cosine: float, most_different:
     copy = ["space", "high", "print"]
     once = vectors.coded().groupBy(*copy, "id", "idx", "tag").agg(F.first("low").alias("low"), F.greatest(F.lit(most_different).cast("smallint"), most_apart(F.first("norm"), least_cosine)).alias("most"))
     rows = scratch.save(once.withColumn("key", F.monotonically_increasing_id()))
+    first = F.min(F.struct("id", "idx", "tag", "low", "most", "key")).alias("first")
+    heads = scratch.save(rows.groupBy(*copy).agg(F.count(F.lit(1)).alias("count"), first).select(*copy, "count", "first.*"))
+
+    several = heads.where("count > 1").select(*copy, "count")
+    hot = F.broadcast(heavy(several, rows.count()).select(*copy))  # a class of so many copies doesn't go to one task: its first k + 1 go to its rows
+    some = rows.join(hot, copy, "left_anti").join(grown(several.select(*copy)), copy, "left_semi").withColumn("hot", F.lit(False))
+    multiple = scratch.save(some.unionByName(rows.join(hot, copy, "left_semi").withColumn("hot", F.lit(True))))
     place = F.row_number().over(Window.partitionBy(*copy).orderBy("id", "idx", "tag"))
-    firsts = scratch.save(rows.withColumn("place", place).where(F.col("place") <= k + 1))
-    heads = firsts.where("place = 1")
-    pairs = scratch.save(candidates(heads.select("space", "high", "low", "most", "key"), scratch))
-    pairs = _with_dense_regions(pairs, heads, vectors, least_cosine, k, scratch)
+    firsts = scratch.save(multiple.withColumn("place", place).where(F.col("place") <= k + 1))
+    scratch.drop(rows)
+
+    pairs = _with_dense_regions(candidates(heads.select("space", "high", "low", "most", "key"), scratch), heads, vectors, least_cosine, k, scratch)
     near = scratch.save(_with_cosine(pairs, heads, vectors, scratch).where(F.col("cosine") >= least_cosine))
     scratch.drop(pairs)
 
-    several = scratch.save(rows.groupBy(*copy).count().where("count > 1"))
-    hot = F.broadcast(heavy(several, rows.count()).select(*copy))  # a class of so many copies doesn't go to one task: its first k + 1 go to its rows
     partners = firsts.select(*copy, F.col("id").alias("id2"), F.col("idx").alias("idx2"), F.col("key").alias("key2"), "place")
-    copies = rows.join(hot, copy, "left_anti").join(several, copy, "left_semi").join(partners, copy).unionByName(rows.join(F.broadcast(partners.join(hot, copy, "left_semi")), copy))
+    copies = multiple.where("NOT hot").join(grown(partners), copy).unionByName(multiple.where("hot").join(F.broadcast(partners.join(hot, copy, "left_semi")), copy))
     # For a member after the first k + 1, its first k; for one of them, the first k others.
     own_place = firsts.select("key", F.col("place").alias("own"))
-    copies = copies.join(own_place, "key", "left").where((F.col("key") != F.col("key2")) & ((F.col("place") <= k) | (F.col("own") <= k)))
+    copies = copies.join(grown(own_place), "key", "left").where((F.col("key") != F.col("key2")) & ((F.col("place") <= k) | (F.col("own") <= k)))
     same = copies.select("id", "idx", "id2", "idx2", F.lit(1.0).alias("cosine"))
 
-    sizes = firsts.groupBy(*copy).agg(F.max("place").alias("members"), F.min_by("key", "place").alias("head"))
-    members = firsts.join(sizes, copy).select("head", "id", "idx", "place", "members")
     ways = near.select(F.explode(F.array(F.struct(F.col("key1").alias("head"), F.col("key2").alias("other")), F.struct(F.col("key2").alias("head"), F.col("key1").alias("other")))).alias("w"), "cosine").select("w.*", "cosine")
+    met = heads.join(grown(ways.select(F.col("head").alias("key")).distinct()), "key", "left_semi")  # heads near another; few
+    alone = met.where("count = 1").select(F.col("key").alias("head"), "id", "idx", F.lit(1).alias("place"), F.lit(1).cast("bigint").alias("members"))
+    together = firsts.join(grown(met.where("count > 1").select(*copy, "count", F.col("key").alias("head"))), copy).select("head", "id", "idx", "place", F.col("count").alias("members"))
+    members = scratch.save(alone.unionByName(together))
     others = members.where(F.col("place") <= k).select(F.col("head").alias("other"), F.col("id").alias("id2"), F.col("idx").alias("idx2"))
-    ranked = ways.join(others, "other").withColumn("rank", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("cosine"), "id2", "idx2"))).where(F.col("rank") <= k)
-    nearby = ranked.join(members, "head").where(F.col("rank") <= k + 1 - F.col("members")).select("id", "idx", "id2", "idx2", "cosine")
+    ranked = ways.join(grown(others), "other").withColumn("rank", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("cosine"), "id2", "idx2"))).where(F.col("rank") <= k)
+    nearby = ranked.join(grown(members), "head").where(F.col("rank") <= k + 1 - F.col("members")).select("id", "idx", "id2", "idx2", "cosine")
 
     first, second = F.struct("id", "idx"), F.struct(F.col("id2").alias("id"), F.col("idx2").alias("idx"))
     ordered = same.unionByName(nearby).select(F.least(first, second).alias("a"), F.greatest(first, second).alias("b"), "cosine").where("a != b")
@@ -318,19 +337,20 @@ def _with_dense_regions(pairs: DataFrame, heads: DataFrame, vectors: Blobs | Arr
     blocks = -(-crowded.count() // QUERY_BLOCK)
     if not blocks:
         return pairs
-    wanted = heads.select("key", "id", "tag", "idx")
-    if wanted.count() <= BROADCAST_WANTED:
-        wanted = F.broadcast(wanted)
-    named = scratch.save(vectors.vectors(wanted).join(heads.select("key", "space", "id", "idx", "high", "low"), "key").select("space", "id", "idx", "key", "vector", "high", "low"))
-    queries = scratch.save(named.join(crowded, "key", "left_semi").repartitionByRange(blocks, "space", "high", "low").withColumn("block", F.spark_partition_id()))
-    rest = pairs.join(crowded.withColumnsRenamed({"key": "key1"}).withColumn("one", F.lit(1)), "key1", "left").join(crowded.withColumnsRenamed({"key": "key2"}).withColumn("two", F.lit(1)), "key2", "left").where("one IS NULL OR two IS NULL")
+    asking = heads.join(grown(crowded), "key", "left_semi")
+    vector = vectors.vectors(asking.select("key", "id", "tag", "idx"))
+    queries = scratch.save(asking.join(grown(vector), "key").withColumns({"head": F.col("key"), "key": F.col("tag")}).repartitionByRange(blocks, "space", "high", "low").withColumn("block", F.spark_partition_id()))
+    named = vectors.rows()
+    rest = pairs.join(grown(crowded.withColumnsRenamed({"key": "key1"}).withColumn("one", F.lit(1))), "key1", "left").join(grown(crowded.withColumnsRenamed({"key": "key2"}).withColumn("two", F.lit(1))), "key2", "left").where("one IS NULL OR two IS NULL")
     every, parts = rest.select("key1", "key2"), []
     for b in range(blocks):
-        found = _nearest(named, queries.where(F.col("block") == b).orderBy("space", "high", "low"), vectors, k, least_cosine)
-        parts.append(scratch.save(found.select(F.least("key", "other_key").alias("key1"), F.greatest("key", "other_key").alias("key2"))))
+        block = queries.where(F.col("block") == b)
+        found = _nearest(named, block.orderBy("space", "high", "low"), vectors, k, least_cosine, copies_once=True)
+        found = found.join(block.select("id", "idx", "key", "head"), ["id", "idx", "key"]).join(heads.select(F.col("id").alias("other_id"), F.col("idx").alias("other_idx"), F.col("tag").alias("other_key"), F.col("key").alias("other")), ["other_id", "other_idx", "other_key"])
+        parts.append(scratch.save(found.select(F.least("head", "other").alias("key1"), F.greatest("head", "other").alias("key2"))))
         every = every.unionByName(parts[-1])
     every = scratch.save(every.distinct())
-    scratch.drop(pairs, crowded, named, queries, *parts)
+    scratch.drop(pairs, crowded, queries, *parts)
     return every
 
 
@@ -338,14 +358,15 @@ def _with_dense_regions(pairs: DataFrame, heads: DataFrame, vectors: Blobs | Arr
 PRODUCT = 256
 
 
-def _nearest(rows: DataFrame, queries: DataFrame, vectors: Blobs | Arrays, k: int, least: float = -1.0) -> DataFrame:
+def _nearest(rows: DataFrame, queries: DataFrame, vectors: Blobs | Arrays, k: int, least: float = -1.0, copies_once: bool = False) -> DataFrame:
     """The k nearest of all rows for a block of queries, exactly: id, idx, key, other_id, other_idx, other_key, cosine.
 
     Rows and queries have (space, id, idx, key, vector). (id, idx, key) is the name of a row, which counts once however often it is
     repeated, by its most similar vector; a query doesn't meet its own name. Equal cosines are ordered by name. With a least cosine,
     rows are compared only if their angle to the mean of PRODUCT queries allows it to one of them, so queries should come near ones together.
+    copies_once: exact copies count once, under their first name, and a query doesn't meet its copies.
     """
-    decode, width = vectors.decoder(), vectors.width
+    decode, prints, width = vectors.decoder(), vectors.prints(), vectors.width
     asked = queries.select("space", "id", "idx", "key", "vector").toArrow()  # about QUERY_BLOCK rows
     table = decode(asked.column("vector").combine_chunks()) if len(asked) else np.zeros((0, width))
     spaces, q_ids, q_idx, q_keys = (asked.column(c).to_numpy() for c in ("space", "id", "idx", "key"))
@@ -353,6 +374,7 @@ def _nearest(rows: DataFrame, queries: DataFrame, vectors: Blobs | Arrays, k: in
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked_size = np.linalg.norm(table, axis=1)
         asked_unit = (table / asked_size[:, None]).astype(np.float32)
+        asked_print = prints(asked.column("vector").combine_chunks()) if copies_once and len(table) else None
         starts = range(0, len(table), PRODUCT)
         means = np.array([asked_unit[s : s + PRODUCT].mean(axis=0) for s in starts]).reshape(-1, width)
         means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-30)
@@ -362,6 +384,12 @@ def _nearest(rows: DataFrame, queries: DataFrame, vectors: Blobs | Arrays, k: in
             space, ids, idx, keys = (batch.column(i).to_numpy() for i in range(4))
             order = np.lexsort((keys, idx, ids, space))
             space, ids, idx, keys, raw = space[order], ids[order], idx[order], keys[order], decode(batch.column(4))[order]
+            if copies_once:
+                mark = prints(batch.column(4))[order]
+                kept = np.sort(np.unique(np.stack([space, mark], axis=1), axis=0, return_index=True)[1])  # the first by name
+                space, ids, idx, keys, raw, mark = space[kept], ids[kept], idx[kept], keys[kept], raw[kept], mark[kept]
+            else:
+                mark = np.zeros(len(ids), np.int64)
             new = np.ones(len(ids), bool)
             new[1:] = (np.diff(space) != 0) | (np.diff(ids) != 0) | (np.diff(idx) != 0) | (np.diff(keys) != 0)
             name = np.cumsum(new) - 1
@@ -375,7 +403,7 @@ def _nearest(rows: DataFrame, queries: DataFrame, vectors: Blobs | Arrays, k: in
                 if not len(rows_in):
                     continue
                 similar = asked_unit[q] @ unit[rows_in].T
-                same = (q_ids[q, None] == ids[rows_in]) & (q_idx[q, None] == idx[rows_in]) & (q_keys[q, None] == keys[rows_in])
+                same = asked_print[q, None] == mark[rows_in] if copies_once else (q_ids[q, None] == ids[rows_in]) & (q_idx[q, None] == idx[rows_in]) & (q_keys[q, None] == keys[rows_in])
                 similar[(spaces[q, None] != space[rows_in]) | same] = -2
                 names = name[rows_in]
                 firsts = np.nonzero(np.diff(names, prepend=-1))[0]
@@ -395,15 +423,19 @@ def _nearest(rows: DataFrame, queries: DataFrame, vectors: Blobs | Arrays, k: in
                 place = np.arange(len(at)) - np.searchsorted(at, at)
                 good = (place < k) & (exact >= least - 1e-9)
                 at, column, exact = at[good], column[good], exact[good]
-                out.append([q_ids[at], q_idx[at], q_keys[at], ids[column], idx[column], keys[column], exact])
+                out.append([q_ids[at], q_idx[at], q_keys[at], ids[column], idx[column], keys[column], mark[column], exact])
             if out:
                 columns = [np.concatenate(c) for c in zip(*out)]
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "idx", "key", "other_id", "other_idx", "other_key", "cosine"])
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "idx", "key", "other_id", "other_idx", "other_key", "mark", "cosine"])
 
     asking, other = ["id", "idx", "key"], ["other_id", "other_idx", "other_key"]
-    found = rows.select("space", "id", "idx", "key", "vector").mapInArrow(scan, "id bigint, idx int, key bigint, other_id bigint, other_idx int, other_key bigint, cosine double")
-    best = found.groupBy(*asking, *other).agg(F.max("cosine").alias("cosine"))
+    found = rows.select("space", "id", "idx", "key", "vector").mapInArrow(scan, "id bigint, idx int, key bigint, other_id bigint, other_idx int, other_key bigint, mark bigint, cosine double")
+    if copies_once:
+        name = F.min(F.struct(*other)).alias("name")
+        best = found.groupBy(*asking, "mark").agg(F.max("cosine").alias("cosine"), name).select(*asking, "name.*", "cosine")
+    else:
+        best = found.groupBy(*asking, *other).agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy(*asking).orderBy(F.desc("cosine"), *other))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -411,9 +443,7 @@ def _nearest(rows: DataFrame, queries: DataFrame, vectors: Blobs | Arrays, k: in
 def _with_cosine(pairs: DataFrame, heads: DataFrame, vectors: Blobs | Arrays, scratch: Scratch) -> DataFrame:
     """key1, key2, cosine: only the vectors that a candidate needs are read out of their sources and moved."""
     keys = pairs.select(F.explode(F.array("key1", "key2")).alias("key")).distinct()
-    wanted = scratch.save(heads.join(keys, "key", "left_semi").select("key", "id", "tag", "idx"))
-    if wanted.count() <= BROADCAST_WANTED:
-        wanted = F.broadcast(wanted)
+    wanted = scratch.save(heads.join(grown(keys), "key", "left_semi").select("key", "id", "tag", "idx"))
     read = scratch.save(vectors.vectors(wanted))
     decode = vectors.decoder()
 
@@ -424,7 +454,7 @@ def _with_cosine(pairs: DataFrame, heads: DataFrame, vectors: Blobs | Arrays, sc
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value, pa.float64())], names=["key1", "key2", "cosine"])
 
     one, two = (read.select(F.col("key").alias(f"key{n}"), F.col("vector").alias(f"vector{n}")) for n in (1, 2))
-    return pairs.join(one, "key1").join(two, "key2").select("key1", "key2", "vector1", "vector2").mapInArrow(cosine, "key1 bigint, key2 bigint, cosine double")
+    return pairs.join(grown(one), "key1").join(grown(two), "key2").select("key1", "key2", "vector1", "vector2").mapInArrow(cosine, "key1 bigint, key2 bigint, cosine double")
 
 
 #: Query vectors that one pass over the collection compares at once (10 MB of 128 floats).
@@ -440,7 +470,7 @@ def search(vectors: Blobs | Arrays, asked: Column, scratch: Scratch, k: int = 3)
     good candidate of the forest says nothing about nearer ones that its walk did not visit. Equal cosines are ordered by
     (id, idx); rows repeated exactly count once; fewer than k others give fewer rows.
     """
-    rows = vectors.rows().withColumn("key", F.lit(0).cast("bigint"))
+    rows = vectors.rows().withColumn("key", F.lit(0).cast("bigint"))  # repeated rows and others of a name count once
     queries = scratch.save(rows.where(asked).distinct())
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     numbered = queries.withColumn("block", F.pmod(F.xxhash64("id", "idx"), F.lit(blocks)))
