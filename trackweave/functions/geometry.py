@@ -131,12 +131,11 @@ def quaternion(r: np.ndarray) -> np.ndarray:
 
 
 def turned(q: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """q after a small rotation by the vector `step`, applied on the camera's side."""
-    angle = np.linalg.norm(step)
-    axis = step / angle if angle > 0 else step
-    d = np.concatenate([[np.cos(angle / 2)], np.sin(angle / 2) * axis])
-    w, v, a, u = d[0], d[1:], q[0], q[1:]
-    return np.concatenate([[w * a - v @ u], w * u + a * v + np.cross(v, u)])
+    """q (..., 4) after a small rotation by the vector step (..., 3), applied on the camera's side."""
+    angle = np.linalg.norm(step, axis=-1, keepdims=True)
+    axis = step / np.where(angle > 0, angle, 1)
+    w, v, a, u = np.cos(angle / 2), np.sin(angle / 2) * axis, q[..., :1], q[..., 1:]
+    return np.concatenate([w * a - (v * u).sum(axis=-1, keepdims=True), w * u + a * v + np.cross(v, u)], axis=-1)
 
 
 def distort(model: str, params: np.ndarray, uv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,6 +159,11 @@ def distort(model: str, params: np.ndarray, uv: np.ndarray) -> tuple[np.ndarray,
     return out, jac
 
 
+def n_params(model: str) -> int:
+    places, extra = MODELS[model]
+    return max(*places, *extra) + 1
+
+
 def to_pixels(model: str, params: np.ndarray, uv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pixels of normalised coordinates, and the Jacobian by them. params: one camera (k,), or one per row (k, n)."""
     fx, fy, cx, cy = (params[i] for i in MODELS[model][0])
@@ -171,7 +175,8 @@ def to_pixels(model: str, params: np.ndarray, uv: np.ndarray) -> tuple[np.ndarra
 def undistort(model: str, params: np.ndarray, xy: np.ndarray, iterations: int = 100, tolerance: float = 1e-10) -> np.ndarray:
     """Normalised coordinates of pixels, by Newton's method from the distorted ones; it stops when all squared steps are below the tolerance."""
     fx, fy, cx, cy = (params[i] for i in MODELS[model][0])
-    target = (xy - [cx, cy]) / [fx, fy]
+    pair = lambda a, b: np.stack(np.broadcast_arrays(a, b), axis=-1)
+    target = (xy - pair(cx, cy)) / pair(fx, fy)
     uv = target.copy()
     if not MODELS[model][1]:
         return uv
@@ -207,12 +212,12 @@ def by_params(model: str, params: np.ndarray, uv: np.ndarray) -> np.ndarray:
     """Jacobian (n, 2, k) of pixels by the camera's parameters."""
     places, extra = MODELS[model]
     out, _ = distort(model, params, uv)
-    jac = np.zeros((len(uv), 2, len(params)))
+    jac = np.zeros((len(uv), 2, len(params)))  # params: one camera (k,), or one per row (k, n)
     jac[:, 0, places[0]] += out[:, 0]
     jac[:, 1, places[1]] += out[:, 1]
     jac[:, 0, places[2]] = jac[:, 1, places[3]] = 1
     u, v, r2 = uv[:, 0], uv[:, 1], (uv**2).sum(axis=1)
-    focal = np.array([params[places[0]], params[places[1]]])
+    focal = np.stack(np.broadcast_arrays(params[places[0]], params[places[1]]), axis=-1)
     for number, place in enumerate(extra):
         if number < 2:
             jac[:, :, place] = uv * (r2 ** (number + 1))[:, None] * focal

@@ -9,17 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.functions import geometry
+from trackweave.functions import geometry, interpolation
 from trackweave.functions.interpolation import Sampling
 from trackweave.functions.losses import loss
 from trackweave.operators import residuals as res
 from trackweave.operators.graph import intra_track, root_edges
-from trackweave.operators.residuals import Camera, Patch
-from trackweave.operators.solver import Options, minimise
+from trackweave.operators.residuals import Camera
+from trackweave.operators.solver import SUMMARY, SUMMARY_NAMES, Options, by_problem, minimise_many
 from trackweave.runtime import Scratch
 
-SUMMARY = "problem bigint, initial_cost double, final_cost double, num_residuals bigint, iterations int, termination string"
-
 
 @dataclass(frozen=True)
 class KeypointOptions:
@@ -32,10 +30,6 @@ class KeypointOptions:
     weight_by_sim: bool = True
 
 
-def _patch(row) -> Patch:
-    return Patch(np.asarray(row.data, np.float64).reshape(int(row.h), int(row.w), int(row.c)), np.array([row.x0, row.y0], float), np.array([row.sx, row.sy], float), float(row.upsampling))
-
-
 def keypoint_rows(nodes: DataFrame, edges: DataFrame, keypoints: DataFrame, patches: DataFrame, images: DataFrame) -> DataFrame:
     """Input of `adjust_keypoints`: a row per node (problem, node_idx, x, y, is_constant, patch) and per edge (src, dst, sim).
 
@@ -53,52 +47,104 @@ def keypoint_rows(nodes: DataFrame, edges: DataFrame, keypoints: DataFrame, patc
 def adjust_keypoints(rows: DataFrame, options: KeypointOptions = KeypointOptions()) -> DataFrame:
     """problem, node_idx, x, y and the problem's summary: keypoints moved so that descriptors along the edges agree.
 
-    Constant nodes stay; others keep within their patch and options.bound. Each problem is a group of its own; within it, all edges
-    are solved together.
+    Constant nodes stay; others keep within their patch and options.bound. Problems are solved many at a time, those with equally
+    many nodes in step; within a problem, all edges together. `history` stands in the first row of a problem.
     """
-
-    def solve(key, part: pd.DataFrame) -> pd.DataFrame:
-        heads = part[part["kind"] == 0].sort_values("src")
-        ids = heads["src"].to_numpy()
-        patches = [_patch(r) for r in heads.itertuples()]
-        start = heads[["x", "y"]].to_numpy(float)
-        held = heads["is_constant"].fillna(False).to_numpy(bool)
-        tail = part[part["kind"] == 1]
-        one, two = tail["src"].to_numpy(np.int64), tail["dst"].to_numpy(np.int64)
-        known = np.isin(one, ids) & np.isin(two, ids) & (one != two)
-        one, two = np.searchsorted(ids, one[known]), np.searchsorted(ids, two[known])
-        weights = tail["sim"].to_numpy(float)[known] if options.weight_by_sim else np.ones(int(known.sum()))
-        low, high = _bounds(patches, start, options.bound)
-        low[held], high[held] = start[held], start[held]
-        width = patches[0].data.shape[2] * len(options.sampling.nodes) if patches else 0
-
-        def residuals(x: np.ndarray):
-            xy = x.reshape(-1, 2)
-            value, jac = zip(*(p.sample(k[None], options.sampling) for p, k in zip(patches, xy)))
-            value, jac = np.concatenate(value), np.concatenate(jac)
-            r = value[one] - value[two]
-            full = np.zeros((len(one), width, len(xy), 2))
-            at = np.arange(len(one))
-            full[at, :, one], full[at, :, two] = jac[one], -jac[two]
-            return r, full.reshape(len(one), width, -1)
-
-        if len(one):
-            x, summary = minimise(start.ravel(), residuals, options.solver, weights, low.ravel(), high.ravel(), np.repeat(held, 2))
-            xy, info = x.reshape(-1, 2), [summary.initial_cost, summary.final_cost, summary.num_residuals, summary.iterations, summary.termination]
-        else:
-            xy, info = start, [0.0, 0.0, 0, 0, "no residuals"]
-        out = pd.DataFrame({"problem": key[0], "node_idx": ids, "x": xy[:, 0], "y": xy[:, 1]})
-        return out.assign(**dict(zip(["initial_cost", "final_cost", "num_residuals", "iterations", "termination"], info)))
-
-    return rows.groupBy("problem").applyInPandas(solve, "problem bigint, node_idx bigint, x double, y double, initial_cost double, final_cost double, num_residuals bigint, iterations int, termination string")
-
-
-def _bounds(patches: list[Patch], start: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
-    scale = np.array([p.scale for p in patches]).reshape(-1, 2)
-    low = (np.array([p.corner for p in patches]).reshape(-1, 2) + 0.5) / scale
-    high = low + np.array([p.data.shape[1::-1] for p in patches]).reshape(-1, 2) / np.array([p.upsampling for p in patches])[:, None] / scale
+    schema = "problem bigint, node_idx bigint, x double, y double, " + SUMMARY
+    return by_problem(rows, "problem", lambda part: _keypoints(part, options), schema)
+
+
+def _keypoints(part: pd.DataFrame, options: KeypointOptions) -> pd.DataFrame:
+    heads = part[part["kind"] == 0].sort_values(["problem", "src"])
+    patches, start = Patches(heads), heads[["x", "y"]].to_numpy(float)
+    held = heads["is_constant"].to_numpy(object) == True  # noqa: E712  NULL: not held
+    low, high = _bounds(patches, start, options.bound)
+    low[held], high[held] = start[held], start[held]
+    owner, begin, size = np.unique(heads["problem"].to_numpy(np.int64), return_index=True, return_counts=True)
+
+    tail = part[part["kind"] == 1]
+    place = pd.Series(np.arange(len(heads)), pd.MultiIndex.from_frame(heads[["problem", "src"]]))
+    one, two = (place.reindex(pd.MultiIndex.from_frame(tail[["problem", end]])).to_numpy(float) for end in ("src", "dst"))
+    known = ~np.isnan(one) & ~np.isnan(two) & (one != two)
+    one, two, weight = one[known].astype(int), two[known].astype(int), tail["sim"].to_numpy(float)[known] if options.weight_by_sim else np.ones(int(known.sum()))
+    problem = np.searchsorted(begin, one, side="right") - 1
+    edges, width = np.bincount(problem, minlength=len(owner)), patches.channels * len(options.sampling.nodes)
+    rho, out = loss(options.solver.loss_name, options.solver.loss_scale), []
+
+    for n in np.unique(size):
+        own = np.nonzero(size == n)[0]
+        nodes = begin[own][:, None] + np.arange(n)
+        inside = np.nonzero(np.isin(problem, own))[0]
+        number = np.searchsorted(own, problem[inside])
+        i, j = one[inside] - begin[own][number], two[inside] - begin[own][number]
+
+        def evaluate(x: np.ndarray, which: np.ndarray, n=n, nodes=nodes, inside=inside, number=number, i=i, j=j):
+            value, jac = patches.sample(nodes[which].ravel(), x.reshape(-1, 2), options.sampling)
+            position = np.full(len(nodes), -1)
+            position[which] = np.arange(len(which))
+            at = position[number]
+            used = at >= 0
+            at, a, b, w = at[used], i[used], j[used], weight[inside[used]]
+            r = value[at * n + a] - value[at * n + b]
+            cost, first, _ = rho((r**2).sum(axis=1))
+            ja, jb, w1 = jac[at * n + a], jac[at * n + b], w * first
+            hessian, gradient = np.zeros((len(which), n, 2, n, 2)), np.zeros((len(which), n, 2))
+            every = slice(None)
+            for p, q, jp, jq, sign in ((a, a, ja, ja, 1), (b, b, jb, jb, 1), (a, b, ja, jb, -1), (b, a, jb, ja, -1)):
+                np.add.at(hessian, (at, p, every, q, every), sign * w1[:, None, None] * (jp.transpose(0, 2, 1) @ jq))
+            for p, jp, sign in ((a, ja, 1), (b, jb, -1)):
+                np.add.at(gradient, (at, p), sign * w1[:, None] * (jp.transpose(0, 2, 1) @ r[:, :, None])[:, :, 0])
+            return np.bincount(at, 0.5 * w * cost, len(which)), hessian.reshape(len(which), 2 * n, 2 * n), gradient.reshape(len(which), 2 * n)
+
+        flat = lambda v, nodes=nodes: v[nodes].reshape(len(nodes), -1)
+        fixed = np.repeat(held[nodes], 2, axis=1)
+        xy, summary = minimise_many(flat(start), evaluate, options.solver, edges[own] * width, flat(low), flat(high), fixed)
+        summary.termination[edges[own] == 0] = "no residuals"
+        rows = {"problem": np.repeat(owner[own], n), "node_idx": heads["src"].to_numpy(np.int64)[nodes.ravel()], "x": xy.reshape(-1, 2)[:, 0], "y": xy.reshape(-1, 2)[:, 1]}
+        first = np.arange(len(nodes) * n) % n == 0
+        for name, values in summary.rows().items():
+            rows[name] = [values[k // n] if first[k] or name != "history" else None for k in range(len(first))] if name == "history" else np.repeat(np.asarray(values), n)
+        out.append(pd.DataFrame(rows))
+    return pd.concat(out) if out else pd.DataFrame({"problem": [], "node_idx": [], "x": [], "y": []} | {name: [] for name in SUMMARY_NAMES})
+
+
+class Patches:
+    """The patches of many rows, stacked by shape."""
+
+    def __init__(self, rows: pd.DataFrame, prefix: str = "") -> None:
+        get = lambda name: rows[prefix + name].to_numpy()
+        self.shape = np.stack([get(n).astype(int) for n in ("h", "w", "c")], axis=1).reshape(-1, 3)
+        self.corner, self.scale = (np.stack([get(a).astype(float), get(b).astype(float)], axis=1).reshape(-1, 2) for a, b in (("x0", "y0"), ("sx", "sy")))
+        self.upsampling = get("upsampling").astype(float)
+        self.channels = int(self.shape[0, 2]) if len(rows) else 0
+        shapes, self.kind = np.unique(self.shape, axis=0, return_inverse=True)
+        self.kind, self.number, self.grids, data = self.kind.ravel(), np.zeros(len(rows), int), [], get("data")
+        for k, shape in enumerate(shapes):
+            own = np.nonzero(self.kind == k)[0]
+            self.number[own] = np.arange(len(own))
+            self.grids.append(np.stack([np.asarray(data[i], np.float64) for i in own]).reshape(-1, *shape))
+
+    def sample(self, rows: np.ndarray, xy: np.ndarray, how: Sampling) -> tuple[np.ndarray, np.ndarray]:
+        """Descriptors of the patches `rows` at image coordinates xy (n, 2), and their Jacobian (n, k, 2) by x and y."""
+        scale = self.scale[rows]
+        uv = (xy * scale - 0.5 - self.corner[rows]) * self.upsampling[rows, None]
+        value = jac = None
+        for k, grids in enumerate(self.grids):
+            own = np.nonzero(self.kind[rows] == k)[0]
+            if not len(own):
+                continue
+            v, by_r, by_c = interpolation.sample(grids[self.number[rows[own]]], uv[own][:, ::-1], how)
+            if value is None:
+                value, jac = np.zeros((len(rows), v.shape[1])), np.zeros((len(rows), v.shape[1], 2))
+            value[own], jac[own] = v, np.stack([by_c, by_r], axis=2) * (scale[own] * self.upsampling[rows[own], None])[:, None, :]
+        return (value, jac) if value is not None else (np.zeros((0, 0)), np.zeros((0, 0, 2)))
+
+
+def _bounds(patches: Patches, start: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    low = (patches.corner + 0.5) / patches.scale
+    high = low + patches.shape[:, 1::-1] / patches.upsampling[:, None] / patches.scale
     if bound > 0:
-        low, high = np.maximum(low, start - bound / scale), np.minimum(high, start + bound / scale)
+        low, high = np.maximum(low, start - bound / patches.scale), np.minimum(high, start + bound / patches.scale)
     return np.minimum(low, start), np.maximum(high, start)
 
 
@@ -126,7 +172,7 @@ def refine_keypoints(nodes: DataFrame, edges: DataFrame, keypoints: DataFrame, p
         moved = scratch.save(adjust_keypoints(rows, options))
         new = moved.join(nodes.select("node_idx", "image_id", F.col("feature_idx").alias("kp_id")), "node_idx").select("image_id", "kp_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
         keypoints = scratch.save(keypoints.join(new, ["image_id", "kp_id"], "left").select("image_id", "kp_id", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y")))
-        one = moved.groupBy("problem").agg(*[F.first(c).alias(c) for c in ("initial_cost", "final_cost", "num_residuals", "iterations", "termination")]).withColumn("level", F.lit(level))
+        one = moved.groupBy("problem").agg(*[F.first(c, ignorenulls=True).alias(c) for c in SUMMARY_NAMES]).withColumn("level", F.lit(level))
         summaries = one if summaries is None else summaries.unionByName(one)
     return keypoints, summaries
 
@@ -163,67 +209,154 @@ class BundleSetup:
 
 
 def adjust_points(observations: DataFrame, options: Options = Options(parameter_tolerance=0.0), kind: str = "geometric", sampling: Sampling = Sampling()) -> DataFrame:
-    """point3d_id, px, py, pz and summary: each point moved on its own, with poses and cameras held; separable, so a group per point.
+    """point3d_id, px, py, pz and summary: each point moved on its own, with poses and cameras held; points are solved many at a time, in step.
 
     observations: point3d_id, px, py, pz (the point), model, params, qw..qz, tx..tz and, by kind: `geometric` x, y; `feature_reference`
     and `costmaps` a patch (h, w, c, x0, y0, sx, sy, upsampling, data), the first also `reference`; `patch_warp` a patch and
     src_-prefixed camera, pose and patch of the source observation.
     """
 
-    def solve(key, part: pd.DataFrame) -> pd.DataFrame:
-        rows = list(part.itertuples())
-        start = np.array([rows[0].px, rows[0].py, rows[0].pz], float)
-        evaluate = _point_residuals(rows, kind, sampling)
-        x, s = minimise(start, evaluate, options)
-        return pd.DataFrame([[key[0], *x, s.initial_cost, s.final_cost, s.num_residuals, s.iterations, s.termination]], columns=["point3d_id", "px", "py", "pz", "initial_cost", "final_cost", "num_residuals", "iterations", "termination"])
-
-    return observations.groupBy("point3d_id").applyInPandas(solve, "point3d_id bigint, px double, py double, pz double, initial_cost double, final_cost double, num_residuals bigint, iterations int, termination string")
-
-
-def _pose(row, prefix: str = "") -> tuple[Camera, np.ndarray, np.ndarray]:
-    get = lambda n: getattr(row, prefix + n)
-    r = geometry.rotation_matrix(np.array([[get("qw"), get("qx"), get("qy"), get("qz")]], float))[0]
-    return Camera(get("model"), np.asarray(get("params"), float)), r, np.array([get("tx"), get("ty"), get("tz")], float)
-
-
-def _point_residuals(rows: list, kind: str, sampling: Sampling):
-    poses = [_pose(r) for r in rows]
-    if kind == "geometric":
-        groups = []
-        for model in sorted({r.model for r in rows}):  # observations by cameras of one model are projected at once
-            own = [k for k, r in enumerate(rows) if r.model == model]
-            params = np.stack([poses[k][0].params for k in own], axis=1)
-            turns, shifts = np.stack([poses[k][1] for k in own]), np.stack([poses[k][2] for k in own])
-            groups.append((model, params, turns, shifts, np.array([[rows[k].x, rows[k].y] for k in own], float)))
-
-        def evaluate(x):
-            parts = []
-            for model, params, turns, shifts, xy in groups:
-                pixels, by_p, _ = geometry.project(model, params, turns, shifts, np.broadcast_to(x, (len(xy), 3)))
-                parts.append((pixels - xy, by_p @ turns))
-            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-
-        return evaluate
-    patches = [_patch(r) for r in rows]
-    if kind in ("feature_reference", "costmaps"):
-        references = [np.asarray(r.reference, float) if kind == "feature_reference" else None for r in rows]
-        how = sampling if kind == "feature_reference" else replace(sampling, mode="BICUBICCHAIN" if patches[0].data.shape[2] == 3 else "BICUBIC", l2_normalize=False, ncc_normalize=False)
-
-        def evaluate(x):
-            parts = [res.feature_reference(patch, *pose, x, reference, how) for patch, pose, reference in zip(patches, poses, references)]
-            return np.stack([p[0] for p in parts]), np.stack([p[1]["point"] for p in parts])
-
-        return evaluate
-    if kind == "patch_warp":
-        sources = [(Patch(np.asarray(r.src_data, float).reshape(r.src_h, r.src_w, r.src_c), np.array([r.src_x0, r.src_y0], float), np.array([r.src_sx, r.src_sy], float), float(r.src_upsampling)), *_pose(r, "src_")) for r in rows]
-        warp = lambda x: np.stack([res.patch_warp(*source, patch, *pose, x, sampling) for source, patch, pose in zip(sources, patches, poses)])
-
-        def evaluate(x):
-            base, step = warp(x), 1e-6 * max(1.0, np.abs(x).max())
-            return base, np.stack([(warp(x + step * e) - warp(x - step * e)) / (2 * step) for e in np.eye(3)], axis=2)
-
-        return evaluate
-    raise ValueError(f"unknown kind {kind!r}")
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        ids, first, owner = np.unique(part["point3d_id"].to_numpy(np.int64), return_index=True, return_inverse=True)
+        owner = owner.ravel()
+        start, observed = part[["px", "py", "pz"]].to_numpy(float)[first], Observed(part, kind, sampling)
+        rho = loss(options.loss_name, options.loss_scale)
+
+        def evaluate(x: np.ndarray, which: np.ndarray):
+            position = np.full(len(ids), -1)
+            position[which] = np.arange(len(which))
+            rows = np.nonzero(position[owner] >= 0)[0]
+            at = position[owner[rows]]
+            r, by = observed.residuals(rows, x[at])
+            cost, slope, _ = rho((r**2).sum(axis=1))
+            hessian, gradient = np.zeros((len(which), 3, 3)), np.zeros((len(which), 3))
+            np.add.at(hessian, at, slope[:, None, None] * (by["point"].transpose(0, 2, 1) @ by["point"]))
+            np.add.at(gradient, at, slope[:, None] * (by["point"].transpose(0, 2, 1) @ r[:, :, None])[:, :, 0])
+            return np.bincount(at, 0.5 * cost, len(which)), hessian, gradient
+
+        width = observed.residuals(np.arange(min(1, len(part))), start[:1])[0].shape[1] if len(part) else 0
+        x, summary = minimise_many(start, evaluate, options, np.bincount(owner, minlength=len(ids)) * width)
+        return pd.DataFrame({"point3d_id": ids, "px": x[:, 0], "py": x[:, 1], "pz": x[:, 2], **summary.rows()})
+
+    return by_problem(observations, "point3d_id", solve, "point3d_id bigint, px double, py double, pz double, " + SUMMARY)
+
+
+class Observed:
+    """Observations of points, whose residuals (n, k) and Jacobians are evaluated for many rows at once, by kind (see adjust_points)."""
+
+    def __init__(self, part: pd.DataFrame, kind: str, sampling: Sampling) -> None:
+        if kind not in KINDS:
+            raise ValueError(f"unknown kind {kind!r}")
+        self.kind, self.sampling = kind, sampling
+        self.model, self.params, self.turn, self.shift = _poses(part)
+        if kind == "geometric":
+            self.xy = part[["x", "y"]].to_numpy(float)
+            return
+        self.patches = Patches(part)
+        if kind == "feature_reference":
+            self.reference = np.stack([np.asarray(v, float) for v in part["reference"]]) if len(part) else np.zeros((0, 0))
+        if kind == "costmaps":
+            self.sampling = replace(sampling, mode="BICUBICCHAIN" if self.patches.channels == 3 else "BICUBIC", l2_normalize=False, ncc_normalize=False)
+        if kind == "patch_warp":
+            self.source, self.source_patches = _poses(part, "src_"), Patches(part, "src_")
+            if not {*self.model, *self.source[0]} <= set(geometry.WARP_MODELS):
+                raise ValueError("the patch warp takes " + ", ".join(geometry.WARP_MODELS))
+
+    def residuals(self, rows: np.ndarray, points: np.ndarray, turn: np.ndarray | None = None, shift: np.ndarray | None = None, params: np.ndarray | None = None, source: tuple | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Residuals of the rows, and their Jacobians by point, turn, t and params (and source_turn, source_t, source_params of a patch warp).
+
+        Poses and parameters are those of the rows unless given: turn (n, 3, 3), shift (n, 3), params (n, 8).
+        """
+        turn, shift, params = (own[rows] if given is None else given for own, given in ((self.turn, turn), (self.shift, shift), (self.params, params)))
+        if self.kind == "patch_warp":
+            return self._warped(rows, points, turn, shift, params, source)
+        pixels, by = _projected(self.model[rows], params, turn, shift, points)
+        if self.kind == "geometric":
+            return pixels - self.xy[rows], by
+        value, jac = self.patches.sample(rows, pixels, self.sampling)
+        return value - self.reference[rows] if self.kind == "feature_reference" else value, {name: jac @ b for name, b in by.items()}
+
+    def _warped(self, rows, points, turn, shift, params, source):
+        """Difference of the target's and the source's descriptors under the plane through the point that faces the source; central differences."""
+        s_turn, s_shift, s_params = source or (self.source[2][rows], self.source[3][rows], self.source[1][rows])
+        single = Sampling(self.sampling.mode, False, False, ((0.0, 0.0),))
+        normal = lambda v: self._normal(v.reshape(len(rows), len(self.sampling.nodes), -1))
+
+        def value(points, turn, shift, params, s_turn, s_shift, s_params):
+            pixels, _ = _projected(self.source[0][rows], s_params, s_turn, s_shift, points)
+            depth = (s_turn @ points[:, :, None])[:, 2, 0] + s_shift[:, 2]
+            target, origin = [], []
+            step = 1 / self.source_patches.scale[rows] / self.source_patches.upsampling[rows, None]
+            for node in self.sampling.nodes:
+                places = pixels + np.array(node) * step
+                world = _back_projected(self.source[0][rows], s_params, s_turn, s_shift, places, depth)
+                target.append(self.patches.sample(rows, _projected(self.model[rows], params, turn, shift, world)[0], single)[0])
+                origin.append(self.source_patches.sample(rows, places, single)[0])
+            return normal(np.stack(target, axis=1)) - normal(np.stack(origin, axis=1))
+
+        given = [points, turn, shift, params, s_turn, s_shift, s_params]
+        base, by = value(*given), {}
+        for place, (name, size) in enumerate((("point", 3), ("turn", 3), ("t", 3), ("params", params.shape[1]), ("source_turn", 3), ("source_t", 3), ("source_params", s_params.shape[1]))):
+            columns = []
+            for i in range(size):
+                move = np.zeros(size)
+                move[i] = 1e-6 * (max(1.0, np.abs(given[place]).max()) if not name.endswith("turn") and given[place].size else 1.0)
+                shifted = [_turned(given[place], sign * move) if name.endswith("turn") else given[place] + sign * move for sign in (1, -1)]
+                columns.append(np.subtract(*(value(*given[:place], v, *given[place + 1 :]) for v in shifted)) / (2 * move[i]))
+            by[name] = np.stack(columns, axis=2)
+        return base, by
+
+    def _normal(self, value: np.ndarray) -> np.ndarray:
+        if self.sampling.ncc_normalize:
+            (value,) = interpolation.ncc_normalise(value)
+        if self.sampling.l2_normalize:
+            (value,) = interpolation.l2_normalise(value)
+        return value.reshape(len(value), -1)
+
+
+KINDS = ("geometric", "feature_reference", "costmaps", "patch_warp")
+#: Parameters of the largest camera model; shorter ones are padded.
+MOST_PARAMS = 8
+
+
+def _poses(rows: pd.DataFrame, prefix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Model, parameters (n, MOST_PARAMS), rotation (n, 3, 3) and translation (n, 3) per row."""
+    names = [prefix + n for n in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")]
+    pose, params = rows[names].to_numpy(float), np.zeros((len(rows), MOST_PARAMS))
+    for i, p in enumerate(rows[prefix + "params"]):
+        params[i, : len(p)] = p
+    return rows[prefix + "model"].to_numpy(str) if len(rows) else np.zeros(0, str), params, geometry.rotation_matrix(pose[:, :4]), pose[:, 4:]
+
+
+def _turned(turn: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Rotations after a small one by the vector, on the camera's side."""
+    return geometry.rotation_matrix(geometry.turned(np.array([1.0, 0, 0, 0]), step)[None]) @ turn
+
+
+def _projected(model: np.ndarray, params: np.ndarray, turn: np.ndarray, shift: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Pixels (n, 2) of points under poses and cameras of their own, with Jacobians by point, turn, t and params (n, 2, MOST_PARAMS)."""
+    pixels = np.zeros((len(points), 2))
+    by = {"point": np.zeros((len(points), 2, 3)), "turn": np.zeros((len(points), 2, 3)), "t": np.zeros((len(points), 2, 3)), "params": np.zeros((len(points), 2, MOST_PARAMS))}
+    for name in np.unique(model):
+        own = np.nonzero(model == name)[0]
+        k = geometry.n_params(name)
+        own_params = params[own, :k].T
+        pixels[own], by_p, p = geometry.project(name, own_params, turn[own], shift[own], points[own])
+        pose = res.pose_columns(by_p, p - shift[own])
+        by["point"][own], by["turn"][own], by["t"][own] = by_p @ turn[own], pose[:, :, :3], by_p
+        by["params"][own, :, :k] = geometry.by_params(name, own_params, p[:, :2] / p[:, 2:])
+    return pixels, by
+
+
+def _back_projected(model, params, turn, shift, xy, depth) -> np.ndarray:
+    """World points of pixels at depths, each under its own pose and camera."""
+    world = np.zeros((len(xy), 3))
+    for name in np.unique(model):
+        own = np.nonzero(model == name)[0]
+        uv = geometry.undistort(name, params[own, : geometry.n_params(name)].T, xy[own])
+        p = np.concatenate([uv, np.ones((len(own), 1))], axis=1) * depth[own][:, None]
+        world[own] = ((p - shift[own])[:, None, :] @ turn[own])[:, 0]
+    return world
 
 
 def bundle_adjust(observations: DataFrame, setup: BundleSetup, options: Options = Options(parameter_tolerance=0.0, max_iterations=20), scratch: Scratch | None = None) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], DataFrame, list[float]]:

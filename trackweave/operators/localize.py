@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from trackweave.functions import arrays, geometry
 from trackweave.functions.interpolation import Sampling
 from trackweave.operators import residuals as res
-from trackweave.operators.adjust import _bounds, _patch
+from trackweave.functions.losses import loss
+from trackweave.operators.adjust import Observed, Patches, _bounds
 from trackweave.operators.residuals import Camera
-from trackweave.operators.solver import Options, minimise
+from trackweave.operators.solver import Options, by_problem, minimise, minimise_many
+from trackweave.runtime import Scratch
 
 
 def unique_inliers(rows: DataFrame, key: str = "id", inlier: str = "inlier") -> DataFrame:
@@ -48,33 +50,62 @@ def stack_correspondences(rows: DataFrame) -> DataFrame:
     return rows.groupBy("query", "kp_id").agg(ordered.alias("s")).select("query", "kp_id", F.transform("s", lambda s: s["reference"]).alias("references"), F.element_at("s", -1)["x"].alias("x"), F.element_at("s", -1)["y"].alias("y"))
 
 
-def refine_query_keypoints(rows: DataFrame, bound: float = 4.0, options: Options = Options(loss_name="trivial"), sampling: Sampling = Sampling()) -> DataFrame:
+def refine_query_keypoints(rows: DataFrame, bound: float = 4.0, options: Options = Options(loss_name="trivial"), sampling: Sampling = Sampling(), inlier: str | None = None) -> DataFrame:
     """query, kp_id, x, y, initial_cost, final_cost: each keypoint moved to where its descriptor meets its references best.
 
     rows: query, kp_id, x, y, references ARRAY<ARRAY<DOUBLE>>, and a patch. Two parameters a problem; rows are independent, so they
-    are solved batch by batch without a shuffle.
+    are solved batch by batch, all of a batch in step, without a shuffle. inlier: a boolean column; rows where it is not true stay
+    where they are. Rows without references or with a patch of another size than h x w x c give no row.
     """
 
     def solve(parts):
         for part in parts:
-            out = []
-            for row in part.itertuples():
-                patch, start = _patch(row), np.array([[row.x, row.y]], float)
-                low, high = _bounds([patch], start, bound)
-                references = np.stack([np.asarray(r, float) for r in row.references])
-
-                def evaluate(x, patch=patch, references=references):
-                    value, jac = patch.sample(x[None], sampling)
-                    return value[0] - references, np.broadcast_to(jac[0], (len(references), *jac[0].shape))
-
-                x, s = minimise(start[0], evaluate, options, None, low[0], high[0])
-                out.append((row.query, row.kp_id, *x, s.initial_cost, s.final_cost))
-            yield pd.DataFrame(out, columns=["query", "kp_id", "x", "y", "initial_cost", "final_cost"])
+            for start in range(0, len(part), 512):
+                yield moved(part.iloc[start : start + 512])
+
+    def moved(part: pd.DataFrame) -> pd.DataFrame:
+        patches, start = Patches(part), part[["x", "y"]].to_numpy(float)
+        low, high = _bounds(patches, start, bound)
+        counts = part["references"].map(len).to_numpy(int)
+        owner, references = np.repeat(np.arange(len(part)), counts), np.array([v for r in part["references"] for v in r], float)
+        fixed = np.zeros((len(part), 2), bool) if inlier is None else np.repeat(~(part[inlier].to_numpy(object) == True)[:, None], 2, axis=1)  # noqa: E712
+        rho = loss(options.loss_name, options.loss_scale)
+
+        def evaluate(x: np.ndarray, which: np.ndarray):
+            value, jac = patches.sample(which, x, sampling)
+            position = np.full(len(part), -1)
+            position[which] = np.arange(len(which))
+            used = np.nonzero(position[owner] >= 0)[0]
+            at = position[owner[used]]
+            r = value[at] - references[used]
+            cost, slope, _ = rho((r**2).sum(axis=1))
+            total, pull = np.bincount(at, slope, len(which)), np.zeros((len(which), r.shape[1]))
+            np.add.at(pull, at, slope[:, None] * r)
+            turned = jac.transpose(0, 2, 1)
+            return np.bincount(at, 0.5 * cost, len(which)), total[:, None, None] * (turned @ jac), (turned @ pull[:, :, None])[:, :, 0]
+
+        x, s = minimise_many(start, evaluate, options, counts * references.shape[-1], low, high, fixed)
+        return pd.DataFrame({"query": part["query"].to_numpy(), "kp_id": part["kp_id"].to_numpy(), "x": x[:, 0], "y": x[:, 1], "initial_cost": s.initial_cost, "final_cost": s.final_cost})
 
     fit = rows.where((F.size("references") > 0) & (F.size("data") == F.col("h") * F.col("w") * F.col("c")))
     return fit.mapInPandas(solve, "query string, kp_id int, x double, y double, initial_cost double, final_cost double")
 
 
+def refine_over_levels(stacked: DataFrame, patches: DataFrame, scratch: Scratch, levels: list[int] | None = None, **how) -> DataFrame:
+    """query, kp_id, x, y after refining with the patches of each level in turn, from the highest; a keypoint without patch at a level keeps its place.
+
+    stacked: level, query, kp_id, x, y, references (and the column `inlier` names); patches: level, query, kp_id and a patch.
+    """
+    if levels is None:
+        levels = sorted((r.level for r in patches.select("level").distinct().collect()), reverse=True)
+    places = stacked.groupBy("query", "kp_id").agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    for level in levels:
+        known = stacked.where(F.col("level") == level).drop("x", "y", "level").join(places, ["query", "kp_id"])
+        moved = refine_query_keypoints(known.join(patches.where(F.col("level") == level).drop("level"), ["query", "kp_id"]), **how).select("query", "kp_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
+        places = scratch.save(places.join(moved, ["query", "kp_id"], "left").select("query", "kp_id", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y")))
+    return places
+
+
 # Absolute pose -----------------------------------------------------------------------------------------------------------------
 
 
@@ -184,24 +215,31 @@ def refine_query_poses(rows: DataFrame, options: Options = Options(parameter_tol
     rows: query, model, params, qw..tz, px, py, pz, reference, and a patch.
     """
 
-    def solve(key, part: pd.DataFrame) -> pd.DataFrame:
-        items = list(part.itertuples())
-        camera = Camera(items[0].model, np.asarray(items[0].params, float))
-        q = np.array([items[0].qw, items[0].qx, items[0].qy, items[0].qz], float)
-        start = np.concatenate([q / np.linalg.norm(q), [items[0].tx, items[0].ty, items[0].tz]])
-        patches, points = [_patch(i) for i in items], part[["px", "py", "pz"]].to_numpy(float)
-        references = [np.asarray(i.reference, float) for i in items]
-        plus = lambda x, step: np.concatenate([geometry.turned(x[:4], step[:3]), x[4:] + step[3:]])
-
-        def evaluate(x):
-            r = geometry.rotation_matrix(x[None, :4])[0]
-            parts = [res.feature_reference(p, camera, r, x[4:], point, d, sampling) for p, point, d in zip(patches, points, references)]
-            return np.stack([v for v, _ in parts]), np.stack([np.concatenate([by["turn"], by["t"]], axis=1) for _, by in parts])
-
-        x, s = minimise(start, evaluate, options, plus=plus)
-        return pd.DataFrame([[key[0], *x, s.initial_cost, s.final_cost]], columns=["query", "qw", "qx", "qy", "qz", "tx", "ty", "tz", "initial_cost", "final_cost"])
-
-    return rows.groupBy("query").applyInPandas(solve, "query string, qw double, qx double, qy double, qz double, tx double, ty double, tz double, initial_cost double, final_cost double")
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        names, first, owner = np.unique(part["query"].to_numpy(str), return_index=True, return_inverse=True)
+        owner, points, observed = owner.ravel(), part[["px", "py", "pz"]].to_numpy(float), Observed(part, "feature_reference", sampling)
+        start = part[["qw", "qx", "qy", "qz", "tx", "ty", "tz"]].to_numpy(float)[first]
+        start[:, :4] /= np.linalg.norm(start[:, :4], axis=1, keepdims=True)
+        plus = lambda x, step: np.concatenate([geometry.turned(x[:, :4], step[:, :3]), x[:, 4:] + step[:, 3:]], axis=1)
+        rho = loss(options.loss_name, options.loss_scale)
+
+        def evaluate(x: np.ndarray, which: np.ndarray):
+            position = np.full(len(names), -1)
+            position[which] = np.arange(len(which))
+            rows = np.nonzero(position[owner] >= 0)[0]
+            at = position[owner[rows]]
+            r, by = observed.residuals(rows, points[rows], geometry.rotation_matrix(x[:, :4])[at], x[at, 4:])
+            jac = np.concatenate([by["turn"], by["t"]], axis=2)
+            cost, slope, _ = rho((r**2).sum(axis=1))
+            hessian, gradient = np.zeros((len(which), 6, 6)), np.zeros((len(which), 6))
+            np.add.at(hessian, at, slope[:, None, None] * (jac.transpose(0, 2, 1) @ jac))
+            np.add.at(gradient, at, slope[:, None] * (jac.transpose(0, 2, 1) @ r[:, :, None])[:, :, 0])
+            return np.bincount(at, 0.5 * cost, len(which)), hessian, gradient
+
+        x, s = minimise_many(start, evaluate, options, np.bincount(owner, minlength=len(names)), plus=plus)
+        return pd.DataFrame({"query": names, **dict(zip(("qw", "qx", "qy", "qz", "tx", "ty", "tz"), x.T)), "initial_cost": s.initial_cost, "final_cost": s.final_cost})
+
+    return by_problem(rows, "query", solve, "query string, qw double, qx double, qy double, qz double, tx double, ty double, tz double, initial_cost double, final_cost double")
 
 
 def recount_inliers(correspondences: DataFrame, poses: DataFrame, max_error: float = 12.0) -> DataFrame:
@@ -211,13 +249,14 @@ def recount_inliers(correspondences: DataFrame, poses: DataFrame, max_error: flo
     return joined.groupBy("query").agg(F.count_if(error < max_error).cast("int").alias("num_inliers"))
 
 
-def localize_all(queries: DataFrame, correspondences: DataFrame, patches: DataFrame | None = None, retrieval: DataFrame | None = None, images: DataFrame | None = None, options: PoseOptions = PoseOptions(), qka: bool = True, qba: bool = True) -> DataFrame:
+def localize_all(queries: DataFrame, correspondences: DataFrame, patches: DataFrame | None = None, retrieval: DataFrame | None = None, images: DataFrame | None = None, options: PoseOptions = PoseOptions(), qka: bool = True, qba: bool = True, feature_threshold: float = -1.0) -> DataFrame:
     """POSE of every query: refined keypoints, PnP, unique inliers, refined pose, recounted inliers, in one job over all queries.
 
     correspondences as for `localize`, with `reference`; patches: query, kp_id and a patch. Without patches no refinement is made. A
-    query without pose takes the pose of its first retrieved image (retrieval: query, rank, name), with success false.
+    query without pose takes the pose of its first retrieved image (retrieval: query, rank, name), with success false. With a
+    feature_threshold of 0 or more, keypoints whose descriptor is farther from their reference are left out (column `descriptor`).
     """
-    rows = correspondences
+    rows = correspondences if feature_threshold < 0 else feature_inliers(correspondences, feature_threshold)
     if patches is not None and qka:
         stacked = stack_correspondences(rows).join(patches, ["query", "kp_id"])
         moved = refine_query_keypoints(stacked).select("query", "kp_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
