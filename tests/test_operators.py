@@ -11,7 +11,7 @@ from trackweave.functions.interpolation import Sampling, sample
 from trackweave.operators import adjust, evaluation, extraction, graph, localize, references, sampling, views
 from trackweave.operators.adjust import BundleSetup, KeypointOptions
 from trackweave.operators.solver import Options
-from trackweave.runtime import Scratch
+from trackweave.runtime import Scratch, running
 from trackweave.sources import sinks, tables
 
 NODES, EDGES = "node_idx bigint, image_id int, feature_idx int", "src bigint, dst bigint, sim double"
@@ -47,6 +47,41 @@ def test_track_example(spark):
     assert labels == {0: 0, 1: 0, 2: 1, 3: 1}
 
 
+@pytest.mark.parametrize("replayed", [0, 40, 1000])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tracks_by_rounds_and_by_replay(spark, replayed, seed):
+    rng = random.Random(seed)
+    nodes = [(n, rng.randrange(9), n) for n in range(80)]
+    edges = [(rng.randrange(80), rng.randrange(80), rng.choice([0.1, 0.2, 0.5, 0.7])) for _ in range(150)]
+    n, e = build(spark, nodes, edges + [(7, 7, 0.9)])
+    labels = {r.node_idx: r.track for r in graph.track_labels(n, e, Scratch(spark, "t"), replayed).collect()}
+    assert labels == forest(nodes, edges)
+
+
+def test_tracks_of_a_chain_and_of_odd_similarities(spark):
+    nodes, edges = build(spark, [(i, i % 7, i) for i in range(30)], [(i, i + 1, 1.0 - i / 100) for i in range(29)] + [(0, 9, None), (3, 12, float("nan"))])
+    by_rounds = {r.node_idx: r.track for r in graph.track_labels(nodes, edges, Scratch(spark, "t"), 0).collect()}
+    replayed = {r.node_idx: r.track for r in graph.track_labels(nodes, edges, Scratch(spark, "t")).collect()}
+    assert by_rounds == replayed and len(set(by_rounds.values())) == 5
+    empty, none = build(spark, [], [])
+    assert graph.track_labels(empty, none, Scratch(spark, "t")).count() == 0
+
+
+def test_running_sums_and_ranks(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i / 7, rng.randrange(5)) for i in range(400)]
+    got = running(spark.createDataFrame(rows, "k string, v double, n bigint"), ["k"], "v", "n").collect()
+    for key in ("a", "b", None):
+        own, total, before = sorted((r for r in got if r.k == key), key=lambda r: r.v), 0, None
+        assert len(own) == sum(r[0] == key for r in rows)
+        for r in own:
+            total += r.n
+            assert r.up_to == total and r.previous == before
+            before = r.v
+    places = graph.ranked_within(spark.createDataFrame(rows, "k string, v double, n bigint"), ["k"], ["v"], "place").collect()
+    assert {(r.k, r.v): r.place for r in places} == {(k, v): sum(o[0] == k and o[1] < v for o in rows) for k, v, _ in rows}
+
+
 def test_graph_against_one_pass(spark):
     rng = random.Random(5)
     nodes = [(n, rng.randrange(6), n) for n in range(120)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.runtime import join_nulls, running
+
 
 def _error(name: str = "error") -> Column:
     """NULL and NaN stand for no result: infinitely wrong."""
@@ -17,8 +19,8 @@ def recall_curve(errors: DataFrame, keys: list[str]) -> DataFrame:
     Errors are counted by value first, so the running sum is over distinct values.
     """
     counted = errors.select(*keys, _error().alias("error")).groupBy(*keys, "error").agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy(*keys)
-    curve = counted.withColumn("up_to", F.sum("n").over(whole.orderBy("error"))).withColumn("all", F.sum("n").over(whole))
+    totals = counted.groupBy(*keys).agg(F.sum("n").alias("all"))
+    curve = join_nulls(running(counted, keys, "error", "n"), totals, keys)
     return curve.where(F.col("error") < F.lit(float("inf"))).select(*keys, "error", (F.col("up_to") / F.col("all")).alias("recall"))
 
 
@@ -31,15 +33,12 @@ def auc_at(errors: DataFrame, keys: list[str], thresholds: list[float], min_erro
     counted = errors.select(*keys, _error().alias("error")).groupBy(*keys, "error").agg(F.count(F.lit(1)).alias("n"))
     totals = counted.groupBy(*keys).agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("error") <= (min_error or -1.0), F.col("n"))), F.lit(0)).alias("met"))
     floor = F.lit(float(min_error or 0.0))
-    ordered = Window.partitionBy(*keys).orderBy("error")
-    points = counted.where(F.col("error") < F.lit(float("inf")))
-    run = points.withColumn("up_to", F.sum("n").over(ordered))
+    run = running(counted.where(F.col("error") < F.lit(float("inf"))), keys, "error", "n")
     if min_error is not None:
         run = run.where(F.col("error") > floor)
     # Repeated errors rise vertically: the trapezoid into an error ends at the rank of its first result.
-    steps = run.select(*keys, "error", "n", "up_to").join(totals, keys) if keys else run.crossJoin(totals)
-    before = Window.partitionBy(*keys).orderBy("error")
-    steps = steps.withColumn("prev_error", F.coalesce(F.lag("error").over(before), floor)).withColumn("prev_n", F.coalesce(F.lag("up_to").over(before), F.col("met")))
+    steps = run.select(*keys, "error", "n", "up_to", "previous").join(totals, keys) if keys else run.crossJoin(totals)  # without keys, totals are one row
+    steps = steps.withColumn("prev_error", F.greatest(F.coalesce("previous", floor), floor)).withColumn("prev_n", F.col("up_to") - F.col("n"))
     first_rank = F.col("up_to") - F.col("n") + 1
     steps = steps.withColumn("area", (F.col("error") - F.col("prev_error")) * (F.col("prev_n") + first_rank) / 2 / F.col("all"))
     at = totals.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
@@ -85,9 +84,16 @@ def pooled_auc(errors: DataFrame, thresholds: list[float], min_error: float = 0.
     return auc_at(errors, ["method"], thresholds, min_error)
 
 
+#: Images of one point whose pairs covisible_pairs will list (2 million rows a point).
+LONGEST_TRACK = 2_000
+
+
 def covisible_pairs(tracks: DataFrame) -> DataFrame:
     """image1 < image2, shared: 3-D points that both images observe. tracks: point3d_id, image_id."""
     seen = tracks.select("point3d_id", "image_id").distinct()
+    longest = seen.groupBy("point3d_id").count().agg(F.max("count")).first()[0] or 0
+    if longest > LONGEST_TRACK:
+        raise ValueError(f"a point is observed by {longest} images; covisible_pairs pairs all images of a point and takes {LONGEST_TRACK} at most")
     return seen.select("point3d_id", F.col("image_id").alias("image1")).join(seen.select("point3d_id", F.col("image_id").alias("image2")), "point3d_id").where("image1 < image2").groupBy("image1", "image2").agg(F.count(F.lit(1)).alias("shared"))
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from trackweave.runtime import Scratch
+from trackweave.runtime import Scratch, join_nulls
 
 
 def build_matching_graph(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -31,20 +31,22 @@ def build_matching_graph(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ranked(frame: DataFrame, order: list[str], name: str) -> DataFrame:
     """The frame with its 0-based rank by `order` in column `name`, as BIGINT, without bringing all rows to one task.
 
-    Rows are put into ranges by approximate quantiles of the first order column, counted by range and numbered within the range.
-    The counts, one row per range, are what the running total over all ranges reads.
+    Rows are sorted in ranges, as many as the session's partitions make of their size, numbered within each and written. The counts,
+    one row per range, are what the running total over all ranges reads.
     """
-    lead = F.col(order[0]).cast("double")
-    keyed = frame.withColumn("_lead", lead)
-    cuts = sorted(set(keyed.stat.approxQuantile("_lead", [i / 64 for i in range(1, 64)], 0.005)))
-    bucket = F.lit(0)
-    if cuts:
-        bucket = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("_lead")))
-    keyed = keyed.withColumn("_range", F.coalesce(bucket, F.lit(0)))
-    counts = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    place = F.monotonically_increasing_id()
+    placed = Scratch(frame.sparkSession, "ranked").save(frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place))
+    numbered = placed.withColumns({"_range": F.shiftright("_place", 33), "_number": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = numbered.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_range", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_n")).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return keyed.withColumn("_number", number).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_number")).drop("_lead", "_range", "_number", "_before")
+    return numbered.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_number")).drop("_place", "_range", "_number", "_before")
+
+
+def ranked_within(frame: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """The frame with its 0-based rank by `order` among the rows of equal keys; a key may hold any share of the rows."""
+    placed = ranked(frame, [*keys, *order], "_rank")
+    starts = placed.groupBy(*keys).agg(F.min("_rank").alias("_start"))
+    return join_nulls(placed, starts, keys).withColumn(name, F.col("_rank") - F.col("_start")).drop("_rank", "_start")
 
 
 def both_ends(edges: DataFrame, *more: str) -> DataFrame:
@@ -59,8 +61,9 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node_idx, score: sum of the similarities of the edges in and out; 0.0 without edges."""
-    summed = both_ends(edges, "sim").groupBy(F.col("node").alias("node_idx")).agg(F.sum("sim").alias("score"))
+    """node_idx, score: sum of the similarities of the edges in and out; 0.0 without edges. NULL, NaN and infinite similarities add nothing."""
+    finite = F.when(F.abs("sim") < float("inf"), F.col("sim"))
+    summed = both_ends(edges, "sim").groupBy(F.col("node").alias("node_idx")).agg(F.sum(finite).alias("score"))
     return nodes.select("node_idx").join(summed, "node_idx", "left").select("node_idx", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -70,8 +73,13 @@ def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFram
     Alternating large and small stars: each pass links larger neighbours, then smaller ones, to the smallest, until all trees are
     stars. Passes are map-side combined aggregates and joins by node, written to the shared folder.
     """
-    links = scratch.save(edges.where("src <> dst").select(F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")).distinct())
-    changed = not links.isEmpty()
+    def written(frame: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        saved = scratch.save(frame.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("low", "high").cast("decimal(20,0)")).alias("h")))
+        return saved, (seen.get["n"], seen.get["h"])
+
+    links, mark = written(edges.where("src <> dst").select(F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")).distinct())
+    changed = mark[0] > 0
     while changed:
         pairs = links.select(F.explode(F.array(F.struct(F.col("low").alias("v"), F.col("high").alias("n")), F.struct(F.col("high").alias("v"), F.col("low").alias("n")))).alias("p")).select("p.*")
         least = pairs.groupBy("v").agg(F.min("n").alias("m")).select("v", F.least("v", "m").alias("m"))
@@ -80,42 +88,73 @@ def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFram
         root = large.groupBy("high").agg(F.min("low").alias("m"))
         moved = large.join(root, "high")
         small = moved.select(F.col("m").alias("low"), F.col("low").alias("high")).where("low <> high").union(root.select(F.col("m").alias("low"), "high")).distinct()
-        seen = Observation()
-        following = scratch.save(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("low", "high").cast("decimal(20,0)")).alias("h")))
-        now = (seen.get["n"], seen.get["h"])
-        before_hash = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").cast("decimal(20,0)"))).first()
-        changed = tuple(before_hash) != now
+        following, now = written(small)
+        changed, mark = mark != now, now
         scratch.drop(links, large)
         links = following
     found = links.select(F.col("high").alias("node_idx"), F.col("low").alias("component"))
     return nodes.select("node_idx").join(found, "node_idx", "left").select("node_idx", F.coalesce("component", "node_idx").alias("component"))
 
 
-def track_labels(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+#: Edges left between tracks below which they are replayed by component (24 bytes an edge).
+REPLAYED = 1_000_000
+
+
+def track_labels(nodes: DataFrame, edges: DataFrame, scratch: Scratch, replayed: int = REPLAYED) -> DataFrame:
     """node_idx, track: tracks of at most one node per image, from a maximum spanning forest over the edges by (sim, src, dst) descending.
 
     Two tracks merge along an edge only if they share no image; the larger absorbs the smaller, and of equal ones the source's
-    stays. Decisions read the two endpoints' tracks only, so each connected component is replayed on its own, by one task, in the
-    global order: exact. Tracks are numbered from 0 by the smallest position of their roots.
+    stays. A NULL or NaN similarity comes last. Tracks are numbered from 0 by the smallest position of their roots.
 
-    A component is a group of its own; the largest one bounds the memory of a task (24 bytes an edge).
+    What an edge does depends on the two tracks at its ends alone, so all edges that come first at both their tracks are taken at
+    once: the tracks merge, edges are relabelled, and those between tracks that share an image, which they will for ever, are
+    dropped. When at most `replayed` edges are left, their components are replayed one by one in the global order. Both are exact.
     """
-    member = components(nodes, edges, scratch)
-    labelled = scratch.save(member.join(nodes.select("node_idx", "image_id"), "node_idx"))
-    inner = edges.where("src <> dst").join(labelled.select(F.col("node_idx").alias("src"), "component"), "src")
-    ends = labelled.select(F.col("component"), F.lit(0).alias("kind"), F.col("node_idx").alias("a"), F.col("image_id").cast("bigint").alias("b"), F.lit(0.0).alias("sim"))
-    rows = ends.unionByName(inner.select("component", F.lit(1).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("sim").cast("double").alias("sim")))
-    roots = scratch.save(rows.groupBy("component").applyInPandas(_forest, "node_idx bigint, root bigint"))
+    last = F.lit(float("-inf"))
+    order = F.coalesce(F.nanvl(F.col("sim").cast("double"), last), last)
+    sets = scratch.save(nodes.select(F.col("node_idx").alias("track"), F.array(F.col("image_id").cast("bigint")).alias("images")))
+    labels = scratch.save(nodes.select("node_idx", F.col("node_idx").alias("track")))
+    left = _apart(edges.where("src <> dst").select(order.alias("sim"), "src", "dst", F.col("src").alias("t1"), F.col("dst").alias("t2")), sets, scratch)
+    while left.count() > replayed:
+        ends = left.select(F.explode(F.array("t1", "t2")).alias("t"), F.struct("sim", "src", "dst", "t1", "t2").alias("e"))
+        first = ends.groupBy("t").agg(F.max("e").alias("e")).groupBy("e").count().where("count = 2").select("e.t1", "e.t2")
+        size = lambda n: sets.select(F.col("track").alias(f"t{n}"), F.size("images").alias(f"n{n}"))
+        keeps = F.col("n1") >= F.col("n2")
+        merged = scratch.save(first.join(size(1), "t1").join(size(2), "t2").select(F.when(keeps, F.col("t2")).otherwise(F.col("t1")).alias("old"), F.when(keeps, F.col("t1")).otherwise(F.col("t2")).alias("new")))
+
+        def renamed(frame: DataFrame, column: str, merged: DataFrame = merged) -> DataFrame:
+            return frame.join(merged.select(F.col("old").alias(column), "new"), column, "left").withColumn(column, F.coalesce("new", column)).drop("new")
+
+        joined = scratch.save(renamed(sets, "track").groupBy("track").agg(F.flatten(F.collect_list("images")).alias("images")))  # two tracks at most
+        following = scratch.save(renamed(labels, "track").select("node_idx", "track"))
+        fewer = _apart(renamed(renamed(left, "t1"), "t2").where("t1 <> t2").select("sim", "src", "dst", "t1", "t2"), joined, scratch)
+        scratch.drop(sets, labels, left, merged)
+        sets, labels, left = joined, following, fewer
+
+    part = components(sets.select(F.col("track").alias("node_idx")), left.select(F.col("t1").alias("src"), F.col("t2").alias("dst")), scratch).withColumnRenamed("node_idx", "track")
+    part = scratch.save(part)
+    heads = sets.join(part, "track").select("component", F.lit(0).alias("kind"), F.col("track").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(0.0).alias("sim"), F.lit(0).cast("bigint").alias("src"), F.lit(0).cast("bigint").alias("dst"), "images")
+    tails = left.join(part, left["t1"] == part["track"]).select("component", F.lit(1).alias("kind"), F.col("t1").alias("a"), F.col("t2").alias("b"), "sim", "src", "dst", F.lit(None).cast("array<bigint>").alias("images"))
+    several = part.groupBy("component").count().where("count > 1").select("component")
+    roots = heads.unionByName(tails).join(several, "component", "left_semi").groupBy("component").applyInPandas(_forest, "track bigint, root bigint")
+    roots = scratch.save(labels.join(roots, "track", "left").select("node_idx", F.coalesce("root", "track").alias("root")))
     numbers = ranked(roots.select("root").distinct(), ["root"], "track")
     return roots.join(numbers, "root").select("node_idx", "track")
 
 
+def _apart(edges: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of the edges between two tracks the first in order, if the tracks share no image."""
+    first = edges.groupBy(F.least("t1", "t2").alias("low"), F.greatest("t1", "t2").alias("high")).agg(F.max(F.struct("sim", "src", "dst", "t1", "t2")).alias("e")).select("e.*")
+    images = lambda n: sets.select(F.col("track").alias(f"t{n}"), F.col("images").alias(f"i{n}"))
+    return scratch.save(first.join(images(1), "t1").join(images(2), "t2").where(~F.arrays_overlap("i1", "i2")).select("sim", "src", "dst", "t1", "t2"))
+
+
 def _forest(rows: pd.DataFrame) -> pd.DataFrame:
     head = rows[rows["kind"] == 0].sort_values("a")
     nodes = head["a"].to_numpy()
     parent = np.arange(len(nodes)).tolist()
-    images = [{i} for i in head["b"].tolist()]
-    tail = rows[rows["kind"] == 1].sort_values(["sim", "a", "b"], ascending=False)
+    images = [set(i) for i in head["images"]]
+    tail = rows[rows["kind"] == 1].sort_values(["sim", "src", "dst"], ascending=False)
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -123,7 +162,7 @@ def _forest(rows: pd.DataFrame) -> pd.DataFrame:
             i = parent[i]
         return i
 
-    for one, two in zip(np.searchsorted(nodes, tail["a"].to_numpy()).tolist(), np.searchsorted(nodes, tail["b"].to_numpy()).tolist()):
+    for one, two in zip(np.searchsorted(nodes, tail["a"].to_numpy(np.int64)).tolist(), np.searchsorted(nodes, tail["b"].to_numpy(np.int64)).tolist()):
         one, two = find(one), find(two)
         if one == two or not images[one].isdisjoint(images[two]):
             continue
@@ -132,7 +171,7 @@ def _forest(rows: pd.DataFrame) -> pd.DataFrame:
         parent[two] = one
         images[one] |= images[two]
         images[two] = set()
-    return pd.DataFrame({"node_idx": nodes, "root": nodes[[find(i) for i in range(len(nodes))]] if len(nodes) else nodes})
+    return pd.DataFrame({"track": nodes, "root": nodes[[find(i) for i in range(len(nodes))]] if len(nodes) else nodes})
 
 
 def intra_track(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -197,8 +236,7 @@ def ka_problem_labels(labels: DataFrame, max_keypoints: int = 50) -> DataFrame:
     as a problem, or larger, is a problem of its own.
     """
     sizes = labels.groupBy("track").agg(F.count(F.lit(1)).alias("size"), F.min("node_idx").alias("first"))
-    order = F.row_number().over(Window.partitionBy("size").orderBy("first")) - 1
-    placed = sizes.withColumn("rank", order)
+    placed = ranked_within(sizes, ["size"], ["first"], "rank")
     histogram = [(r["size"], r["count"]) for r in sizes.groupBy("size").count().orderBy(F.desc("size")).collect()]  # one row per distinct track size
     most = max((s for s, _ in histogram), default=1) if max_keypoints == -1 else max_keypoints
     runs = pack_by_size(histogram, most)

@@ -52,19 +52,30 @@ def exhaustive_pairs(images: DataFrame) -> DataFrame:
     return names.select(F.col("name").alias("name1")).join(names.select(F.col("name").alias("name2")), F.col("name1") < F.col("name2"))
 
 
-def holdout_pairs(pairs: DataFrame, excluded: DataFrame) -> DataFrame:
+def without_images(pairs: DataFrame, excluded: DataFrame) -> DataFrame:
     """Pairs of which neither image is excluded."""
     for side in ("name1", "name2"):
         pairs = pairs.join(excluded.select(F.col("name").alias(side)), side, "left_anti")
     return pairs.select("name1", "name2")
 
 
+def holdout_pairs(images: DataFrame, excluded: DataFrame) -> DataFrame:
+    """All pairs of the images that are not excluded; the names are filtered before they are paired."""
+    return exhaustive_pairs(images.select("name").join(excluded.select("name"), "name", "left_anti"))
+
+
 def query_pairs(pairs: DataFrame, queries: DataFrame, excluded: DataFrame) -> DataFrame:
     """query, other: pairs that hold a query, with an other image that is not excluded for it (excluded: query, name)."""
     ways = pairs.select(F.explode(F.array(F.struct(F.col("name1").alias("query"), F.col("name2").alias("other")), F.struct(F.col("name2").alias("query"), F.col("name1").alias("other")))).alias("w")).select("w.*")
     return ways.join(queries.select("query"), "query", "left_semi").join(excluded.select("query", F.col("name").alias("other")), ["query", "other"], "left_anti")
 
 
+def pairs_of_queries(images: DataFrame, queries: DataFrame, excluded: DataFrame) -> DataFrame:
+    """query, other: every query with every other image that is excluded for none (excluded: name); a stated query set against all images."""
+    others = images.select(F.col("name").alias("other")).distinct().join(excluded.select(F.col("name").alias("other")), "other", "left_anti")
+    return queries.select("query").distinct().join(others, F.col("query") != F.col("other"))
+
+
 def query_points(matches: DataFrame, points2d: DataFrame) -> DataFrame:
     """query, kp_id, point3d_id: distinct 3-D points that a query's keypoints reach over their matches in the model's images (matches: query, kp_id, image_id, db_kp_id)."""
     return matches.join(visible_observations(points2d).select("image_id", F.col("kp_id").alias("db_kp_id"), "point3d_id"), ["image_id", "db_kp_id"]).select("query", "kp_id", "point3d_id").distinct()

@@ -96,7 +96,7 @@ def robust_costs(spark, sf):
 
 
 def _observed(spark: SparkSession, sf: str) -> DataFrame:
-    """A track per label and tenth of the observations."""
+    """A track per label: few and long ones, which the reweighted mean takes whole."""
     desc = view(spark, sf, "v_desc")
     position = F.row_number().over(Window.partitionBy("track").orderBy("obs")).cast("int")
     return desc.select(F.lit(0).alias("level"), F.col("track").cast("bigint").alias("point3d_id"), position.alias("track_pos"), "image_id", "kp_id", F.col("embedding").cast("array<double>").alias("descriptor"))
@@ -118,19 +118,10 @@ def reference_observations(spark, sf):
     return _extracted(spark, sf).select("point3d_id", F.explode("observations").alias("o")).select("point3d_id", "o.track_pos", "o.kp_id", (F.round("o.cost", 6) + F.lit(0.0)).alias("cost"))
 
 
-def _nearest(spark: SparkSession, sf: str, observations: DataFrame) -> DataFrame:
-    queries = observations.select(F.col("image_id").cast("string").alias("query"), F.col("kp_id").alias("pos"), ((F.col("track") + 1) % 10).cast("bigint").alias("point3d_id"), F.col("embedding").cast("array<double>").alias("descriptor"))
-    return references.nearest_references(queries, _extracted(spark, sf)).select("query", "pos", "point3d_id", "src_kp_id")
-
-
 def nearest_reference(spark, sf):
-    """The rows of nearest_reference_all that its SQL has: those of the observations whose kp_id is divisible by 7."""
-    return _nearest(spark, sf, view(spark, sf, "v_desc").where("kp_id % 7 = 0"))
-
-
-def nearest_reference_all(spark, sf):
     """For every observation, the nearest of the observations of the track that follows its own."""
-    return _nearest(spark, sf, view(spark, sf, "v_desc"))
+    queries = view(spark, sf, "v_desc").select(F.col("image_id").cast("string").alias("query"), F.col("kp_id").alias("pos"), ((F.col("track") + 1) % 10).cast("bigint").alias("point3d_id"), F.col("embedding").cast("array<double>").alias("descriptor"))
+    return references.nearest_references(queries, _extracted(spark, sf)).select("query", "pos", "point3d_id", "src_kp_id")
 
 
 def stored_references(spark, sf):
@@ -163,7 +154,7 @@ def scored_matches(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     l2_normalize, ncc_normalize, cosine_scores, corner_boxes, scaled_sizes, bilinear_sample, nearest_sample, bicubic_sample, bicubic_nodes_ncc, gradient_field_sample, patch_slice, robust_costs, robust_mean_irls,
-    reference_source, reference_observations, nearest_reference, nearest_reference_all, stored_references, costmap_cost, costmap_gradients, scored_matches,
+    reference_source, reference_observations, nearest_reference, stored_references, costmap_cost, costmap_gradients, scored_matches,
 )}
 
 
@@ -226,7 +217,7 @@ SELECT track, obs, round(s, 6) + 0.0 AS trivial, round({_CAUCHY.format(s="s")},
     "reference_source": f"{_SOURCE} SELECT CAST(track AS BIGINT) AS point3d_id, image_id AS src_image_id, kp_id AS src_kp_id FROM src WHERE rank = 1",
     "reference_observations": f"""{_SOURCE}, best AS (SELECT track, embedding AS reference FROM src WHERE rank = 1), c AS (SELECT f.track, f.track_pos, f.kp_id, {_D2.format(a="f.embedding", b="b.reference")} AS s FROM far f JOIN best b ON b.track = f.track)
 SELECT CAST(track AS BIGINT) AS point3d_id, CAST(track_pos AS INTEGER) AS track_pos, kp_id, round({_CAUCHY.format(s="s")} / 2, 6) + 0.0 AS cost FROM c""",
-    "nearest_reference": f"""WITH {ctes("v_desc")}, q AS (SELECT *, (track + 1) % 10 AS other FROM v_desc WHERE kp_id % 7 = 0),
+    "nearest_reference": f"""WITH {ctes("v_desc")}, q AS (SELECT *, (track + 1) % 10 AS other FROM v_desc),
 r AS (SELECT CAST(q.image_id AS VARCHAR) AS query, q.kp_id AS pos, CAST(q.other AS BIGINT) AS point3d_id, d.kp_id AS src_kp_id, row_number() OVER (PARTITION BY q.kp_id ORDER BY {_D2.format(a="q.embedding", b="d.embedding")}, d.obs) AS rank FROM q JOIN v_desc d ON d.track = q.other)
 SELECT query, pos, point3d_id, src_kp_id FROM r WHERE rank = 1""",
     "stored_references": """WITH p AS (SELECT DISTINCT ON (level, point3d_id) * FROM point_references WHERE len(costs) = len(track_list_image_id)),

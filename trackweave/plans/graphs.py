@@ -31,9 +31,10 @@ def _graph_b(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return view(spark, sf, "v_nodes_b"), pairs.where(F.col("sim") > LEAST_SIM)
 
 
-def _tracks_b(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
+def _tracks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
+    """The match graph of pair_matches with its tracks."""
     scratch = Scratch(spark, "tracks")
-    nodes, edges = _graph_b(spark, sf)
+    nodes, edges = _graph_a(spark, sf)
     edges = scratch.save(edges)
     return nodes, edges, scratch.save(graph.track_labels(nodes, edges, scratch)), scratch
 
@@ -50,13 +51,8 @@ def _rounded(frame: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def match_decode(spark, sf):
-    """The rows of match_decode_all that its SQL has: those with a score below 1e6."""
-    return _rounded(_matches(spark, sf).where(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < 1e6)), "score")
-
-
-def match_decode_all(spark, sf):
-    """Every decoded match, whether or not it has a usable score."""
-    return _rounded(_matches(spark, sf), "score")
+    """Every decoded match; a score that is NULL, NaN, infinite or beyond 1e6 is none."""
+    return _rounded(_matches(spark, sf).withColumn("score", F.when(F.abs("score") < 1e6, F.col("score"))), "score")
 
 
 def pair_id_roundtrip(spark, sf):
@@ -75,8 +71,7 @@ def graph_degrees(spark, sf):
 
 def graph_scores(spark, sf):
     nodes, edges = _graph_a(spark, sf)
-    finite = F.when(F.isnan("sim") | (F.abs("sim") > 1e6), F.lit(0.0)).otherwise(F.col("sim"))
-    return _rounded(graph.scores(nodes, edges.withColumn("sim", finite)), "score", digits=4)
+    return _rounded(graph.scores(nodes, edges), "score", digits=4)
 
 
 def required_patches(spark, sf):
@@ -104,18 +99,18 @@ def component_edges_ab(spark, sf):
 
 
 def track_labels(spark, sf):
-    return _tracks_b(spark, sf)[2]
+    return _tracks(spark, sf)[2]
 
 
 def track_roots(spark, sf):
     """The root observation and its score of every track."""
-    nodes, edges, labels, _ = _tracks_b(spark, sf)
+    nodes, edges, labels, _ = _tracks(spark, sf)
     scores = graph.score_labels(nodes, edges, labels)
     return labels.join(graph.root_labels(labels, scores).where("is_root"), "node_idx").join(scores, "node_idx").select("track", "node_idx", "score")
 
 
 def track_root_edges(spark, sf):
-    nodes, edges, labels, _ = _tracks_b(spark, sf)
+    nodes, edges, labels, _ = _tracks(spark, sf)
     return graph.root_edges(edges, labels, graph.root_labels(labels, graph.score_labels(nodes, edges, labels)))
 
 
@@ -124,7 +119,7 @@ def problem_labels_ba(spark, sf):
 
 
 def problem_labels_ka(spark, sf):
-    return graph.ka_problem_labels(_tracks_b(spark, sf)[2], 50)
+    return graph.ka_problem_labels(_tracks(spark, sf)[2], 50)
 
 
 def _track_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,14 +166,13 @@ def exhaustive_pairs(spark, sf):
 
 def holdout_pairs(spark, sf):
     images = view(spark, sf, "v_images")
-    return views.holdout_pairs(views.exhaustive_pairs(images), images.where("camera_id < 5"))
+    return views.holdout_pairs(images, images.where("camera_id < 5"))
 
 
 def query_pairs(spark, sf):
     images = view(spark, sf, "v_images")
     queries = images.where("camera_id = 3").select(F.col("name").alias("query"))
-    excluded = images.where("camera_id = 7").select("name").crossJoin(queries).select("query", "name")
-    return views.query_pairs(views.exhaustive_pairs(images), queries, excluded)
+    return views.pairs_of_queries(images, queries, images.where("camera_id = 7"))
 
 
 def query_points(spark, sf):
@@ -195,7 +189,7 @@ def covisibility_holdout(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    match_decode, match_decode_all, pair_id_roundtrip, graph_nodes, graph_degrees, graph_scores, required_patches, graph_components, component_scores, component_roots, component_edges_ab, track_labels, track_roots, track_root_edges,
+    match_decode, pair_id_roundtrip, graph_nodes, graph_degrees, graph_scores, required_patches, graph_components, component_scores, component_roots, component_edges_ab, track_labels, track_roots, track_root_edges,
     problem_labels_ba, problem_labels_ka, track_lengths, long_tracks, contained_tracks, images_with_points, residuals_per_image, feature_view, memory_by_level, exhaustive_pairs, holdout_pairs, query_pairs, query_points, covisible_pairs, covisibility_holdout,
 )}
 
@@ -208,7 +202,7 @@ _NODES = f"""{_DECODED},
 ends AS (SELECT pair_ord, match_ord, 0 AS e, image1 AS image_id, kp1 AS feature_idx FROM d UNION ALL SELECT pair_ord, match_ord, 1, image2, kp2 FROM d),
 firsts AS (SELECT image_id, feature_idx, min((pair_ord, match_ord, e)) AS place FROM ends GROUP BY ALL),
 nodes AS (SELECT row_number() OVER (ORDER BY place) - 1 AS node_idx, image_id, feature_idx FROM firsts),
-edges AS (SELECT a.node_idx AS src, b.node_idx AS dst, CASE WHEN isnan(d.score) OR abs(d.score) > 1e6 THEN 0 ELSE coalesce(d.score, 1.0) END AS sim FROM d JOIN nodes a ON a.image_id = d.image1 AND a.feature_idx = d.kp1 JOIN nodes b ON b.image_id = d.image2 AND b.feature_idx = d.kp2),
+edges AS (SELECT a.node_idx AS src, b.node_idx AS dst, CASE WHEN isnan(d.score) OR isinf(d.score) THEN 0 ELSE coalesce(d.score, 1.0) END AS sim FROM d JOIN nodes a ON a.image_id = d.image1 AND a.feature_idx = d.kp1 JOIN nodes b ON b.image_id = d.image2 AND b.feature_idx = d.kp2),
 sides AS (SELECT src AS n, sim FROM edges UNION ALL SELECT dst, sim FROM edges)"""
 _B = f"""{ctes("v_edges_b", "v_nodes_b")},
 eb AS (SELECT src, dst, round(list_sum(list_transform(list_zip(ea, eb), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS sim FROM v_edges_b),
@@ -229,7 +223,7 @@ _SHARED = "s AS (SELECT DISTINCT point3d_id, image_id FROM t), pairs AS (SELECT
 _ALL_PAIRS = "pairs AS (SELECT a.name AS name1, b.name AS name2 FROM v_images a JOIN v_images b ON a.name < b.name)"
 
 ORACLE = {
-    "match_decode": f"WITH {_DECODED} SELECT pair_ord, match_ord, image1, kp1, image2, kp2, round(score, 6) + 0.0 AS score FROM d WHERE score IS NOT NULL AND NOT isnan(score) AND abs(score) < 1e6",
+    "match_decode": f"WITH {_DECODED} SELECT pair_ord, match_ord, image1, kp1, image2, kp2, CASE WHEN NOT isnan(score) AND abs(score) < 1e6 THEN round(score, 6) + 0.0 END AS score FROM d",
     "pair_id_roundtrip": "SELECT DISTINCT pair_id, pair_id // 2147483647 AS id1, pair_id % 2147483647 AS id2, pair_id AS again FROM pair_matches",
     "graph_nodes": f"WITH {_NODES} SELECT * FROM nodes",
     "graph_degrees": f"WITH {_NODES} SELECT node_idx, count(s.n) AS degree FROM nodes LEFT JOIN sides s ON s.n = node_idx GROUP BY 1",

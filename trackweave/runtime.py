@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Settings that the plans rely on; a cluster's own settings win where they exist.
@@ -128,3 +128,19 @@ def join_nulls(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     renamed = right.withColumnsRenamed({k: f"right_{k}" for k in keys})
     joined = left.join(renamed, [F.col(k).eqNullSafe(F.col(f"right_{k}")) for k in keys], how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"right_{k}" for k in keys])
+
+
+def running(frame: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """The frame with `up_to`, the sum of `value` over the rows of equal keys up to this one by `order`, and `previous`, the `order` before it (NULL for the first).
+
+    Values of `order` differ within a key. Rows are sorted in ranges by key and order and written; a key may hold any share of the
+    rows, for it is summed range by range, and the sums of the ranges before are added.
+    """
+    placed = Scratch(frame.sparkSession, "running").save(frame.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range", *keys).orderBy(order)
+    own = placed.withColumns({"_sum": F.sum(value).over(inside), "_previous": F.lag(order).over(inside)})
+    totals = placed.groupBy("_range", *keys).agg(F.sum(value).alias("_n"), F.max(order).alias("_last"))
+    by_range = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_range")  # of a key, a row per range
+    before = totals.select("_range", *keys, (F.sum("_n").over(by_range) - F.col("_n")).alias("_before"), F.lag("_last").over(by_range).alias("_before_last"))
+    joined = join_nulls(own, before, ["_range", *keys])
+    return joined.withColumns({"up_to": F.col("_sum") + F.col("_before"), "previous": F.coalesce("_previous", "_before_last")}).drop("_range", "_sum", "_previous", "_before", "_before_last")
