@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,6 +213,70 @@ def test_bundle_adjustment_lowers_the_cost_and_keeps_the_gauge(spark):
     assert params[1][1:3].tolist() == [500, 500]  # the principal point stays
 
 
+def flat_scene(kind, n_images=4, n_points=30, seed=3):
+    """Observations of true points under true poses, with patches whose descriptors say how far a place is from the true projection."""
+    rng, params = np.random.default_rng(seed), np.array([900.0, 400.0, 400.0])
+    points = np.stack([*rng.uniform(-1, 1, (2, n_points)), rng.uniform(-0.5, 0.5, n_points)], axis=1)
+    warp = kind == "patch_warp"
+    q = np.array([[1.0, 0, 0, 0] if warp else [1.0, *rng.normal(0, 0.05, 3)] for _ in range(n_images)])
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    t = np.stack([*rng.uniform(-1.5, 1.5, (2, n_images)), np.full(n_images, 8.0)], axis=1)
+    nodes = ((-1.0, -1.0), (1.0, -1.0), (-1.0, 1.0), (1.0, 1.0)) if warp else ((0.0, 0.0),)
+    rows = []
+    for i in range(n_images):
+        xy, _, _ = geometry.project("SIMPLE_PINHOLE", params, geometry.rotation_matrix(q[i : i + 1])[0], t[i], points)
+        for p in range(n_points):
+            x0, y0 = np.floor(xy[p]).astype(int) - 8
+            dy, dx = np.mgrid[0:16, 0:16] + 0.5 + np.array([y0, x0])[:, None, None] - xy[p][::-1, None, None]
+            data = np.stack([np.sin(dx / 7 + p), np.cos(dy / 6 - p)] if warp else [0.1 * dx, 0.1 * dy], axis=2)
+            rows.append({"image_id": i, "camera_id": 1, "point3d_id": p, "x": xy[p, 0], "y": xy[p, 1], **dict(zip(("px", "py", "pz"), points[p])), "model": "SIMPLE_PINHOLE", "params": params.tolist(),
+                         **dict(zip(("qw", "qx", "qy", "qz"), q[i])), **dict(zip(("tx", "ty", "tz"), t[i])), "h": 16, "w": 16, "c": 2, "x0": int(x0), "y0": int(y0), "sx": 1.0, "sy": 1.0, "upsampling": 1.0, "data": data.ravel().tolist(), "reference": [0.0, 0.0]})
+    if warp:
+        sources = {r["point3d_id"]: r for r in rows if r["image_id"] == 0}
+        rows = [r | {f"src_{k}": v for k, v in sources[r["point3d_id"]].items() if k not in ("point3d_id", "px", "py", "pz", "x", "y", "reference")} for r in rows if r["image_id"]]
+    return rows, q, t, points, Sampling(l2_normalize=False, nodes=nodes)
+
+
+@pytest.mark.parametrize("kind, setup, dense", [
+    ("geometric", {"refine_focal": False}, 4000), ("geometric", {"refine_focal": False}, 0), ("geometric", {}, 4000), ("geometric", {"refine_points": False, "refine_focal": False}, 4000), ("geometric", {"refine_poses": False, "refine_focal": False}, 4000),
+    ("geometric", {"constant_points": {1, 2}, "constant_cameras": {1}}, 4000), ("feature_reference", {"refine_focal": False}, 4000), ("feature_reference", {"refine_focal": False}, 0), ("costmaps", {"refine_focal": False}, 4000), ("patch_warp", {"refine_focal": False, "refine_poses": False}, 4000),
+])
+def test_bundle_adjustment_finds_the_truth(spark, kind, setup, dense):
+    rows, q, t, points, sampling_ = flat_scene(kind)
+    rng = np.random.default_rng(1)
+    setup = BundleSetup.gauge(range(4), **setup)
+    off_point = {p: rng.normal(0, 0.004, 3) if setup.refine_points and p not in setup.constant_points else np.zeros(3) for p in range(30)}
+    off_pose = {i: rng.normal(0, 0.003, 2) if i > 1 and setup.refine_poses else np.zeros(2) for i in range(4)}
+    for r in rows:
+        for k, name in enumerate(("px", "py", "pz")):
+            r[name] += off_point[r["point3d_id"]][k]
+        for k, name in enumerate(("tx", "ty")):
+            r[name] += off_pose[r["image_id"]][k]
+        if setup.refine_focal and not setup.constant_cameras:
+            r["params"] = [903.0, 400.0, 400.0]
+    frame = spark.createDataFrame(pd.DataFrame(rows))
+    poses, params, found, costs = adjust.bundle_adjust(frame, setup, Options(loss_name="trivial", parameter_tolerance=0.0, max_iterations=25), Scratch(spark, "t"), kind, sampling_, dense)
+    assert np.all(np.diff(costs) < 0) and costs[-1] < (1e-4 if kind == "patch_warp" else 1e-6) * costs[0]  # sampling between pixels leaves a rest in the warp
+    for r in found.collect():
+        assert np.abs(np.array([r.px, r.py, r.pz]) - points[r.point3d_id]).max() < (1e-3 if kind == "patch_warp" else 1e-4)
+    for i in range(4):
+        if i in poses:
+            assert np.abs(poses[i][1] - t[i]).max() < 1e-4
+    if setup.refine_focal and not setup.constant_cameras:
+        assert abs(params[1][0] - 900) < 0.01
+
+
+def test_points_over_levels(spark):
+    rows, _, _, points, how = flat_scene("feature_reference")
+    frame = spark.createDataFrame(pd.DataFrame(rows)).withColumn("px", F.col("px") + 0.004)
+
+    def rows_of_level(level, poses, cameras, found):
+        return frame if found is None else frame.drop("px", "py", "pz").join(found, "point3d_id")
+
+    costs = adjust.bundle_over_levels(rows_of_level, [1, 0], BundleSetup(refine_poses=False, refine_focal=False), Options(loss_name="trivial", parameter_tolerance=0.0), Scratch(spark, "t"), "feature_reference", how)
+    assert len(costs) == 2 and costs[1][0] <= costs[0][-1] * 1.001 + 1e-12 and costs[1][-1] < 1e-9
+
+
 def test_localisation(spark):
     rows, schema = scene(3, 60, 2)
     frame = spark.createDataFrame(rows, schema).select(F.col("image_id").cast("string").alias("query"), F.col("point3d_id").cast("int").alias("pos"), F.col("point3d_id").cast("int").alias("kp_id"), "point3d_id", "x", "y", "px", "py", "pz", "model", "params")

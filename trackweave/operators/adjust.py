@@ -359,133 +359,252 @@ def _back_projected(model, params, turn, shift, xy, depth) -> np.ndarray:
     return world
 
 
-def bundle_adjust(observations: DataFrame, setup: BundleSetup, options: Options = Options(parameter_tolerance=0.0, max_iterations=20), scratch: Scratch | None = None) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], DataFrame, list[float]]:
-    """Geometric bundle adjustment of poses, cameras and points: {image_id: q, t}, {camera_id: params}, points (point3d_id, px, py, pz), costs per iteration.
+@dataclass
+class BundleState:
+    """Poses and cameras as arrays by ascending id. Their size is that of images and cameras: some 150 bytes each go to every task."""
+
+    image_ids: np.ndarray
+    quaternions: np.ndarray
+    shifts: np.ndarray
+    camera_ids: np.ndarray
+    models: np.ndarray
+    params: np.ndarray
+
+    def moved(self, step: np.ndarray) -> BundleState:
+        n = len(self.image_ids)
+        pose, inner = step[: 6 * n].reshape(n, 6), step[6 * n :].reshape(-1, MOST_PARAMS)
+        return replace(self, quaternions=geometry.turned(self.quaternions, pose[:, :3]), shifts=self.shifts + pose[:, 3:], params=self.params + inner)
+
+    def poses(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        return {int(i): (q, t) for i, q, t in zip(self.image_ids, self.quaternions, self.shifts)}
+
+    def cameras(self) -> dict[int, np.ndarray]:
+        return {int(c): p[: geometry.n_params(m)] for c, m, p in zip(self.camera_ids, self.models, self.params)}
+
+
+#: Unknowns of poses and cameras up to which the reduced system is formed and solved as a matrix on the driver (128 MB); beyond, by conjugate gradients.
+DENSE_UNKNOWNS = 4_000
+_SOURCE = ("src_image_id", "src_camera_id")
+
+
+def bundle_adjust(
+    observations: DataFrame, setup: BundleSetup, options: Options = Options(parameter_tolerance=0.0, max_iterations=20), scratch: Scratch | None = None, kind: str = "geometric", sampling: Sampling = Sampling(), dense_unknowns: int = DENSE_UNKNOWNS
+) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], DataFrame, list[float]]:
+    """Bundle adjustment of poses, cameras and points: {image_id: q, t}, {camera_id: params}, points (point3d_id, px, py, pz), costs per iteration.
 
-    observations: image_id, camera_id, point3d_id, x, y, px, py, pz. The starting poses and cameras come with them (model, params,
-    qw..qz, tx..tz). Levenberg-Marquardt with the points eliminated: for each point a task forms its Schur complement, Spark adds
-    these blocks by pair of images, and the reduced system, 6 per image and at most 8 per camera, is solved on the driver, which
-    bounds the number of images to some hundreds. Points are then moved back in the tasks. A step is taken only if the summed cost falls.
+    observations: image_id, camera_id, point3d_id, px, py, pz, model, params, qw..qz, tx..tz and what the kind needs (see adjust_points);
+    a patch warp also src_image_id and src_camera_id. Levenberg-Marquardt with the points eliminated: tasks hold the observations
+    of whole points and add up Schur complements. Up to dense_unknowns unknowns of poses and cameras, the reduced system is summed
+    and solved as a matrix on the driver; beyond, it is solved by conjugate gradients, each product one pass over the observations,
+    which moves vectors of the unknowns only. A step is taken only if the summed cost falls.
     """
-    spark = observations.sparkSession
-    images = {r.image_id: r for r in observations.groupBy("image_id").agg(*[F.first(c).alias(c) for c in ("camera_id", "qw", "qx", "qy", "qz", "tx", "ty", "tz")]).collect()}
-    cameras = {r.camera_id: r for r in observations.groupBy("camera_id").agg(F.first("model").alias("model"), F.first("params").alias("params")).collect()}
-    models = {c: r.model for c, r in cameras.items()}
-    params = {c: np.array(r.params, float) for c, r in cameras.items()}
-    poses = {i: (np.array([r.qw, r.qx, r.qy, r.qz]) / np.linalg.norm([r.qw, r.qx, r.qy, r.qz]), np.array([r.tx, r.ty, r.tz])) for i, r in images.items()}
-    layout, size, fixed = {}, 0, []
-    for i in sorted(poses):
-        layout["image", i] = size
-        hold = i in setup.constant_poses or not setup.refine_poses
-        fixed += [hold] * 3 + [hold or i in setup.constant_tx] + [hold] * 2
-        size += 6
-    for c in sorted(params):
-        layout["camera", c] = size
-        fixed += setup.fixed_params(c, models[c]).tolist()
-        size += len(params[c])
-    free = ~np.array(fixed, bool)
-    rho = loss(options.loss_name, options.loss_scale)
-    columns = ["image_id", "camera_id", "point3d_id", "x", "y"]
-    points = observations.select("point3d_id", "px", "py", "pz").distinct()
-    own = scratch or Scratch(spark, "bundle")
-    points = own.save(points)
-    seen = own.save(observations.select(*columns).repartition("point3d_id"))
-    held = setup.constant_points
-
-    def parts_of(key, rows: pd.DataFrame, state, damping: float):
-        poses, params = state
-        x = rows[["px", "py", "pz"]].to_numpy(float)[0]
-        big = {}
-        system = []
-        for row in rows.itertuples():
-            q, t = poses[row.image_id]
-            r, by = res.geometric(Camera(models[row.camera_id], params[row.camera_id]), geometry.rotation_matrix(q[None])[0], t, x[None], np.array([[row.x, row.y]]))
-            value, first, _ = rho((r**2).sum(axis=1))
-            wide = [(("image", row.image_id), np.concatenate([by["turn"][0], by["t"][0]], axis=1)), (("camera", row.camera_id), by["params"][0])]
-            system.append((r[0], first[0], wide, by["point"][0], 0.5 * value[0]))
-        hpp, gp = np.zeros((3, 3)), np.zeros(3)
-        cross: dict = {}
-        for r, weight, wide, point, _ in system:
-            hpp += weight * point.T @ point
-            gp += weight * point.T @ r
-            for name, j in wide:
-                cross[name] = cross.get(name, 0) + weight * j.T @ point
-                big[name] = big.get(name, 0) + weight * j.T @ r
-        return x, system, hpp, gp, cross, big
-
-    def reduced(state, damping):
-        def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-            _, system, hpp, gp, cross, big = parts_of(key, rows, state, damping)
-            out = [("cost", 0, 0, sum(s[4] for s in system))]
-            blocks: dict = {}
-            for _, weight, wide, _, _ in system:
-                for a, ja in wide:
-                    for b, jb in wide:
-                        blocks[a, b] = blocks.get((a, b), 0) + weight * ja.T @ jb
-            gradient = dict(big)
-            if setup.refine_points and key[0] not in held:
-                inverse = np.linalg.inv(hpp + damping * np.diag(np.maximum(np.diag(hpp), 1e-9)))
-                for a, ea in cross.items():
-                    gradient[a] = gradient[a] - ea @ inverse @ gp
-                    for b, eb in cross.items():
-                        blocks[a, b] = blocks.get((a, b), 0) - ea @ inverse @ eb.T
-            for (a, b), m in blocks.items():
-                i, j = layout[a], layout[b]
-                out += [("h", i + u, j + v, float(m[u, v])) for u in range(m.shape[0]) for v in range(m.shape[1])]
-            for a, g in gradient.items():
-                out += [("g", layout[a] + u, 0, float(g[u])) for u in range(len(g))]
-            return pd.DataFrame(out, columns=["what", "i", "j", "value"])
+    spark, own = observations.sparkSession, scratch or Scratch(observations.sparkSession, "bundle")
+    state = _bundle_state(observations)
+    n_images, size = len(state.image_ids), 6 * len(state.image_ids) + MOST_PARAMS * len(state.camera_ids)
+    fixed = np.zeros(size, bool)
+    for i, image in enumerate(state.image_ids.tolist()):
+        fixed[6 * i : 6 * i + 6] = image in setup.constant_poses or not setup.refine_poses
+        fixed[6 * i + 3] |= image in setup.constant_tx
+    for c, (camera, model) in enumerate(zip(state.camera_ids.tolist(), state.models)):
+        known = setup.fixed_params(camera, model)
+        fixed[6 * n_images + MOST_PARAMS * c :][:MOST_PARAMS] = np.concatenate([known, np.ones(MOST_PARAMS - len(known), bool)])
+    free, rho, held = ~fixed, loss(options.loss_name, options.loss_scale), np.array(sorted(setup.constant_points), np.int64)
+    points = own.save(observations.groupBy("point3d_id").agg(*[F.first(c).alias(c) for c in ("px", "py", "pz")]))
+    seen = own.save(observations.drop("px", "py", "pz"))
+
+    def systems(part: pd.DataFrame, state: BundleState, damping: float) -> dict:
+        """Residuals, Jacobians and damped point systems of the points of a run of rows."""
+        rows = np.arange(len(part))
+        ids, owner = np.unique(part["point3d_id"].to_numpy(np.int64), return_inverse=True)
+        image, camera = (np.searchsorted(known, part[name].to_numpy(np.int64)) for name, known in (("image_id", state.image_ids), ("camera_id", state.camera_ids)))
+        turns = geometry.rotation_matrix(state.quaternions)
+        source, columns = None, [6 * image[:, None] + np.arange(6), 6 * n_images + MOST_PARAMS * camera[:, None] + np.arange(MOST_PARAMS)]
+        if kind == "patch_warp":
+            s_image, s_camera = (np.searchsorted(known, part[name].to_numpy(np.int64)) for name, known in zip(_SOURCE, (state.image_ids, state.camera_ids)))
+            source = turns[s_image], state.shifts[s_image], state.params[s_camera]
+            columns += [6 * s_image[:, None] + np.arange(6), 6 * n_images + MOST_PARAMS * s_camera[:, None] + np.arange(MOST_PARAMS)]
+        r, by = Observed(part, kind, sampling).residuals(rows, part[["px", "py", "pz"]].to_numpy(float), turns[image], state.shifts[image], state.params[camera], source)
+        wide = [np.concatenate([by["turn"], by["t"], by["params"]], axis=2)]
+        if source is not None:
+            wide.append(np.concatenate([by["source_turn"], by["source_t"], by["source_params"]], axis=2))
+        column = np.concatenate(columns, axis=1)
+        wide = np.concatenate(wide, axis=2) * free[column][:, None, :]
+        cost, slope, _ = rho((r**2).sum(axis=1))
+        owner, n = owner.ravel(), len(ids)
+        v, g = np.zeros((n, 3, 3)), np.zeros((n, 3))
+        weighted = slope[:, None, None] * by["point"]
+        np.add.at(v, owner, weighted.transpose(0, 2, 1) @ by["point"])
+        np.add.at(g, owner, (weighted.transpose(0, 2, 1) @ r[:, :, None])[:, :, 0])
+        inverse = np.zeros_like(v)
+        moves = np.full(n, setup.refine_points) & ~np.isin(ids, held)
+        damped = v + damping * np.eye(3) * np.maximum(np.diagonal(v, axis1=1, axis2=2), 1e-9)[:, :, None]
+        inverse[moves] = np.linalg.pinv(damped[moves], rcond=1e-13, hermitian=True)  # a point seen once is not determined along its ray
+        return {"ids": ids, "owner": owner, "column": column, "wide": wide, "r": r, "slope": slope, "cost": 0.5 * cost, "point": by["point"], "inverse": inverse, "g": g}
+
+    def entries(values: np.ndarray, at: np.ndarray, what: str) -> pd.DataFrame:
+        """Sums by place of one run."""
+        places, which = np.unique(at.ravel(), return_inverse=True)
+        return pd.DataFrame({"what": what, "at": places.astype(np.int64), "value": np.bincount(which.ravel(), values.ravel(), len(places))})
+
+    def back(s: dict, vector: np.ndarray) -> np.ndarray:
+        """V^-1 E^T vector of each point."""
+        t = np.zeros_like(s["g"])
+        along = (s["wide"] @ vector[s["column"]][:, :, None])[:, :, 0]
+        np.add.at(t, s["owner"], s["slope"][:, None] * (s["point"].transpose(0, 2, 1) @ along[:, :, None])[:, :, 0])
+        return (s["inverse"] @ t[:, :, None])[:, :, 0]
+
+    def gradients(state: BundleState, damping: float, matrix: bool):
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            s = systems(part, state, damping)
+            pull = (s["inverse"] @ s["g"][:, :, None])[:, :, 0]
+            turned = s["slope"][:, None, None] * s["wide"].transpose(0, 2, 1)
+            out = [entries((turned @ (s["r"] - (s["point"] @ pull[s["owner"]][:, :, None])[:, :, 0])[:, :, None])[:, :, 0], s["column"], "g")]
+            out.append(entries(np.einsum("nmk,nkm->nm", turned, s["wide"]), s["column"], "d"))
+            if matrix:
+                m = s["column"].shape[1]
+                moves = free[s["column"]]
+                place = s["column"][:, :, None] * size + s["column"][:, None, :]
+                inner = moves[:, :, None] & moves[:, None, :]
+                out.append(entries((turned @ s["wide"])[inner], place[inner], "h"))
+                cross = turned @ s["point"]
+                order = np.argsort(s["owner"], kind="stable")
+                bounds = np.searchsorted(s["owner"][order], np.arange(len(s["ids"]) + 1))
+                values, at, load = [], [], 0
+                loose = np.nonzero(s["inverse"].any(axis=(1, 2)))[0]
+                for p in loose:
+                    own_rows = order[bounds[p] : bounds[p + 1]]
+                    c = s["column"][own_rows].ravel()
+                    e, c = cross[own_rows].reshape(-1, 3)[free[c]], c[free[c]]
+                    values.append((-e @ s["inverse"][p] @ e.T).ravel())
+                    at.append((c[:, None] * size + c[None, :]).ravel())
+                    load += len(e) ** 2
+                    if load > 4_000_000 or p == loose[-1]:
+                        out.append(entries(np.concatenate(values), np.concatenate(at), "h"))
+                        values, at, load = [], [], 0
+            return pd.concat(out)
 
         return run
 
-    def moved(state, step, damping):
-        def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-            x, system, hpp, gp, cross, _ = parts_of(key, rows, state, damping)
-            if setup.refine_points and key[0] not in held:
-                shift = gp + sum(e.T @ step[layout[a] : layout[a] + len(e)] for a, e in cross.items())
-                x = x - np.linalg.solve(hpp + damping * np.diag(np.maximum(np.diag(hpp), 1e-9)), shift)
-            return pd.DataFrame([[key[0], *x]], columns=["point3d_id", "px", "py", "pz"])
+    def product(state: BundleState, damping: float, vector: np.ndarray):
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            s = systems(part, state, damping)
+            along = (s["wide"] @ vector[s["column"]][:, :, None])[:, :, 0] - (s["point"] @ back(s, vector)[s["owner"]][:, :, None])[:, :, 0]
+            return entries(s["slope"][:, None] * (s["wide"].transpose(0, 2, 1) @ along[:, :, None])[:, :, 0], s["column"], "y")
 
         return run
 
-    def cost_of(state, table) -> float:
-        def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"cost": [sum(s[4] for s in parts_of(key, rows, state, 0.0)[1])]})
+    def moved(state: BundleState, step: np.ndarray, damping: float):
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            s = systems(part, state, damping)
+            first = np.unique(part["point3d_id"].to_numpy(np.int64), return_index=True)[1]
+            at = part[["px", "py", "pz"]].to_numpy(float)[first] - (s["inverse"] @ s["g"][:, :, None])[:, :, 0] - back(s, step)
+            return pd.DataFrame({"point3d_id": s["ids"], "px": at[:, 0], "py": at[:, 1], "pz": at[:, 2]})
+
+        return run
+
+    def over(points: DataFrame, run, schema: str) -> DataFrame:
+        return by_problem(seen.join(points, "point3d_id"), "point3d_id", run, schema)
+
+    def sums(points: DataFrame, run) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Vectors of the unknowns, and of the pairs of unknowns only where the matrix is wanted."""
+        rows = over(points, run, "what string, at bigint, value double").groupBy("what", "at").agg(F.sum("value").alias("value")).toArrow()
+        what, at, value = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("what", "at", "value"))
+        return {w: (at[what == w], value[what == w]) for w in np.unique(what.astype(str))}
 
-        return seen.join(table, "point3d_id").groupBy("point3d_id").applyInPandas(run, "cost double").agg(F.sum("cost")).first()[0] or 0.0
+    def dense(pairs: tuple[np.ndarray, np.ndarray], length: int) -> np.ndarray:
+        out = np.zeros(length)
+        out[pairs[0]] = pairs[1]
+        return out
 
-    state, damping, costs = (poses, params), 1e-4, []
-    costs.append(cost_of(state, points))
+    def cost_of(state: BundleState, points: DataFrame) -> float:
+        run = lambda part: pd.DataFrame({"cost": [systems(part, state, 0.0)["cost"].sum()]})
+        return over(points, run, "cost double").agg(F.sum("cost")).first()[0] or 0.0
+
+    damping, costs, unknowns = 1e-4, [cost_of(state, points)], int(free.sum())
     for _ in range(options.max_iterations):
-        sums = seen.join(points, "point3d_id").groupBy("point3d_id").applyInPandas(reduced(state, damping), "what string, i int, j int, value double").groupBy("what", "i", "j").agg(F.sum("value").alias("value")).collect()
-        hessian, gradient = np.zeros((size, size)), np.zeros(size)
-        for r in sums:  # as many rows as the reduced system has entries
-            if r.what == "h":
-                hessian[r.i, r.j] += r.value
-            elif r.what == "g":
-                gradient[r.i] += r.value
+        found = sums(points, gradients(state, damping, 0 < unknowns <= dense_unknowns))
+        if not found:
+            break
+        gradient, scale = dense(found["g"], size), np.maximum(dense(found["d"], size), 1e-9)
         step = np.zeros(size)
-        if free.any():
-            h = hessian[np.ix_(free, free)]
-            step[free] = -np.linalg.lstsq(h + damping * np.diag(np.maximum(np.abs(np.diag(h)), 1e-9)), gradient[free], rcond=None)[0]
-        new_poses = {i: (geometry.turned(q, step[layout["image", i] :][:3]), t + step[layout["image", i] + 3 :][:3]) for i, (q, t) in state[0].items()}
-        new_params = {c: p + step[layout["camera", c] :][: len(p)] for c, p in state[1].items()}
-        candidate = own.save(seen.join(points, "point3d_id").groupBy("point3d_id").applyInPandas(moved(state, step, damping), "point3d_id bigint, px double, py double, pz double"))
-        cost = cost_of((new_poses, new_params), candidate)
+        if 0 < unknowns <= dense_unknowns:
+            h = np.zeros((unknowns, unknowns))
+            number = np.cumsum(free) - 1
+            i, j = np.divmod(found["h"][0], size)
+            inner = free[i] & free[j]
+            h[number[i[inner]], number[j[inner]]] = found["h"][1][inner]
+            step[free] = -np.linalg.lstsq(h + damping * np.diag(scale[free]), gradient[free], rcond=None)[0]
+        elif unknowns:
+            apply = lambda x: np.where(free, dense(sums(points, product(state, damping, x))["y"], size) + damping * scale * x, 0)
+            step = -_conjugate_gradients(apply, np.where(free, gradient, 0), scale * (1 + damping))
+        trial = state.moved(step)
+        candidate = own.save(over(points, moved(state, step, damping), "point3d_id bigint, px double, py double, pz double"))
+        cost = cost_of(trial, candidate)
         if np.isfinite(cost) and cost < costs[-1]:
             fall = (costs[-1] - cost) / max(costs[-1], 1e-300)
-            state, damping = (new_poses, new_params), max(damping / 5, 1e-12)
+            state, damping = trial, max(damping / 5, 1e-12)
             own.drop(points)
             points = candidate
             costs.append(cost)
-            if fall <= max(options.function_tolerance, 1e-9):
+            if fall <= max(options.function_tolerance, 1e-9) or cost <= 1e-18 * costs[0]:
                 break
         else:
             own.drop(candidate)
             damping *= 10
             if damping > 1e8:
                 break
-    return state[0], state[1], points, costs
+    return state.poses(), state.cameras(), points, costs
+
+
+def _bundle_state(observations: DataFrame) -> BundleState:
+    """Poses and cameras of the observations and of their sources, each once."""
+    pose, camera = ("qw", "qx", "qy", "qz", "tx", "ty", "tz"), ("model", "params")
+    images, cameras = observations.select("image_id", *pose), observations.select("camera_id", *camera)
+    if "src_image_id" in observations.columns:
+        images = images.unionByName(observations.select(F.col("src_image_id").alias("image_id"), *[F.col(f"src_{c}").alias(c) for c in pose]))
+        cameras = cameras.unionByName(observations.select(F.col("src_camera_id").alias("camera_id"), *[F.col(f"src_{c}").alias(c) for c in camera]))
+    images = images.groupBy("image_id").agg(*[F.first(c).alias(c) for c in pose]).orderBy("image_id").toPandas()
+    cameras = cameras.groupBy("camera_id").agg(*[F.first(c).alias(c) for c in camera]).orderBy("camera_id").toPandas()
+    params = np.zeros((len(cameras), MOST_PARAMS))
+    for i, p in enumerate(cameras["params"]):
+        params[i, : len(p)] = p
+    table = images[list(pose)].to_numpy(float)
+    unit = table[:, :4] / np.linalg.norm(table[:, :4], axis=1, keepdims=True)
+    return BundleState(images["image_id"].to_numpy(np.int64), unit, table[:, 4:], cameras["camera_id"].to_numpy(np.int64), cameras["model"].to_numpy(object), params)
+
+
+def _conjugate_gradients(apply, right: np.ndarray, diagonal: np.ndarray, tolerance: float = 1e-8, most: int = 200) -> np.ndarray:
+    """Solution of apply(x) = right, preconditioned by the diagonal, to a relative residual."""
+    x, r = np.zeros_like(right), right.copy()
+    z = r / diagonal
+    p, rz, target = z.copy(), r @ z, tolerance * np.linalg.norm(right)
+    for _ in range(most):
+        if np.linalg.norm(r) <= target:
+            break
+        q = apply(p)
+        along = p @ q
+        if along <= 0:
+            break
+        alpha = rz / along
+        x, r = x + alpha * p, r - alpha * q
+        z = r / diagonal
+        following = r @ z
+        p, rz = z + following / rz * p, following
+    return x
+
+
+def bundle_over_levels(rows_of_level, levels: list[int], setup: BundleSetup, options: Options = Options(parameter_tolerance=0.0, max_iterations=20), scratch: Scratch | None = None, kind: str = "feature_reference", sampling: Sampling = Sampling()) -> list[list[float]]:
+    """Bundle adjustment from the first level to the last: the costs of each.
+
+    rows_of_level(level, poses, cameras, points) gives the observations of a level; the last three are None at first, then what the
+    level before found (as bundle_adjust returns them).
+    """
+    poses = cameras = points = None
+    history = []
+    for level in levels:
+        poses, cameras, points, costs = bundle_adjust(rows_of_level(level, poses, cameras, points), setup, options, scratch, kind, sampling)
+        history.append(costs)
+    return history
 
 
 def summary_totals(summaries: DataFrame) -> DataFrame:

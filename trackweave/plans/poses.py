@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.functions import geometry
+from trackweave.functions.interpolation import Sampling
 from trackweave.operators import adjust, evaluation, localize, views
-from trackweave.operators.adjust import KeypointOptions
+from trackweave.operators.adjust import BundleSetup, KeypointOptions
 from trackweave.operators.graph import ba_problem_labels
 from trackweave.operators.sampling import sample_patches
 from trackweave.operators.solver import Options
@@ -114,28 +116,97 @@ def _truth(spark: SparkSession, sf: str) -> DataFrame:
     return _rows(spark, sf).withColumns({"x": u, "y": v}).where(F.col("x").isNotNull())
 
 
+def _off(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"px": F.col("px") + 0.05, "py": F.col("py") - 0.03, "pz": F.col("pz") + 0.08})
+
+
+def _places(points: DataFrame, digits: int = 4) -> list:
+    return [(F.round(c, digits) + F.lit(0.0)).alias(c) for c in ("px", "py", "pz")]
+
+
 def ba_points_geometric(spark, sf):
     """Points moved off by 0.05 come back to where their observations put them."""
-    rows = _truth(spark, sf).withColumns({"px": F.col("px") + 0.05, "py": F.col("py") - 0.03, "pz": F.col("pz") + 0.08})
-    return adjust.adjust_points(rows, Options(loss_name="trivial", parameter_tolerance=1e-8, max_iterations=15)).join(ba_problem_labels(view(spark, sf, "v_points3d")), "point3d_id")
+    moved = adjust.adjust_points(_off(_truth(spark, sf)), Options(loss_name="trivial", parameter_tolerance=1e-10))
+    return moved.join(ba_problem_labels(view(spark, sf, "v_points3d")), "point3d_id").select("point3d_id", "problem", *_places(moved))
+
+
+def _with_patches(rows: DataFrame) -> DataFrame:
+    """A patch around each projection whose two channels say how far a place is from it, in tenths of pixels."""
+    x0, y0 = F.floor("x").cast("int") - 8, F.floor("y").cast("int") - 8
+    data = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.array((k % 16 + x0 + 0.5 - F.col("x")) / 10, (F.floor(k / 16) + y0 + 0.5 - F.col("y")) / 10)))
+    return rows.withColumns({"h": F.lit(16), "w": F.lit(16), "c": F.lit(2), "x0": x0, "y0": y0, "sx": F.lit(1.0), "sy": F.lit(1.0), "upsampling": F.lit(1.0), "data": data, "reference": F.array(F.lit(0.0), F.lit(0.0))})
+
+
+def _moved_by_patches(spark, sf, kind: str) -> DataFrame:
+    rows = _with_patches(_truth(spark, sf)).withColumns({"px": F.col("px") + 0.01, "py": F.col("py") - 0.008, "pz": F.col("pz") + 0.01})
+    moved = adjust.adjust_points(rows, Options(loss_name="trivial", parameter_tolerance=1e-10), kind, Sampling(l2_normalize=False))
+    return moved.select("point3d_id", *_places(moved))
+
+
+def ba_points_feature_reference(spark, sf):
+    """Points moved off come back to where the descriptors at their projections meet the reference."""
+    return _moved_by_patches(spark, sf, "feature_reference")
+
+
+def ba_points_costmaps(spark, sf):
+    """Points moved off come back to where the sampled maps are zero."""
+    return _moved_by_patches(spark, sf, "costmaps")
+
+
+def ba_full_geometric(spark, sf):
+    """Poses, cameras and points of the images of one nation, started off the truth: the refined poses."""
+    rows = _truth(spark, sf).where("camera_id = 3").withColumns({"tx": F.col("tx") + 0.01 * (F.col("image_id") % 3), "px": F.col("px") + 0.01})
+    setup = BundleSetup.gauge([r.image_id for r in view(spark, sf, "v_poses").where("camera_id = 3").select("image_id").collect()])
+    poses, _, _, _ = adjust.bundle_adjust(rows, setup, Options(loss_name="trivial", max_iterations=6))
+    return spark.createDataFrame([(int(i), *map(float, q), *map(float, t)) for i, (q, t) in poses.items()], "image_id int, qw double, qx double, qy double, qz double, tx double, ty double, tz double")
+
+
+def ba_poses(spark, sf):
+    """Poses of all images, moved off and found again from the points they see; the points stay."""
+    rows = _truth(spark, sf).withColumns({"tx": F.col("tx") + 0.01 * (F.col("image_id") % 3), "ty": F.col("ty") - 0.01})
+    setup = BundleSetup(refine_points=False, refine_focal=False, refine_extra=False)
+    poses, _, _, _ = adjust.bundle_adjust(rows, setup, Options(loss_name="trivial", max_iterations=20))
+    table = [(int(i), *map(float, q * np.sign(q[0])), *map(float, t)) for i, (q, t) in poses.items()]
+    found = spark.createDataFrame(table, "image_id int, qw double, qx double, qy double, qz double, tx double, ty double, tz double")
+    return found.select("image_id", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")])
 
 
 def localized_queries(spark, sf):
     """Every image taken as a query: its pose found again from its observations."""
     rows = _truth(spark, sf).select(F.col("image_id").cast("string").alias("query"), F.col("point3d_id").cast("int").alias("pos"), F.col("point3d_id").cast("int").alias("kp_id"), "point3d_id", "x", "y", "px", "py", "pz", "model", "params")
-    return localize.localize(rows).drop("inliers")
+    found = localize.localize(rows)
+    return found.select("query", "success", *[(F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")])
+
+
+def _field(spark: SparkSession, sf: str) -> DataFrame:
+    """A smooth patch per keypoint: sines of the place plus a shift by the key."""
+    x, y = lambda k: k % 12, lambda k: F.floor(k / 12)
+    dx, dy = (F.col("src") % 7 - 3) / 10, (F.col("src") % 5 - 2) / 10
+    data = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(143)), lambda k: F.array(F.sin((x(k) + dx) * 0.25), F.cos((y(k) + dy) * 0.2), F.sin((x(k) + dx + y(k) + dy) * 0.15))))
+    keys = view(spark, sf, "v_patch").select(F.col("kp_id").cast("bigint").alias("src"), "image_name", "x0", "y0", "sx", "sy", "upsampling")
+    return keys.withColumns({"h": F.lit(12), "w": F.lit(12), "c": F.lit(3), "data": data, "dx": dx, "dy": dy, "x": (F.lit(5.5) + F.col("x0") + 0.5) / F.col("sx"), "y": (F.lit(5.5) + F.col("y0") + 0.5) / F.col("sy")})
 
 
-def _keypoint_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Each patch paired with the next of its label, started at its middle."""
-    patches = view(spark, sf, "v_patch").select(F.col("kp_id").cast("bigint").alias("src"), "h", "w", "c", "x0", "y0", "sx", "sy", "upsampling", "data")
-    heads = patches.select(F.floor(F.col("src") / 2).alias("problem"), F.lit(0).alias("kind"), "src", F.lit(None).cast("bigint").alias("dst"), F.lit(None).cast("double").alias("sim"), ((F.lit(2.0) + F.col("x0") + 0.5) / F.col("sx")).alias("x"), ((F.lit(2.0) + F.col("y0") + 0.5) / F.col("sy")).alias("y"), (F.col("src") % 2 == 0).alias("is_constant"), *[c for c in patches.columns if c != "src"])
+def _keypoint_rows(patches: DataFrame) -> DataFrame:
+    """Problems of two keypoints, of which the first stays: each even key with the one after it."""
+    none = lambda kind: F.lit(None).cast(kind)
+    heads = patches.select(F.floor(F.col("src") / 2).alias("problem"), F.lit(0).alias("kind"), "src", none("bigint").alias("dst"), none("double").alias("sim"), "x", "y", (F.col("src") % 2 == 0).alias("is_constant"), "h", "w", "c", "x0", "y0", "sx", "sy", "upsampling", "data")
     edges = patches.where("src % 2 = 0").select(F.floor(F.col("src") / 2).alias("problem"), F.lit(1).alias("kind"), "src", (F.col("src") + 1).alias("dst"), F.lit(1.0).alias("sim"))
     return heads.unionByName(edges, allowMissingColumns=True)
 
 
 def ka_featuremetric(spark, sf):
-    return adjust.adjust_keypoints(_keypoint_rows(spark, sf), KeypointOptions())
+    """Pairs of patches of noise, each keypoint started at its middle."""
+    patches = view(spark, sf, "v_patch").withColumns({"src": F.col("kp_id").cast("bigint"), "x": (F.lit(2.0) + F.col("x0") + 0.5) / F.col("sx"), "y": (F.lit(2.0) + F.col("y0") + 0.5) / F.col("sy")})
+    return adjust.adjust_keypoints(_keypoint_rows(patches), KeypointOptions()).drop("history")
+
+
+def ka_smooth(spark, sf):
+    """Pairs of patches of one smooth field, shifted against each other: where the second keypoint goes, in feature pixels from its start."""
+    patches = _field(spark, sf)
+    moved = adjust.adjust_keypoints(_keypoint_rows(patches), KeypointOptions(sampling=Sampling(l2_normalize=False)))
+    back = moved.join(patches.select(F.col("src").alias("node_idx"), F.col("x").alias("ox"), F.col("y").alias("oy"), "sx", "sy"), "node_idx")
+    return back.select("node_idx", (F.round((F.col("x") - F.col("ox")) * F.col("sx"), 1) + F.lit(0.0)).alias("dx"), (F.round((F.col("y") - F.col("oy")) * F.col("sy"), 1) + F.lit(0.0)).alias("dy"))
 
 
 def ka_summary(spark, sf):
@@ -151,9 +222,19 @@ def qka(spark, sf):
     return localize.refine_query_keypoints(started.join(known, "kp_id"))
 
 
+def qka_smooth(spark, sf):
+    """Keypoints of a smooth field, started off the place where their reference was sampled: how far from it they end, in feature pixels."""
+    patches = _field(spark, sf)
+    known = sample_patches(patches.withColumn("kp_id", F.col("src").cast("int")), Sampling(l2_normalize=False)).select("kp_id", F.array("descriptor").alias("references"))
+    started = patches.withColumns({"kp_id": F.col("src").cast("int"), "query": F.col("image_name"), "ox": F.col("x"), "oy": F.col("y"), "x": F.col("x") + 0.4, "y": F.col("y") - 0.6}).join(known, "kp_id")
+    moved = localize.refine_query_keypoints(started, sampling=Sampling(l2_normalize=False)).select("query", "kp_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
+    away = lambda n, o, s: (F.round((F.col(n) - F.col(o)) * F.col(s), 3) + F.lit(0.0))
+    return started.select("query", "kp_id", "ox", "oy", "sx", "sy").join(moved, ["query", "kp_id"]).select("query", "kp_id", away("nx", "ox", "sx").alias("dx"), away("ny", "oy", "sy").alias("dy"))
+
+
 QUERIES = {f.__name__: f for f in (
     project_points, reprojection_error, pose_errors, unique_inliers, unique_min_error, unique_min_error_two_keys, best_cluster, recall_curve, auc_at_thresholds, pooled_auc, ecdf, scene_means, result_table,
-    error_by_track_length, ba_points_geometric, localized_queries, ka_featuremetric, ka_summary, qka,
+    error_by_track_length, ba_points_geometric, ba_points_feature_reference, ba_points_costmaps, ba_full_geometric, ba_poses, localized_queries, ka_featuremetric, ka_smooth, ka_summary, qka, qka_smooth,
 )}
 
 _PROJECTED = f"""WITH {ctes("v_cameras", "v_points3d", "v_obs", "v_poses")},
@@ -165,6 +246,10 @@ err AS (SELECT *, sqrt((u - x) ** 2 + (v - y) ** 2) AS error FROM pix)"""
 _CORR = f"""{_PROJECTED}, c AS (SELECT CAST(image_id AS VARCHAR) AS query, CAST(point3d_id AS INTEGER) AS pos, CAST(point3d_id % 50 AS INTEGER) AS kp_id, point3d_id % 70 AS point3d_id, round(error, 6) AS error FROM err)"""
 
 
+_PLACES = f"WITH {ctes('v_points3d', 'v_obs')} SELECT DISTINCT point3d_id, round(px, 4) + 0.0 AS px, round(py, 4) + 0.0 AS py, round(pz, 4) + 0.0 AS pz FROM v_points3d JOIN v_obs USING (point3d_id)"
+_POSES = ", ".join([f"round({v} / sqrt(1 + qy * qy), {{digits}}) + 0.0 AS {v}" for v in ("qw", "qx", "qy", "qz")] + [f"round({v}, {{digits}}) + 0.0 AS {v}" for v in ("tx", "ty", "tz")])
+
+
 def _auc(keys: list[str], floor: float) -> str:
     """Area under each recall curve, by trapezoids over all sorted errors with the boundary rows."""
     k = ", ".join(keys)
@@ -187,6 +272,12 @@ ORACLE = {
     "pose_errors": f"""WITH {ctes("v_poses")}, p AS (SELECT image_id, 2 * atan2(qy, qw) AS angle, tx, ty, tz FROM v_poses),
 c AS (SELECT image_id, angle, cos(angle) * tx - sin(angle) * tz AS X, ty AS Y, sin(angle) * tx + cos(angle) * tz AS Z FROM p)
 SELECT a.image_id, round(sqrt((a.X - b.X) ** 2 + (a.Y - b.Y) ** 2 + (a.Z - b.Z) ** 2), 6) + 0.0 AS dt, round(degrees(abs(a.angle - b.angle)), 4) + 0.0 AS dr FROM c a JOIN c b ON b.image_id = a.image_id + 1""",
+    "ba_points_geometric": f"WITH {ctes('v_points3d', 'v_obs')} SELECT DISTINCT point3d_id, point3d_id // 50 AS problem, round(px, 4) + 0.0 AS px, round(py, 4) + 0.0 AS py, round(pz, 4) + 0.0 AS pz FROM v_points3d JOIN v_obs USING (point3d_id)",
+    "ba_points_feature_reference": _PLACES, "ba_points_costmaps": _PLACES,
+    "ba_poses": f"WITH {ctes('v_poses')} SELECT image_id, {_POSES.format(digits=4)} FROM v_poses",
+    "localized_queries": f"WITH {ctes('v_poses')} SELECT CAST(image_id AS VARCHAR) AS query, true AS success, {_POSES.format(digits=3)} FROM v_poses",
+    "ka_smooth": "SELECT vec_id AS node_idx, CASE WHEN vec_id % 2 = 0 THEN 0 ELSE ((vec_id - 1) % 7 - vec_id % 7)::DOUBLE / 10 END + 0.0 AS dx, CASE WHEN vec_id % 2 = 0 THEN 0 ELSE ((vec_id - 1) % 5 - vec_id % 5)::DOUBLE / 10 END + 0.0 AS dy FROM embeddings",
+    "qka_smooth": "SELECT 'image' || CAST(vec_id % 20 AS VARCHAR) AS query, CAST(vec_id AS INTEGER) AS kp_id, 0.0::DOUBLE AS dx, 0.0::DOUBLE AS dy FROM embeddings",
     "unique_inliers": f"{_CORR} SELECT query, pos, point3d_id FROM c WHERE error < 300 QUALIFY row_number() OVER (PARTITION BY query, point3d_id ORDER BY pos) = 1",
     "unique_min_error": f"{_CORR} SELECT query, pos, point3d_id, error FROM c QUALIFY row_number() OVER (PARTITION BY query, point3d_id ORDER BY error, pos) = 1",
     "unique_min_error_two_keys": f"{_CORR}, once AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query, point3d_id ORDER BY error, pos) = 1) SELECT query, pos, kp_id, point3d_id, error FROM once QUALIFY row_number() OVER (PARTITION BY query, kp_id ORDER BY error, pos) = 1",
