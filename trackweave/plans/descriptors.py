@@ -146,10 +146,10 @@ def costmap_gradients(spark, sf):
 
 
 def scored_matches(spark, sf):
-    """Matches of both images' stored descriptors with their cosine."""
+    """Matches of both images' stored descriptors with their cosine; 1 where one is missing."""
     once = table(spark, sf, "pair_matches").select("pair_ord", "pair_id", "stored_reversed", "matches0", "matching_scores0").dropDuplicates(["pair_ord"])
     matches = tables.decode_pair_matches(once).select(ids.pair_id(F.col("image1"), F.col("image2")).alias("pair_id"), "match_ord", "kp1", "kp2")
-    return tables.score_matches(matches, table(spark, sf, "descriptors").where(F.col("image_id").isNotNull()))
+    return tables.score_matches(matches, table(spark, sf, "descriptors").where(F.col("image_id").isNotNull())).withColumn("score", F.round("score", 6))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -166,6 +166,10 @@ _AT = "(kp_id % 9 - 1) * 0.56::DOUBLE + 0.25::DOUBLE AS u, (kp_id % 11 - 1) * 0.
 _READ = "CAST(data[CAST((least(greatest({r}, 0), 3) * 4 + least(greatest({c}, 0), 3)) * 4 + {k} + 1 AS INTEGER)] AS DOUBLE)"
 
 
+def _at(r: str, c: str) -> str:
+    return f"CAST(data[CAST((({r}) * 4 + ({c})) * 4 + ch + 1 AS INTEGER)] AS DOUBLE)"
+
+
 def _bilinear(k: int) -> str:
     at = lambda dr, dc: _READ.format(r=f"(floor(v) + {dr})", c=f"(floor(u) + {dc})", k=k)
     return f"round(({at(0, 0)} * (1 - (u - floor(u))) + {at(0, 1)} * (u - floor(u))) * (1 - (v - floor(v))) + ({at(1, 0)} * (1 - (u - floor(u))) + {at(1, 1)} * (u - floor(u))) * (v - floor(v)), 6) + 0.0 AS c{k}"
@@ -181,6 +185,19 @@ def _bicubic(k: int) -> str:
     return _spline(rows, "(v - floor(v))")
 
 
+_HERMITE = ["(2 * {x} ** 3 - 3 * {x} ** 2 + 1)", "(3 * {x} ** 2 - 2 * {x} ** 3)", "({x} ** 3 - 2 * {x} ** 2 + {x})", "({x} ** 3 - {x} ** 2)"]
+
+
+def _gradient_field() -> str:
+    """The bicubic surface of a cell by values (channel 0), slopes down (1) and along (2), and cross slopes (3) at its corners."""
+    weight = lambda at, slope, x: _HERMITE[2 * slope + at].format(x=x)
+    return " + ".join(
+        f"{weight(i, down, '(v - floor(v))')} * {weight(j, along, '(u - floor(u))')} * {_READ.format(r=f'(floor(v) + {i})', c=f'(floor(u) + {j})', k=down + 2 * along)}"
+        for i in (0, 1) for j in (0, 1) for down in (0, 1) for along in (0, 1)
+    )
+
+
+_BYTE = "CAST(('0x' || substr({h}, CAST(256 * {kp} + 2 * k + 1 AS BIGINT), 2)) AS INTEGER)"
 _D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ** 2))"
 _CAUCHY = "(0.0625::DOUBLE * ln(1 + {s} / 0.0625::DOUBLE))"
 
@@ -209,6 +226,17 @@ SELECT image_id, point3d_id, x - 0.5 AS x_centre, CAST(least(greatest(trunc(x /
     "bilinear_sample": f"WITH {ctes('v_patch')}, p AS (SELECT kp_id, data, {_AT} FROM v_patch) SELECT kp_id, {', '.join(map(_bilinear, range(4)))} FROM p",
     "nearest_sample": f"WITH {ctes('v_patch')}, p AS (SELECT kp_id, data, {_AT} FROM v_patch) SELECT kp_id, {', '.join('round(' + _READ.format(r='round(v)', c='round(u)', k=k) + f', 6) + 0.0 AS c{k}' for k in range(4))} FROM p",
     "bicubic_sample": f"WITH {ctes('v_patch')}, p AS (SELECT kp_id, data, {_AT} FROM v_patch), s AS (SELECT kp_id, [{', '.join(map(_bicubic, range(4)))}] AS d FROM p) SELECT kp_id, {_sql_text('d')} AS descriptor FROM s",
+    "bicubic_nodes_ncc": f"""WITH {ctes("v_patch")}, p AS (SELECT kp_id, data, {_AT} FROM v_patch), n AS (SELECT kp_id, data, node, u + dx AS u, v + dy AS v FROM p, (VALUES (0, -0.5::DOUBLE, -0.5::DOUBLE), (1, 0.5::DOUBLE, -0.5::DOUBLE), (2, -0.5::DOUBLE, 0.5::DOUBLE), (3, 0.5::DOUBLE, 0.5::DOUBLE)) t(node, dx, dy)),
+s AS (SELECT kp_id, node, unnest([{', '.join(map(_bicubic, range(4)))}]) AS x, unnest(range(4)) AS ch FROM n), m AS (SELECT kp_id, ch, avg(x) AS mean, stddev_pop(x) AS spread FROM s GROUP BY ALL),
+d AS (SELECT s.kp_id, list((x - mean) / CASE WHEN spread > 0 THEN spread ELSE 1 END ORDER BY node, s.ch) AS y FROM s JOIN m ON m.kp_id = s.kp_id AND m.ch = s.ch GROUP BY 1) SELECT kp_id, {_sql_text('y')} AS descriptor FROM d""",
+    "gradient_field_sample": f"WITH {ctes('v_patch')}, p AS (SELECT kp_id, data, {_AT} FROM v_patch), s AS (SELECT kp_id, [{_gradient_field()}] AS d FROM p) SELECT kp_id, {_sql_text('d')} AS descriptor FROM s",
+    "scored_matches": f"""WITH once AS (SELECT DISTINCT ON (pair_ord) pair_ord, pair_id, coalesce(stored_reversed, false) AS back, matches0 FROM pair_matches),
+raw AS (SELECT pair_id, back, unnest(range(len(matches0))) AS i, unnest(matches0) AS m FROM once),
+d AS (SELECT pair_id, CAST(i AS INTEGER) AS match_ord, pair_id // 2147483647 AS image1, CAST(CASE WHEN back THEN m ELSE i END AS INTEGER) AS kp1, pair_id % 2147483647 AS image2, CAST(CASE WHEN back THEN i ELSE m END AS INTEGER) AS kp2 FROM raw WHERE m >= 0),
+b AS (SELECT DISTINCT ON (image_id) image_id, rows, hex(data) AS h FROM descriptors WHERE cols = 128 AND octet_length(data) = CAST(rows AS BIGINT) * 128 AND image_id IS NOT NULL),
+j AS (SELECT d.*, list_transform(range(128), lambda k: {_BYTE.format(h="x.h", kp="d.kp1")}) AS a, list_transform(range(128), lambda k: {_BYTE.format(h="y.h", kp="d.kp2")}) AS b FROM d LEFT JOIN b x ON x.image_id = d.image1 AND d.kp1 < x.rows LEFT JOIN b y ON y.image_id = d.image2 AND d.kp2 < y.rows),
+s AS (SELECT *, list_sum(list_transform(a, lambda v: v * v))::DOUBLE * list_sum(list_transform(b, lambda v: v * v))::DOUBLE AS size, list_sum(list_transform(list_zip(a, b), lambda p: p[1] * p[2]))::DOUBLE AS dot FROM j)
+SELECT pair_id, match_ord, image1, kp1, image2, kp2, CASE WHEN size > 0 THEN round(dot / sqrt(size), 6) ELSE 1.0::DOUBLE END AS score FROM s""",
     "patch_slice": f"""WITH {ctes("v_patch")}, p AS (SELECT *, {_AT} FROM v_patch), q AS (SELECT *, CAST(least(greatest(trunc(round(u - 1, 9)), 0), 2) AS INTEGER) AS dc, CAST(least(greatest(trunc(round(v - 1, 9)), 0), 2) AS INTEGER) AS dr FROM p)
 SELECT kp_id, x0 + dc AS x0, y0 + dr AS y0, 2 AS h, 2 AS w, {_sql_text("list_transform(list_concat(data[dr * 16 + dc * 4 + 1 : dr * 16 + dc * 4 + 8], data[dr * 16 + dc * 4 + 17 : dr * 16 + dc * 4 + 24]), lambda z: CAST(z AS DOUBLE))")} AS data FROM q""",
     "robust_costs": f"""WITH {ctes("v_desc")}, f AS (SELECT track, arg_min(embedding, obs) AS reference FROM v_desc GROUP BY 1), s AS (SELECT d.track, obs, {_D2.format(a="embedding", b="reference")} AS s FROM v_desc d JOIN f ON f.track = d.track)
@@ -223,6 +251,12 @@ SELECT query, pos, point3d_id, src_kp_id FROM r WHERE rank = 1""",
     "stored_references": """WITH p AS (SELECT DISTINCT ON (level, point3d_id) * FROM point_references WHERE len(costs) = len(track_list_image_id)),
 o AS (SELECT level, point3d_id, unnest(range(len(costs))) AS pos, unnest(costs) AS cost, unnest(track_list_image_id) AS image_id, unnest(track_list_point2d_idx) AS kp_id FROM p)
 SELECT level, point3d_id, image_id, kp_id FROM o WHERE cost IS NOT NULL AND NOT isnan(cost) AND image_id >= 0 AND kp_id >= 0 QUALIFY row_number() OVER (PARTITION BY level, point3d_id ORDER BY cost, pos) = 1""",
+    "costmap_gradients": f"""WITH {ctes("v_patch")}, k AS (SELECT kp_id, data, k, k // 4 AS r, k % 4 AS c FROM v_patch, range(16) t(k)),
+x AS (SELECT kp_id, k, ch, {_at('r', 'c')} - {_at('0', '0')} AS d, ({_at('least(r + 1, 3)', 'c')} - {_at('greatest(r - 1, 0)', 'c')}) / 2 AS by_r, ({_at('r', 'least(c + 1, 3)')} - {_at('r', 'greatest(c - 1, 0)')}) / 2 AS by_c FROM k, range(4) u(ch)),
+s AS (SELECT kp_id, k, sum(d * d) AS s, sum(d * by_r) AS rr, sum(d * by_c) AS rc FROM x GROUP BY ALL),
+g AS (SELECT kp_id, k, 0.03125::DOUBLE * ln(1 + s / 0.0625::DOUBLE) AS cost, rr / (1 + s / 0.0625::DOUBLE) AS dr, rc / (1 + s / 0.0625::DOUBLE) AS dc FROM s),
+o AS (SELECT kp_id, list([cost, CASE WHEN cost > {costmaps.LEAST_COST}::DOUBLE THEN dr ELSE 0 END, CASE WHEN cost > {costmaps.LEAST_COST}::DOUBLE THEN dc ELSE 0 END] ORDER BY k) AS d FROM g GROUP BY 1)
+SELECT kp_id, 4 AS h, 4 AS w, 3 AS c, {_sql_text('flatten(d)', 4)} AS data FROM o""",
     "costmap_cost": f"""WITH {ctes("v_patch")}, c AS (SELECT kp_id, list_transform(range(16), lambda k: 0.03125::DOUBLE * ln(1 + list_sum(list_transform(range(4), lambda j: (CAST(data[4 * k + j + 1] AS DOUBLE) - CAST(data[j + 1] AS DOUBLE)) ** 2)) / 0.0625::DOUBLE)) AS costs FROM v_patch)
 SELECT kp_id, {_sql_text('costs')} AS costs FROM c""",
 }

@@ -122,6 +122,26 @@ def problem_labels_ka(spark, sf):
     return graph.ka_problem_labels(_tracks(spark, sf)[2], 50)
 
 
+def track_invariants(spark, sf):
+    """What every track labelling must keep: nodes, edges, images that stand twice in a track, and edges between tracks that could still merge."""
+    nodes, edges, labels, _ = _tracks(spark, sf)
+    members = labels.join(nodes, "node_idx")
+    sets = members.groupBy("track").agg(F.collect_set("image_id").alias("images"), F.count(F.lit(1)).alias("size"))
+    side = lambda end: labels.select(F.col("node_idx").alias(end), F.col("track").alias(f"track_{end}")).join(sets.select(F.col("track").alias(f"track_{end}"), F.col("images").alias(f"images_{end}")), f"track_{end}")
+    ends = edges.where("src <> dst").join(side("src"), "src").join(side("dst"), "dst")
+    open_edges = ends.agg(F.count(F.lit(1)).alias("edges"), F.count_if((F.col("track_src") != F.col("track_dst")) & ~F.arrays_overlap("images_src", "images_dst")).alias("mergeable"))
+    return sets.agg(F.sum("size").alias("nodes"), F.sum(F.col("size") - F.size("images")).alias("images_twice")).join(open_edges)  # one row each
+
+
+def problem_invariants(spark, sf):
+    """What every packing of tracks into problems must keep: nodes, tracks that are split, and problems of several tracks with more nodes than 50."""
+    labels = _tracks(spark, sf)[2]
+    packed = labels.join(graph.ka_problem_labels(labels, 50), "node_idx")
+    split = packed.groupBy("track").agg(F.countDistinct("problem").alias("n")).agg(F.count_if(F.col("n") > 1).alias("split_tracks"))
+    full = packed.groupBy("problem").agg(F.count(F.lit(1)).alias("size"), F.countDistinct("track").alias("tracks")).agg(F.count_if((F.col("size") > 50) & (F.col("tracks") > 1)).alias("over_full"), F.sum("size").alias("nodes"))
+    return split.join(full)  # one row each
+
+
 def _track_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Observations (point3d_id, image_id, kp_id) of the reference tables, each once."""
     rows = table(spark, sf, "point_references").select("point3d_id", F.explode(F.arrays_zip("track_list_image_id", "track_list_point2d_idx")).alias("o"))
@@ -190,7 +210,7 @@ def covisibility_holdout(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     match_decode, pair_id_roundtrip, graph_nodes, graph_degrees, graph_scores, required_patches, graph_components, component_scores, component_roots, component_edges_ab, track_labels, track_roots, track_root_edges,
-    problem_labels_ba, problem_labels_ka, track_lengths, long_tracks, contained_tracks, images_with_points, residuals_per_image, feature_view, memory_by_level, exhaustive_pairs, holdout_pairs, query_pairs, query_points, covisible_pairs, covisibility_holdout,
+    track_invariants, problem_invariants, problem_labels_ba, problem_labels_ka, track_lengths, long_tracks, contained_tracks, images_with_points, residuals_per_image, feature_view, memory_by_level, exhaustive_pairs, holdout_pairs, query_pairs, query_points, covisible_pairs, covisibility_holdout,
 )}
 
 _DECODED = """
@@ -234,6 +254,8 @@ ORACLE = {
     "component_roots": f"WITH RECURSIVE {_B} SELECT node_idx, is_root FROM root",
     "component_edges_ab": f"""WITH RECURSIVE {_B} SELECT l.track, count(i.src) FILTER (a.is_root OR b.is_root) AS root_edges, count(i.src) FILTER (NOT (a.is_root OR b.is_root)) AS other_edges, count(i.src) AS edges
 FROM (SELECT DISTINCT track FROM lab) l LEFT JOIN intra i ON i.track = l.track LEFT JOIN root a ON a.node_idx = i.src LEFT JOIN root b ON b.node_idx = i.dst GROUP BY 1""",
+    "track_invariants": f"WITH {_NODES} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges WHERE src <> dst) AS edges, 0 AS images_twice, 0 AS mergeable",
+    "problem_invariants": f"WITH {_NODES} SELECT (SELECT count(*) FROM nodes) AS nodes, 0 AS split_tracks, 0 AS over_full",
     "problem_labels_ba": f"WITH {ctes('v_points3d')} SELECT point3d_id, point3d_id // 50 AS problem FROM v_points3d",
     "track_lengths": f"WITH {_TRACKS} SELECT point3d_id, count(*) AS track_length FROM t GROUP BY 1",
     "long_tracks": f"WITH {_TRACKS} SELECT point3d_id, image_id, kp_id FROM t WHERE point3d_id IN (SELECT point3d_id FROM t GROUP BY 1 HAVING count(*) >= 4)",
