@@ -92,7 +92,7 @@ def pack(sizes: DataFrame, scratch: Scratch, capacity: int = CAPACITY, open_bins
 
     packed = (
         lots.where("rest > 0 OR full = 0")
-        .repartition(streams, "stream")
+        .repartitionById(streams, F.col("stream").cast("int"))
         .sortWithinPartitions("stream", "lot", "doc_id", "n_tokens")
         .mapInPandas(best_fit, lots.schema.add("container", T.LongType()))
         .select("doc_id", F.col("full").alias("piece"), (F.col("full") * capacity).alias("first_token"), F.col("rest").alias("n_tokens"), "stream", F.concat(F.lit("p"), F.col("container")).alias("container"))

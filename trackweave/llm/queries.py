@@ -61,6 +61,36 @@ def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(p6_containers(spark, sf))
 
 
+def p6_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What every packing must keep: documents, containers over capacity, documents whose pieces don't follow each other, and whole ones in several containers."""
+    packed = p6_containers(spark, sf)
+    over = packed.groupBy("stream", "container").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > packing.CAPACITY).alias("over_full"))
+    whole = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens"), F.max(F.col("first_token") + F.col("n_tokens")).alias("reached"), F.count(F.lit(1)).alias("pieces"), F.max("piece").alias("last"))
+    broken = (F.col("tokens") != F.col("reached")) | (F.col("pieces") != F.col("last") + 1)
+    needless = (F.col("pieces") > 1) & (F.col("tokens") <= packing.CAPACITY)
+    return whole.agg(F.count(F.lit(1)).alias("documents"), F.count_if(broken).alias("broken"), F.count_if(needless).alias("split_needlessly")).join(over)  # one row each
+
+
+def p7_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What every mixture must keep: targets, documents repeated too often or without target, and sources farther from their budget than their largest document."""
+    scratch = Scratch(spark, "mixing")
+    sizes, targets = _sizes(spark, sf, scratch), table(spark, sf, "mix_targets")
+    plan = mixing.budgets(sizes.where(F.col("source").isNotNull() & (F.col("n_tokens") > 0)), targets, None)
+    chosen = scratch.save(mixing.mixture(sizes, targets, scratch))
+    wrong = chosen.join(F.broadcast(plan.select("source", "max_repeats")), "source", "left").agg(F.count_if(F.coalesce(F.col("repeats") > F.col("max_repeats"), F.lit(True))).alias("repeated_too_often"))
+    largest = sizes.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    report = mixing.shares_report(chosen, plan).join(largest, "source", "left")
+    return report.agg(F.count(F.lit(1)).alias("targets"), F.count_if(F.abs(F.col("tokens") - F.col("budget")) > F.coalesce("largest", F.lit(0))).alias("off_budget")).join(wrong)  # one row each
+
+
+def p2_by_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The percentiles of scores per matcher, from the even and the odd days of matched_at as separate parts whose counts are combined."""
+    pairs, odd = table(spark, sf, "pair_matches"), F.coalesce(F.dayofmonth("matched_at") % 2 == 1, F.lit(False))
+    parts = [percentiles.kept_scores(pairs.where(odd)), percentiles.kept_scores(pairs.where(~odd))]
+    found = percentiles.exact_percentiles(parts, ["matcher"], "score", Scratch(spark, "percentiles"))
+    return found.select("matcher", "n", "percent", "value")
+
+
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     scratch = Scratch(spark, "mixing")
     return mixing.mixture(_sizes(spark, sf, scratch), table(spark, sf, "mix_targets"), scratch)
@@ -86,7 +116,7 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
     return content.rates(p8_scores(spark, sf))
 
 
-QUERIES = {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_lift": p3_lift, "p5_found": p5_found, "p5_search": p5_search, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p2_percentiles": p2_percentiles, "p2_by_parts": p2_by_parts, "p3_found": p3_found, "p3_lift": p3_lift, "p5_found": p5_found, "p5_search": p5_search, "p6_containers": p6_containers, "p6_fill": p6_fill, "p6_invariants": p6_invariants, "p7_mixture": p7_mixture, "p7_invariants": p7_invariants, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 _P1 = """
 WITH RECURSIVE m AS (
@@ -128,9 +158,19 @@ f AS (
   JOIN s s1 ON s1.scene IS NOT DISTINCT FROM g.scene AND s1.i = g.i JOIN s s2 ON s2.scene IS NOT DISTINCT FROM g.scene AND s2.i = g.j WHERE g.c >= 4)
 """
 
+_P2_PARTS = """
+WITH m AS (SELECT DISTINCT ON (pair_ord) pair_ord, matcher, matches0, matching_scores0 FROM pair_matches WHERE len(list_filter(matches0, lambda x: x >= 0)) > 0),
+x AS (SELECT matcher, unnest(matches0) AS k, unnest(matching_scores0) AS s FROM m),
+r AS (SELECT matcher, CAST(s AS DOUBLE) AS x, count(*) OVER (PARTITION BY matcher) AS n, row_number() OVER (PARTITION BY matcher ORDER BY s) AS rank FROM x WHERE k >= 0 AND s IS NOT NULL AND isfinite(s)),
+q AS (SELECT unnest([1, 5, 50, 95, 99]) AS percent)
+SELECT matcher, n, percent, x + 0.0 AS value FROM r, q WHERE rank = greatest(1, (n * percent + 99) // 100)"""
+
 ORACLE = {
     "p1_found": _P1,
     "p2_percentiles": _P2,
+    "p2_by_parts": _P2_PARTS,
+    "p6_invariants": "SELECT count(*) AS documents, 0 AS broken, 0 AS split_needlessly, 0 AS over_full FROM documents",
+    "p7_invariants": "SELECT count(DISTINCT source) AS targets, 0 AS off_budget, 0 AS repeated_too_often FROM mix_targets",
     "p3_found": f"{_P3} SELECT scene, i AS image_id1, j AS image_id2 FROM f WHERE c * n >= 3 * c1 * c2",
     "p3_lift": f"{_P3} SELECT scene, CAST(i AS BIGINT) AS item1, CAST(j AS BIGINT) AS item2, n, c1, c2, c, CAST(c * n AS DOUBLE) / (c1 * c2) AS lift FROM f",
 }
