@@ -39,12 +39,16 @@ def smallest_member(edges: DataFrame, scratch: Scratch) -> DataFrame:
         rounds.append(trees)
     if not rounds:
         return live.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    labels = rounds.pop()
+    labels, used = rounds.pop(), []
+    used.append(labels)
     while rounds:  # from the small, late rounds back to the first, which has every node
         earlier = rounds.pop()
+        used.append(earlier)
         later = labels.select(F.col("node").alias("up"), F.col("label").alias("new_label")) if "label" in labels.columns else labels.select(F.col("node").alias("up"), F.col("up").alias("new_label"))
         labels = earlier.join(later, "up", "left").select("node", F.coalesce("new_label", "up").alias("label"))
-    return labels if "label" in labels.columns else labels.withColumnRenamed("up", "label")
+    saved = scratch.save(labels if "label" in labels.columns else labels.withColumnRenamed("up", "label"))
+    scratch.drop(live, *used)
+    return saved
 
 
 def _canonical(edges: DataFrame) -> DataFrame:
@@ -93,16 +97,18 @@ def match_links(pair_matches: DataFrame) -> DataFrame:
 def track_links(tracks: DataFrame) -> DataFrame:
     """Links (a, b) from each observation of a point to a node of that point: as many as observations, whatever the size of the track.
 
-    Points with an id outside 0..2^61 get a node from a 61-bit hash of the id.
+    A point whose id has no node of its own (outside 0..2^61) links the observations of each of its rows to the row's smallest, and
+    those to the smallest of all its rows.
     """
+    known = tracks.where(F.col("point3d_id").isNotNull())
     plain = F.col("point3d_id").between(0, 2**61 - 1)
-    node = F.lit(POINT_BASE) + F.when(plain, F.col("point3d_id")).otherwise(F.lit(2**61) + F.xxhash64("point3d_id").bitwiseAND(F.lit(2**61 - 1)))
-    return (
-        tracks.where(F.col("point3d_id").isNotNull())
-        .select(node.alias("b"), F.explode(F.arrays_zip("track_list_image_id", "track_list_point2d_idx")).alias("o"))
-        .where((F.col("o.track_list_image_id") >= 0) & (F.col("o.track_list_point2d_idx") >= 0))
-        .select(_keypoint(F.col("o.track_list_image_id"), F.col("o.track_list_point2d_idx")).alias("a"), "b")
-    )
+    observed = lambda o: (o["track_list_image_id"] >= 0) & (o["track_list_point2d_idx"] >= 0)
+    keypoints = F.transform(F.filter(F.arrays_zip("track_list_image_id", "track_list_point2d_idx"), observed), lambda o: _keypoint(o["track_list_image_id"], o["track_list_point2d_idx"]))
+    links = known.where(plain).select(F.explode(keypoints).alias("a"), (F.lit(POINT_BASE) + F.col("point3d_id")).alias("b"))
+    rows = known.where(~plain).select("point3d_id", keypoints.alias("keypoints"), F.array_min(keypoints).alias("first"))
+    least = rows.groupBy("point3d_id").agg(F.min("first").alias("least"))
+    between = rows.join(least, "point3d_id").select(F.col("first").alias("a"), F.col("least").alias("b"))
+    return links.unionByName(rows.select(F.explode("keypoints").alias("a"), F.col("first").alias("b"))).unionByName(between)
 
 
 def keypoint_groups(pair_matches: DataFrame, tracks: DataFrame, scratch: Scratch) -> DataFrame:
@@ -111,7 +117,7 @@ def keypoint_groups(pair_matches: DataFrame, tracks: DataFrame, scratch: Scratch
     A keypoint that is the only observation of its point, and in no match, is in no row. NULL or empty arrays hold no links;
     repeated rows and further columns change nothing.
     """
-    labels = scratch.save(smallest_member(match_links(pair_matches).unionByName(track_links(tracks)), scratch).where(F.col("node") < POINT_BASE))
+    labels = smallest_member(match_links(pair_matches).unionByName(track_links(tracks)), scratch).where(F.col("node") < POINT_BASE)
     members = labels.where("node != label")
     heads = members.select(F.col("label").alias("node")).distinct().withColumn("label", F.col("node"))
     return members.unionByName(heads).select(*_ids("node", "image_id", "kp_id"), *_ids("label", "group_image_id", "group_kp_id"))
