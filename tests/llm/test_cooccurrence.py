@@ -53,4 +53,4 @@ def test_matches_brute_force_for_any_blocks(spark, monkeypatch, block, records):
 def test_empty_and_baskets_of_tracks(spark):
     assert cooccurrence.together(spark.createDataFrame([], SCHEMA)).count() == 0
     tracks = spark.createDataFrame([("s", 1, [1, 2, 1, -1, None], [0, 3, 0, 4, 5]), ("s", 1, [3], [1]), ("s", 2, [7, 8], [None, 1]), ("s", None, [1], [1]), ("s", 3, None, None)], "scene string, point3d_id bigint, track_list_image_id array<int>, track_list_point2d_idx array<int>")
-    assert sorted((r.basket, r.item) for r in cooccurrence.basket_items(tracks).collect()) == [(1, 1), (1, 2), (1, 3), (2, 8)]
+    assert sorted({(r.basket, r.item) for r in cooccurrence.basket_items(tracks).collect()}) == [(1, 1), (1, 2), (1, 3), (2, 8)]

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.runtime import join_nulls
+from trackweave.runtime import Scratch, join_nulls
 
 #: Items of one block of the matrix; a dense product of two blocks is BLOCK x BLOCK counts of 4 bytes (4 MB).
 BLOCK = 1024
@@ -16,17 +16,16 @@ RECORD_BLOCK = 200_000
 
 
 def basket_items(tracks: DataFrame) -> DataFrame:
-    """scene, basket, item: the distinct images of the observations of each point (both list entries not NULL and >= 0), over all its rows."""
+    """scene, basket, item: the images of the observations of each point (both list entries not NULL and >= 0), over all its rows; one may come several times, which `together` counts once."""
     return (
         tracks.where(F.col("point3d_id").isNotNull())
         .select("scene", F.col("point3d_id").alias("basket"), F.explode(F.arrays_zip("track_list_image_id", "track_list_point2d_idx")).alias("o"))
         .where((F.col("o.track_list_image_id") >= 0) & (F.col("o.track_list_point2d_idx") >= 0))
         .select("scene", "basket", F.col("o.track_list_image_id").alias("item"))
-        .distinct()
     )
 
 
-def together(items: DataFrame, least_count: int = 4, least_lift: float = 3.0) -> DataFrame:
+def together(items: DataFrame, least_count: int = 4, least_lift: float = 3.0, scratch: Scratch | None = None) -> DataFrame:
     """Pairs of items of a scene: scene, item1 < item2, n baskets, c1, c2, c together, lift = c*n / (c1*c2); c >= least_count, lift >= least_lift.
 
     Gram matrix by blocks: items are numbered densely within their scene and cut into blocks of BLOCK; record blocks hold about
@@ -38,7 +37,8 @@ def together(items: DataFrame, least_count: int = 4, least_lift: float = 3.0) ->
     result (n, c1, c2 are counted before). One scene may hold most rows: its record and item blocks are separate groups.
     NULL scenes form one scene of their own; empty input gives no rows; repeated rows count once.
     """
-    items = items.select(F.col("scene").alias("scene"), "basket", "item").where(F.col("basket").isNotNull() & F.col("item").isNotNull()).distinct()
+    own = scratch or Scratch(items.sparkSession, "together")
+    items = own.save(items.select(F.col("scene").alias("scene"), "basket", "item").where(F.col("basket").isNotNull() & F.col("item").isNotNull()).distinct())
     baskets = items.select("scene", "basket").distinct().groupBy("scene").agg(F.count(F.lit(1)).alias("n"))
     margins = items.groupBy("scene", "item").agg(F.count(F.lit(1)).alias("c1"))
     fit = join_nulls(margins, baskets, ["scene"]).where((F.col("c1") >= least_count) & (F.col("c1") * F.lit(float(least_lift)) <= F.col("n")))
@@ -51,8 +51,10 @@ def together(items: DataFrame, least_count: int = 4, least_lift: float = 3.0) ->
         .withColumn("tile", F.col("slice") * F.lit(2**31) + F.floor(number / BLOCK))
         .select("scene", "item", "c1", "n", "kept_rows", "tile")
     )
+    fit = own.save(fit)
     record_block = F.pmod(F.xxhash64("basket"), F.ceil(F.col("kept_rows") / F.lit(RECORD_BLOCK))).cast("int")
     rows = join_nulls(items, fit, ["scene", "item"]).select("scene", "basket", "item", "tile", record_block.alias("record_block"))
+    rows = own.save(rows)
     tiles = rows.select("scene", "basket", F.col("tile").alias("other")).distinct()
     grams = (
         join_nulls(rows, tiles, ["scene", "basket"])

@@ -21,7 +21,7 @@ def p2_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = cooccurrence.together(cooccurrence.basket_items(table(spark, sf, "point_references")))
+    pairs = cooccurrence.together(cooccurrence.basket_items(table(spark, sf, "point_references")), scratch=Scratch(spark, "together"))
     return pairs.select("scene", F.col("item1").cast("int").alias("image_id1"), F.col("item2").cast("int").alias("image_id2"))
 
 
