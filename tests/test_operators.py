@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from trackweave import paths
 from trackweave.functions import geometry, ids
 from trackweave.functions.interpolation import Sampling, sample
 from trackweave.operators import adjust, evaluation, extraction, graph, localize, references, sampling, views
@@ -436,3 +437,47 @@ def test_summaries(spark):
     assert (total.problems, total.initial_cost, total.final_cost, total.most_iterations) == (2, 10.0, 3.0, 5) and total.rms_cost == pytest.approx(np.sqrt(3 / 20))
     history = spark.createDataFrame([(0, [4.0, 1.0]), (1, [6.0, 3.0, 2.0])], "problem bigint, history array<double>")
     assert [r.cost for r in adjust.merge_histories(history).orderBy("iteration").collect()] == [10.0, 4.0, 3.0]
+
+
+def test_references_of_a_model_and_node_offsets(spark):
+    rows, q, t, points, how = flat_scene("feature_reference")
+    frame = spark.createDataFrame(pd.DataFrame(rows))
+    tracks = frame.select("point3d_id", F.col("image_id").alias("track_pos"), "image_id", F.col("point3d_id").cast("int").alias("kp_id"))
+    images = frame.select("image_id", F.concat(F.lit("i"), "image_id").alias("name"), "camera_id", "qw", "qx", "qy", "qz", "tx", "ty", "tz").distinct()
+    patches = frame.select(F.lit(0).alias("level"), F.concat(F.lit("i"), "image_id").alias("image_name"), F.col("point3d_id").cast("int").alias("kp_id"), *[F.col(c).cast("int").alias(c) for c in ("h", "w", "c", "x0", "y0")], "sx", "sy", "upsampling", F.col("data").cast("array<float>").alias("data"))
+    found = references.references_of_model(tracks, frame.select("point3d_id", "px", "py", "pz").distinct(), images, frame.select("camera_id", "model", "params").limit(1), patches, how, iterations=5).collect()
+    assert len(found) == len(points) and all(np.abs(r.descriptor).max() < 1e-5 and len(r.observations) == 4 for r in found)
+    wide = Sampling(nodes=((0.0, 0.0), (3.0, 0.0)))
+    offsets = {r.point3d_id: np.array(r.offsets) for r in references.node_offsets(frame.where("image_id = 0"), wide).collect()}
+    for p, own in offsets.items():
+        depth = (geometry.rotation_matrix(q[:1])[0] @ points[p] + t[0])[2]
+        assert np.abs(own[0]).max() < 1e-9 and abs(np.linalg.norm(own[1]) - 3 * depth / 900) < 1e-6
+    costs = adjust.residual_rows(frame, "geometric").collect()
+    assert len(costs) == 120 and max(np.abs(r.residual).max() for r in costs) < 1e-9
+
+
+def test_clusters_of_retrieved_images(spark):
+    tracks = spark.createDataFrame([(1, 10), (1, 11), (2, 11), (2, 12), (3, 20), (3, 21), (4, 12), (4, 20)], "point3d_id bigint, image_id int")
+    retrieved = spark.createDataFrame([("a", 10), ("a", 11), ("a", 12), ("a", 21), ("b", 12), ("b", 20), ("b", 99)], "query string, image_id int")
+    got = {(r.query, r.image_id): r.cluster for r in localize.covisibility_clusters(retrieved, tracks, Scratch(spark, "t")).collect()}
+    assert got == {("a", 10): 10, ("a", 11): 10, ("a", 12): 10, ("a", 21): 21, ("b", 12): 12, ("b", 20): 12, ("b", 99): 99}
+
+
+def test_database_rows(spark):
+    cameras = spark.createDataFrame([(1, "PINHOLE", 10, 20, [1.0, 2.0, 3.0, 4.0], True), (2, "odd", 1, 1, None, None)], "camera_id int, model string, width int, height int, params array<double>, prior_focal_length boolean")
+    one, two = sinks.encode_cameras(cameras).orderBy("camera_id").collect()
+    assert one.model == 1 and np.frombuffer(bytes(one.params)).tolist() == [1, 2, 3, 4] and one.prior_focal_length == 1 and two.model is None and two.params is None
+    matches = spark.createDataFrame([(5, 3, 0, 7, 8)], "image1 bigint, image2 bigint, match_ord int, kp1 int, kp2 int")
+    pair = 3 * (2**31 - 1) + 5
+    geometry_rows = spark.createDataFrame([(pair, 2, [float(i) for i in range(9)], None, None), (9, 1, None, None, None)], "pair_id bigint, config int, F array<double>, E array<double>, H array<double>")
+    got = {r.pair_id: r for r in sinks.encode_two_views(matches, geometry_rows).collect()}
+    assert np.frombuffer(bytes(got[pair].data), "<u4").tolist() == [8, 7] and np.frombuffer(bytes(got[pair].F)).tolist() == list(range(9)) and got[9].rows == 0
+    assert np.frombuffer(bytes(got[9].H)).reshape(3, 3).tolist() == np.eye(3).tolist()
+    images = spark.createDataFrame([(3, "c", 1), (5, "e", 1)], "image_id int, name string, camera_id int")
+    assert [tuple(r) for r in sinks.pairs_of_matches(got and sinks.encode_matches(matches), images).collect()] == [("c", "e")]
+    assert sinks.encode_images(images).columns == [f.split()[0] for f in sinks.DATABASE["images"].split(", ")]
+
+
+def test_paths():
+    assert paths.cache_path("image", True, None, "out/") == "out/image_featuremaps_sparse.parquet" and paths.cache_path("image", False) is None
+    assert paths.cache_path("image", True, "a.parquet", "b") == "a.parquet" and paths.filled("{out}/{scene}", scene=3) == "{out}/3"

@@ -40,6 +40,16 @@ PRESETS: dict[str, dict[str, Any]] = {
         "interpolation": {"l2_normalize": False, "ncc_normalize": True, "nodes": [[x, y] for y in (-1.5, -0.5, 0.5, 1.5) for x in (-1.5, -0.5, 0.5, 1.5)]},
         "keypoint_adjustment": {"apply": False}, "bundle_adjustment": {"strategy": "patch_warp"}, "localization": {"QKA": {"apply": False}},
     },
+    "evaluation": {
+        "dense_features": {"model": {"name": "s2dnet", "num_layers": 1}, "sparse": True, "max_edge": 1600, "patch_size": 16},
+        "bundle_adjustment": {"optimizer": {"max_num_iterations": 10, "refine_focal_length": False, "refine_extra_params": False, "refine_extrinsics": False}},
+        "localization": {"QBA": {"optimizer": {"refine_focal_length": False, "refine_extra_params": False}}},
+    },
+    "evaluation_two_layers": {
+        "dense_features": {"model": {"name": "s2dnet", "num_layers": 2, "remove_pooling_layers": True}, "sparse": True, "max_edge": 1600, "patch_size": 12},
+        "bundle_adjustment": {"optimizer": {"max_num_iterations": 10, "refine_focal_length": False, "refine_extra_params": False, "refine_extrinsics": False}},
+        "localization": {"QBA": {"optimizer": {"refine_focal_length": False, "refine_extra_params": False}}},
+    },
     "dsift": {"dense_features": {"model": {"name": "dsift"}}},
 }
 

@@ -28,6 +28,7 @@ class KeypointOptions:
     bound: float = 4.0
     root_fixed: bool = True
     weight_by_sim: bool = True
+    root_edges_only: bool = False
 
 
 def keypoint_rows(nodes: DataFrame, edges: DataFrame, keypoints: DataFrame, patches: DataFrame, images: DataFrame) -> DataFrame:
@@ -158,6 +159,10 @@ def refine_keypoints(nodes: DataFrame, edges: DataFrame, keypoints: DataFrame, p
     labels, roots = nodes.select("node_idx", "track"), nodes.select("node_idx", "is_root")
     if strategy == "featuremetric":
         used = intra_track(edges, labels)
+        if options.root_edges_only:
+            root = roots.where("is_root").select("node_idx")
+            used = used.join(root.withColumnsRenamed({"node_idx": "src"}).withColumn("_one", F.lit(True)), "src", "left").join(root.withColumnsRenamed({"node_idx": "dst"}).withColumn("_two", F.lit(True)), "dst", "left")
+            used = used.where("_one OR _two").select("src", "dst", "sim")
     elif strategy == "topological_reference":
         used, options = root_edges(edges, labels, roots), replace(options, weight_by_sim=False)
     else:
@@ -241,6 +246,19 @@ def adjust_points(observations: DataFrame, options: Options = Options(parameter_
     return by_problem(observations, "point3d_id", solve, "point3d_id bigint, px double, py double, pz double, " + SUMMARY)
 
 
+def residual_rows(observations: DataFrame, kind: str, sampling: Sampling = Sampling(), keys: tuple[str, ...] = ("point3d_id", "image_id"), options: Options = Options()) -> DataFrame:
+    """keys, residual ARRAY<DOUBLE>, cost: the residual of every observation where it stands (see adjust_points for the columns), and its robust cost."""
+    rho = loss(options.loss_name, options.loss_scale)
+
+    def run(parts):
+        for part in parts:
+            r, _ = Observed(part, kind, sampling).residuals(np.arange(len(part)), part[["px", "py", "pz"]].to_numpy(float))
+            yield part[list(keys)].assign(residual=list(r), cost=0.5 * rho((r**2).sum(axis=1))[0])
+
+    types = {f.name: f.dataType.simpleString() for f in observations.schema}
+    return observations.mapInPandas(run, ", ".join([f"{k} {types[k]}" for k in keys] + ["residual array<double>", "cost double"]))
+
+
 class Observed:
     """Observations of points, whose residuals (n, k) and Jacobians are evaluated for many rows at once, by kind (see adjust_points)."""
 

@@ -13,6 +13,7 @@ from trackweave.functions import arrays, geometry
 from trackweave.functions.interpolation import Sampling
 from trackweave.operators import residuals as res
 from trackweave.functions.losses import loss
+from trackweave.operators.graph import components, ranked
 from trackweave.operators.adjust import Observed, Patches, _bounds
 from trackweave.operators.residuals import Camera
 from trackweave.operators.solver import Options, by_problem, minimise, minimise_many
@@ -284,3 +285,19 @@ def best_cluster(candidates: DataFrame) -> DataFrame:
     """Of each query's cluster results (query, cluster, num_inliers, ...), the one with most inliers; the first cluster of equals."""
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("num_inliers"), "cluster"))
     return candidates.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
+def covisibility_clusters(retrieved: DataFrame, tracks: DataFrame, scratch: Scratch) -> DataFrame:
+    """query, image_id, cluster: retrieved images (query, image_id) of a query that observe common points, directly or over others, form a cluster, named by its smallest image.
+
+    tracks: point3d_id, image_id. Each query's images meet through the points they observe, so no pairs of images are made.
+    """
+    seen = retrieved.join(tracks.select("point3d_id", "image_id").distinct(), "image_id").select("query", "image_id", "point3d_id")
+    names = ranked(retrieved.select("query", "image_id").distinct(), ["query", "image_id"], "node")
+    points = ranked(seen.select("query", "point3d_id").distinct(), ["query", "point3d_id"], "place")
+    links = seen.join(names, ["query", "image_id"]).join(points, ["query", "point3d_id"]).select(F.col("node").alias("src"), (-F.col("place") - 1).alias("dst"))
+    nodes = links.select(F.col("src").alias("node_idx")).unionByName(links.select(F.col("dst").alias("node_idx"))).distinct()
+    found = components(nodes, links, scratch).where("node_idx >= 0").withColumnsRenamed({"node_idx": "node"})
+    grouped = names.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = grouped.groupBy("query", "component").agg(F.min("image_id").alias("cluster"))
+    return grouped.join(first, ["query", "component"]).select("query", "image_id", "cluster")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.functions import arrays
+from trackweave.functions import arrays, geometry
 from trackweave.functions.interpolation import Sampling, l2_normalise, ncc_normalise
 from trackweave.functions.losses import loss
 from trackweave.operators.sampling import sample_patches
@@ -113,3 +113,38 @@ def select_references(references: DataFrame, kind: str = "nearest") -> DataFrame
     if kind == "full":
         return references
     raise ValueError(f"unknown reference kind {kind!r}")
+
+
+def references_of_model(tracks: DataFrame, points3d: DataFrame, images: DataFrame, cameras: DataFrame, patches: DataFrame, how: Sampling = Sampling(), **options) -> DataFrame:
+    """One reference per point and level from a model and patches: each point is projected into the images of its track, the patches are sampled there, and the descriptors reduced.
+
+    tracks: point3d_id, track_pos, image_id, kp_id; points3d: point3d_id, px, py, pz; images: image_id, name, camera_id, qw..tz;
+    cameras: camera_id, model, params. Further options are those of extract_references.
+    """
+    rows = tracks.join(points3d, "point3d_id").join(images, "image_id").join(cameras, "camera_id")
+    pose, shift, point = ([F.col(c) for c in names] for names in (("qw", "qx", "qy", "qz"), ("tx", "ty", "tz"), ("px", "py", "pz")))
+    u, v = geometry.world_to_pixel(F.col("model"), F.col("params"), pose, shift, point)
+    placed = rows.select("point3d_id", "track_pos", "image_id", "kp_id", F.col("name").alias("image_name"), u.alias("x"), v.alias("y")).where(F.col("x").isNotNull())
+    sampled = sample_patches(placed.join(patches, ["image_name", "kp_id"]), how)
+    observed = sampled.select("level", "point3d_id", "track_pos", "image_id", "kp_id", "descriptor").where(F.col("descriptor").isNotNull())
+    return extract_references(observed, n_nodes=len(how.nodes), l2=how.l2_normalize, ncc=how.ncc_normalize, **options)
+
+
+def node_offsets(rows: DataFrame, how: Sampling) -> DataFrame:
+    """point3d_id, offsets ARRAY<ARRAY<DOUBLE>>: where each node of the source observation lies around the point, at the point's depth, facing the source.
+
+    rows: point3d_id, px, py, pz and pose and camera of the source (model, params, qw..tz). Nodes are offsets in image pixels.
+    """
+
+    def run(parts):
+        for part in parts:
+            out = []
+            for r in part.itertuples():
+                turn = geometry.rotation_matrix(np.array([[r.qw, r.qx, r.qy, r.qz]], float))[0]
+                shift, point, params = np.array([r.tx, r.ty, r.tz], float), np.array([r.px, r.py, r.pz], float), np.asarray(r.params, float)
+                pixel, _, p = geometry.project(r.model, params, turn, shift, point[None])
+                world = geometry.back_project(r.model, params, turn, shift, pixel + np.array(how.nodes), np.full(len(how.nodes), p[0, 2]))
+                out.append((r.point3d_id, (world - point).tolist()))
+            yield pd.DataFrame(out, columns=["point3d_id", "offsets"])
+
+    return rows.mapInPandas(run, "point3d_id bigint, offsets array<array<double>>")

@@ -107,6 +107,11 @@ def without_points(images: DataFrame, points2d: DataFrame, excluded: DataFrame)
     return kept, points2d.join(kept.select("image_id"), "image_id", "left_semi").withColumn("point3d_id", F.lit(None).cast("bigint"))
 
 
+def missing_names(required: DataFrame, images: DataFrame) -> DataFrame:
+    """name, rows: required names that no image has, with how many rows ask for them; they are left out of the joins."""
+    return required.join(images.select("name"), "name", "left_anti").groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def retrieval_ids(retrieval: DataFrame, images: DataFrame) -> DataFrame:
     """query, image_id of the retrieved images that the model has."""
     return retrieval.join(images.select("name", "image_id"), "name").select("query", "image_id")

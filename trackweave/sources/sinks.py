@@ -100,3 +100,56 @@ def write_ply(points: DataFrame, path: str) -> None:
 
 def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("error").json(path)
+
+
+# The tables of a feature database.
+DATABASE = {
+    "cameras": "camera_id int, model int, width int, height int, params binary, prior_focal_length int",
+    "images": "image_id int, name string, camera_id int, prior_qw double, prior_qx double, prior_qy double, prior_qz double, prior_tx double, prior_ty double, prior_tz double",
+    "keypoints": "image_id int, rows int, cols int, data binary",
+    "descriptors": "image_id int, rows int, cols int, data binary",
+    "matches": "pair_id bigint, rows int, cols int, data binary",
+    "two_view_geometries": "pair_id bigint, rows int, cols int, data binary, config int, F binary, E binary, H binary",
+}
+# Numbers of the camera models in a feature database.
+MODEL_NUMBERS = {"SIMPLE_PINHOLE": 0, "PINHOLE": 1, "SIMPLE_RADIAL": 2, "RADIAL": 3, "OPENCV": 4}
+
+
+def encode_cameras(cameras: DataFrame) -> DataFrame:
+    """Rows of the table `cameras` from camera_id, model, width, height, params ARRAY<DOUBLE>, prior_focal_length; an unknown model has a NULL number."""
+    number = F.create_map(*[F.lit(v) for pair in MODEL_NUMBERS.items() for v in pair])[F.col("model")]
+    numbered = cameras.select("camera_id", number.alias("model"), "width", "height", "params", F.coalesce(F.col("prior_focal_length"), F.lit(False)).cast("int").alias("prior_focal_length"))
+    return _blobs(numbered, ["params"], DATABASE["cameras"])
+
+
+def encode_images(images: DataFrame) -> DataFrame:
+    """Rows of the table `images`; poses that are missing are NULL."""
+    return images.select("image_id", "name", "camera_id", *[(F.col(c) if c in images.columns else F.lit(None)).cast("double").alias(f"prior_{c}") for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")])
+
+
+def encode_two_views(matches: DataFrame, geometries: DataFrame) -> DataFrame:
+    """Rows of the table `two_view_geometries`: the inlier matches of a pair (see encode_matches) with config and the matrices F, E, H (ARRAY<DOUBLE> of nine, row by row).
+
+    geometries: pair_id, config, F, E, H. A pair without inlier matches has 0 rows; a missing matrix is the identity.
+    """
+    pairs = geometries.join(encode_matches(matches), "pair_id", "left")
+    filled = pairs.select("pair_id", F.coalesce("rows", F.lit(0)).alias("rows"), F.lit(2).alias("cols"), F.coalesce("data", F.lit(b"")).alias("data"), "config", *[F.coalesce(F.col(m), F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)])).alias(m) for m in "FEH"])
+    return _blobs(filled, ["F", "E", "H"], DATABASE["two_view_geometries"])
+
+
+def _blobs(frame: DataFrame, columns: list[str], schema: str) -> DataFrame:
+    """Arrays of doubles as blobs of 64-bit floats."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.assign(**{c: [None if v is None else np.asarray(v, "<f8").tobytes() for v in part[c]] for c in columns})
+
+    return frame.select(*[f.split()[0] for f in schema.split(", ")]).mapInPandas(run, schema)
+
+
+def pairs_of_matches(matches: DataFrame, images: DataFrame, least: int = 1) -> DataFrame:
+    """name1, name2 of the image pairs with at least so many matches in the database's blobs (pair_id, rows), for write_pairs."""
+    first, second = ids.pair_images(F.col("pair_id"))
+    known = matches.where(F.col("rows") >= least).select(first.alias("id1"), second.alias("id2"))
+    side = lambda n: images.select(F.col("image_id").cast("bigint").alias(f"id{n}"), F.col("name").alias(f"name{n}")).distinct()
+    return known.join(side(1), "id1").join(side(2), "id2").select("name1", "name2")

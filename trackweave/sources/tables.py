@@ -179,3 +179,11 @@ def latest_life(images: DataFrame) -> DataFrame:
     """One row per image: the latest life of its key."""
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.col("added_at").desc_nulls_last()))
     return images.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
+def read_references(spark: SparkSession, path: str, level: int | None = None, observations: bool = True) -> DataFrame:
+    """References of a cache; a level prunes folders, and without observations their arrays stay unread."""
+    references = spark.read.parquet(path)
+    if level is not None:
+        references = references.where(F.col("level") == level)
+    return references if observations else references.drop("observations")
