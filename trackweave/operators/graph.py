@@ -96,8 +96,8 @@ def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFram
     return nodes.select("node_idx").join(found, "node_idx", "left").select("node_idx", F.coalesce("component", "node_idx").alias("component"))
 
 
-#: Edges left between tracks below which they are replayed by component (24 bytes an edge).
-REPLAYED = 1_000_000
+#: Edges left between tracks up to which they are replayed by one task (some seconds, 50 bytes an edge).
+REPLAYED = 200_000
 
 
 def track_labels(nodes: DataFrame, edges: DataFrame, scratch: Scratch, replayed: int = REPLAYED) -> DataFrame:
@@ -108,7 +108,8 @@ def track_labels(nodes: DataFrame, edges: DataFrame, scratch: Scratch, replayed:
 
     What an edge does depends on the two tracks at its ends alone, so all edges that come first at both their tracks are taken at
     once: the tracks merge, edges are relabelled, and those between tracks that share an image, which they will for ever, are
-    dropped. When at most `replayed` edges are left, their components are replayed one by one in the global order. Both are exact.
+    dropped. When at most `replayed` edges are left, they are replayed in the global order by one task. Both are exact.
+    The rounds are as many as the longest chain of edges of falling order between tracks that merge.
     """
     last = F.lit(float("-inf"))
     order = F.coalesce(F.nanvl(F.col("sim").cast("double"), last), last)
@@ -131,12 +132,10 @@ def track_labels(nodes: DataFrame, edges: DataFrame, scratch: Scratch, replayed:
         scratch.drop(sets, labels, left, merged)
         sets, labels, left = joined, following, fewer
 
-    part = components(sets.select(F.col("track").alias("node_idx")), left.select(F.col("t1").alias("src"), F.col("t2").alias("dst")), scratch).withColumnRenamed("node_idx", "track")
-    part = scratch.save(part)
-    heads = sets.join(part, "track").select("component", F.lit(0).alias("kind"), F.col("track").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(0.0).alias("sim"), F.lit(0).cast("bigint").alias("src"), F.lit(0).cast("bigint").alias("dst"), "images")
-    tails = left.join(part, left["t1"] == part["track"]).select("component", F.lit(1).alias("kind"), F.col("t1").alias("a"), F.col("t2").alias("b"), "sim", "src", "dst", F.lit(None).cast("array<bigint>").alias("images"))
-    several = part.groupBy("component").count().where("count > 1").select("component")
-    roots = heads.unionByName(tails).join(several, "component", "left_semi").groupBy("component").applyInPandas(_forest, "track bigint, root bigint")
+    met = left.select(F.explode(F.array("t1", "t2")).alias("track")).distinct()
+    heads = sets.join(met, "track", "left_semi").select(F.lit(0).alias("kind"), F.col("track").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(0.0).alias("sim"), F.lit(0).cast("bigint").alias("src"), F.lit(0).cast("bigint").alias("dst"), "images")
+    tails = left.select(F.lit(1).alias("kind"), F.col("t1").alias("a"), F.col("t2").alias("b"), "sim", "src", "dst", F.lit(None).cast("array<bigint>").alias("images"))
+    roots = heads.unionByName(tails).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_forest, "track bigint, root bigint")
     roots = scratch.save(labels.join(roots, "track", "left").select("node_idx", F.coalesce("root", "track").alias("root")))
     numbers = ranked(roots.select("root").distinct(), ["root"], "track")
     return roots.join(numbers, "root").select("node_idx", "track")

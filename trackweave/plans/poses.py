@@ -132,9 +132,9 @@ def ba_points_geometric(spark, sf):
 
 def _with_patches(rows: DataFrame) -> DataFrame:
     """A patch around each projection whose two channels say how far a place is from it, in tenths of pixels."""
-    x0, y0 = F.floor("x").cast("int") - 8, F.floor("y").cast("int") - 8
-    data = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.array((k % 16 + x0 + 0.5 - F.col("x")) / 10, (F.floor(k / 16) + y0 + 0.5 - F.col("y")) / 10)))
-    return rows.withColumns({"h": F.lit(16), "w": F.lit(16), "c": F.lit(2), "x0": x0, "y0": y0, "sx": F.lit(1.0), "sy": F.lit(1.0), "upsampling": F.lit(1.0), "data": data, "reference": F.array(F.lit(0.0), F.lit(0.0))})
+    x0, y0 = F.floor("x").cast("int") - 4, F.floor("y").cast("int") - 4
+    data = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.array((k % 8 + x0 + 0.5 - F.col("x")) / 10, (F.floor(k / 8) + y0 + 0.5 - F.col("y")) / 10)))
+    return rows.withColumns({"h": F.lit(8), "w": F.lit(8), "c": F.lit(2), "x0": x0, "y0": y0, "sx": F.lit(1.0), "sy": F.lit(1.0), "upsampling": F.lit(1.0), "data": data, "reference": F.array(F.lit(0.0), F.lit(0.0))})
 
 
 def _moved_by_patches(spark, sf, kind: str) -> DataFrame:
