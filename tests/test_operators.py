@@ -258,8 +258,9 @@ def test_bundle_adjustment_finds_the_truth(spark, kind, setup, dense):
     frame = spark.createDataFrame(pd.DataFrame(rows))
     poses, params, found, costs = adjust.bundle_adjust(frame, setup, Options(loss_name="trivial", parameter_tolerance=0.0, max_iterations=25), Scratch(spark, "t"), kind, sampling_, dense)
     assert np.all(np.diff(costs) < 0) and costs[-1] < (1e-4 if kind == "patch_warp" else 1e-6) * costs[0]  # sampling between pixels leaves a rest in the warp
-    for r in found.collect():
-        assert np.abs(np.array([r.px, r.py, r.pz]) - points[r.point3d_id]).max() < (1e-3 if kind == "patch_warp" else 1e-4)
+    # Both ends of a patch warp move with a point along the surface, so only its depth is determined.
+    away = [np.abs(np.array([r.px, r.py, r.pz]) - points[r.point3d_id])[2 if kind == "patch_warp" else 0 :].max() for r in found.collect()]
+    assert len(away) == 30 and max(away) < (1e-3 if kind == "patch_warp" else 1e-4), sorted(away)
     for i in range(4):
         if i in poses:
             assert np.abs(poses[i][1] - t[i]).max() < 1e-4

@@ -47,16 +47,12 @@ def ncc_normalised(a: Column, channels: int) -> Column:
     """Per channel over the nodes of a row-major nodes x channels matrix: minus the mean, over the population deviation (0 counts as 1)."""
     values = doubles(a)
     nodes = (F.size(values) / F.lit(channels)).cast("int")
-    columns = F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: F.transform(F.sequence(F.lit(0), nodes - 1), lambda n: F.element_at(values, n * F.lit(channels) + c + 1)))
-    mean = lambda v: total(v) / nodes
-
-    def unit(v: Column) -> Column:
-        m = mean(v)
-        s = F.sqrt(mean(F.transform(v, lambda x: (x - m) * (x - m))))
-        return F.transform(v, lambda x: (x - m) / F.when(s > 0, s).otherwise(F.lit(1.0)))
-
-    normal = F.transform(columns, unit)
-    return F.flatten(F.transform(F.sequence(F.lit(0), nodes - 1), lambda n: F.transform(normal, lambda v: F.element_at(v, n + 1))))
+    places = F.sequence(F.lit(0), F.lit(channels - 1))
+    column = lambda c: F.filter(values, lambda _, i: i % F.lit(channels) == c)
+    # Sums of a channel bound to a struct, so that each is formed once.
+    first = F.transform(places, lambda c: F.struct(column(c).alias("v"), (total(column(c)) / nodes).alias("m")))
+    spread = F.transform(first, lambda x: F.struct(x["m"].alias("m"), F.sqrt(total(F.transform(x["v"], lambda y: (y - x["m"]) * (y - x["m"]))) / nodes).alias("s")))
+    return F.transform(F.arrays_zip(values.alias("v"), F.flatten(F.array_repeat(spread, nodes)).alias("k")), lambda z: (z["v"] - z["k"]["m"]) / F.when(z["k"]["s"] > 0, z["k"]["s"]).otherwise(F.lit(1.0)))
 
 
 def clamped_value(data: Column, h: Column, w: Column, c: Column, row_: Column, col_: Column, channel: int) -> Column:
