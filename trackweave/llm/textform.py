@@ -148,7 +148,7 @@ def plain_form(texts: list[str]) -> Plain:
     number = (digits_in > 0) & (width - digits_in <= 2) & (real_before[line_ends] == real_before[line_starts])
     header = timing | number
 
-    # The sentence with a web address is an advert; so is its whole cue, unless somebody is called names in it.
+    # The sentence with a web address is an advert, within its line; so is its whole cue, unless somebody is called names in it.
     opens = np.zeros(len(line_ends), bool)
     opens[np.searchsorted(line_ends, np.nonzero(points == END)[0])] = True  # lines before a text's first timing line belong to no cue
     cue_of_line = np.cumsum(timing | opens)
@@ -162,7 +162,7 @@ def plain_form(texts: list[str]) -> Plain:
     gone = _spans(size, line_starts[drop_line], line_ends[drop_line])
     if len(addresses):
         stops = np.nonzero(np.isin(points[:-1], _STOPS) & np.isin(points[1:], _AFTER_STOP))[0]
-        stops = np.sort(np.concatenate([[-1, size], stops, line_ends[header], line_starts[header]]))
+        stops = np.sort(np.concatenate([[-1], stops, line_ends]))
         to = np.searchsorted(stops, addresses)
         begin, finish = stops[to - 1] + 1, stops[to]
         gone |= _spans(size, begin, np.maximum(finish, begin))
