@@ -42,8 +42,10 @@ def ncc_normalize(spark, sf):
 
 
 def cosine_scores(spark, sf):
-    pairs = view(spark, sf, "v_edges_b")
-    return pairs.select("src", "dst", (F.round(arrays.cosine(F.col("ea"), F.col("eb")), 6) + F.lit(0.0)).alias("cosine"))
+    """Every descriptor against the first of its label."""
+    desc = view(spark, sf, "v_desc")
+    first = desc.groupBy("track").agg(F.min("obs").alias("src"), F.min_by("embedding", "obs").alias("first"))
+    return desc.join(first, "track").select("src", F.col("obs").alias("dst"), (F.round(arrays.cosine(F.col("first"), F.col("embedding")), 6) + F.lit(0.0)).alias("cosine"))
 
 
 def corner_boxes(spark, sf):
@@ -219,7 +221,7 @@ ORACLE = {
     "l2_normalize": f"WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(x, lambda v: v * v))) AS size FROM e), u AS (SELECT vec_id, list_transform(x, lambda v: v / size) AS y FROM n) SELECT vec_id, {_sql_text('y')} AS unit FROM u",
     "ncc_normalize": f"""WITH v AS (SELECT vec_id, i // 4 AS node, i % 4 AS c, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range(64) r(i)),
 s AS (SELECT vec_id, c, avg(x) AS m, stddev_pop(x) AS d FROM v GROUP BY 1, 2), u AS (SELECT v.vec_id, list((x - m) / CASE WHEN d > 0 THEN d ELSE 1 END ORDER BY node, v.c) AS y FROM v JOIN s ON s.vec_id = v.vec_id AND s.c = v.c GROUP BY 1) SELECT vec_id, {_sql_text('y')} AS unit FROM u""",
-    "cosine_scores": f"WITH {ctes('v_edges_b')}, p AS (SELECT src, dst, list_transform(ea, lambda v: CAST(v AS DOUBLE)) AS a, list_transform(eb, lambda v: CAST(v AS DOUBLE)) AS b FROM v_edges_b) SELECT src, dst, round(list_cosine_similarity(a, b), 6) + 0.0 AS cosine FROM p",
+    "cosine_scores": f"WITH {ctes('v_desc')}, d AS (SELECT track, obs, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM v_desc), f AS (SELECT track, min(obs) AS src, arg_min(x, obs) AS a FROM d GROUP BY 1) SELECT f.src, d.obs AS dst, round(list_cosine_similarity(f.a, d.x), 6) + 0.0 AS cosine FROM d JOIN f ON f.track = d.track",
     "corner_boxes": f"""WITH {ctes("v_obs")}, b AS (SELECT image_id, point3d_id, x, CAST(least(greatest(trunc(x / 2 - 8), 0), 483) AS INTEGER) AS corner_b FROM v_obs)
 SELECT image_id, point3d_id, x - 0.5 AS x_centre, CAST(least(greatest(trunc(x / 2 - 0.5 - 8), 0), 484) AS INTEGER) AS corner_a, corner_b, round(greatest((corner_b + 0.5::DOUBLE) * 2, x - 8), 6) AS low, round(least((corner_b + 0.5::DOUBLE) * 2 + 32, x + 8), 6) AS high FROM b""",
     "scaled_sizes": "SELECT DISTINCT camera_id, CAST(round_even(width * (least(1600::DOUBLE / greatest(width, height), 1) * 0.5::DOUBLE), 0) AS INTEGER) AS w, CAST(round_even(height * (least(1600::DOUBLE / greatest(width, height), 1) * 0.5::DOUBLE), 0) AS INTEGER) AS h FROM cameras",

@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.functions import arrays, ids
+from trackweave.functions import ids
 from trackweave.operators import evaluation, graph, views
 from trackweave.plans.views import ctes, view
 from trackweave.runtime import Scratch, table
 from trackweave.sources import tables
 
-#: Similarity from which two descriptors of one label make an edge.
-LEAST_SIM = 0.1
-
-
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
     once = table(spark, sf, "pair_matches").select("pair_ord", "pair_id", "stored_reversed", "matches0", "matching_scores0").dropDuplicates(["pair_ord"])
     return tables.decode_pair_matches(once)
@@ -26,11 +22,6 @@ def _graph_a(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return scratch.save(nodes), edges
 
 
-def _graph_b(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    pairs = view(spark, sf, "v_edges_b").select("src", "dst", F.round(arrays.dot(F.col("ea"), F.col("eb")), 6).alias("sim"))
-    return view(spark, sf, "v_nodes_b"), pairs.where(F.col("sim") > LEAST_SIM)
-
-
 def _tracks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
     """The match graph of pair_matches with its tracks."""
     scratch = Scratch(spark, "tracks")
@@ -39,9 +30,10 @@ def _tracks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
     return nodes, edges, scratch.save(graph.track_labels(nodes, edges, scratch)), scratch
 
 
-def _components_b(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _components(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The match graph with its connected components in the place of tracks."""
     scratch = Scratch(spark, "components")
-    nodes, edges = _graph_b(spark, sf)
+    nodes, edges = _graph_a(spark, sf)
     edges = scratch.save(edges)
     return nodes, edges, scratch.save(graph.components(nodes, edges, scratch).withColumnRenamed("component", "track"))
 
@@ -79,22 +71,22 @@ def required_patches(spark, sf):
 
 
 def graph_components(spark, sf):
-    return graph.components(*_graph_b(spark, sf), Scratch(spark, "components"))
+    return _components(spark, sf)[2].withColumnRenamed("track", "component")
 
 
 def component_scores(spark, sf):
-    nodes, edges, labels = _components_b(spark, sf)
-    return _rounded(graph.score_labels(nodes, edges, labels), "score", digits=6)
+    nodes, edges, labels = _components(spark, sf)
+    return _rounded(graph.score_labels(nodes, edges, labels), "score", digits=4)
 
 
 def component_roots(spark, sf):
-    nodes, edges, labels = _components_b(spark, sf)
-    return graph.root_labels(labels, _rounded(graph.score_labels(nodes, edges, labels), "score", digits=6))
+    nodes, edges, labels = _components(spark, sf)
+    return graph.root_labels(labels, _rounded(graph.score_labels(nodes, edges, labels), "score", digits=4))
 
 
 def component_edges_ab(spark, sf):
-    nodes, edges, labels = _components_b(spark, sf)
-    roots = graph.root_labels(labels, _rounded(graph.score_labels(nodes, edges, labels), "score", digits=6))
+    nodes, edges, labels = _components(spark, sf)
+    roots = graph.root_labels(labels, _rounded(graph.score_labels(nodes, edges, labels), "score", digits=4))
     return graph.count_edges_ab(edges, labels, roots).join(graph.count_track_edges(edges, labels), "track")
 
 
@@ -224,17 +216,15 @@ firsts AS (SELECT image_id, feature_idx, min((pair_ord, match_ord, e)) AS place
 nodes AS (SELECT row_number() OVER (ORDER BY place) - 1 AS node_idx, image_id, feature_idx FROM firsts),
 edges AS (SELECT a.node_idx AS src, b.node_idx AS dst, CASE WHEN isnan(d.score) OR isinf(d.score) THEN 0 ELSE coalesce(d.score, 1.0) END AS sim FROM d JOIN nodes a ON a.image_id = d.image1 AND a.feature_idx = d.kp1 JOIN nodes b ON b.image_id = d.image2 AND b.feature_idx = d.kp2),
 sides AS (SELECT src AS n, sim FROM edges UNION ALL SELECT dst, sim FROM edges)"""
-_B = f"""{ctes("v_edges_b", "v_nodes_b")},
-eb AS (SELECT src, dst, round(list_sum(list_transform(list_zip(ea, eb), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS sim FROM v_edges_b),
-edges AS (SELECT * FROM eb WHERE sim > {LEAST_SIM}),
-both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+_B = f"""{_NODES},
+both_ways AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
 reach(node, label) USING KEY (node) AS (
-  SELECT n.node_idx, least(n.node_idx, coalesce(min(w.b), n.node_idx)) FROM v_nodes_b n LEFT JOIN both_ways w ON w.a = n.node_idx GROUP BY n.node_idx
+  SELECT n.node_idx, least(n.node_idx, coalesce(min(w.b), n.node_idx)) FROM nodes n LEFT JOIN both_ways w ON w.a = n.node_idx GROUP BY n.node_idx
   UNION SELECT w.a, min(r.label) FROM reach r JOIN both_ways w ON w.b = r.node JOIN recurring.reach c ON c.node = w.a WHERE r.label < c.label GROUP BY w.a),
 lab AS (SELECT node AS node_idx, label AS track FROM reach),
 intra AS (SELECT e.*, a.track FROM edges e JOIN lab a ON a.node_idx = e.src JOIN lab b ON b.node_idx = e.dst WHERE a.track = b.track),
-sides AS (SELECT src AS n, sim FROM intra UNION ALL SELECT dst, sim FROM intra),
-score AS (SELECT l.node_idx, l.track, round(coalesce(sum(s.sim), 0.0), 6) + 0.0 AS score FROM lab l LEFT JOIN sides s ON s.n = l.node_idx GROUP BY ALL),
+inner_sides AS (SELECT src AS n, sim FROM intra UNION ALL SELECT dst, sim FROM intra),
+score AS (SELECT l.node_idx, l.track, round(coalesce(sum(s.sim), 0.0), 4) + 0.0 AS score FROM lab l LEFT JOIN inner_sides s ON s.n = l.node_idx GROUP BY ALL),
 root AS (SELECT node_idx, track, row_number() OVER (PARTITION BY track ORDER BY score DESC, node_idx DESC) = 1 AS is_root FROM score)"""
 _TRACKS = """
 o AS (SELECT point3d_id, unnest(track_list_image_id) AS image_id, unnest(track_list_point2d_idx) AS kp_id FROM point_references),

@@ -16,8 +16,6 @@ VIEWS = {
     "v_obs": "SELECT CAST(l_suppkey AS INT) AS image_id, l_partkey AS point3d_id, 500 + min(l_quantity) AS x, 500 + max(l_quantity) AS y FROM {lineitem} GROUP BY l_suppkey, l_partkey",
     # Poses of suppliers' images: a small turn about y and a shift, by the key.
     "v_poses": "SELECT CAST(s_suppkey AS INT) AS image_id, CAST(s_nationkey AS INT) AS camera_id, CAST(1 AS DOUBLE) AS qw, CAST(0 AS DOUBLE) AS qx, CAST(s_suppkey % 11 AS DOUBLE) / 100 AS qy, CAST(0 AS DOUBLE) AS qz, CAST(s_suppkey % 5 AS DOUBLE) / 10 AS tx, CAST(s_suppkey % 3 AS DOUBLE) / 10 AS ty, CAST(0 AS DOUBLE) AS tz FROM {supplier}",
-    "v_edges_b": "SELECT a.vec_id AS src, b.vec_id AS dst, a.embedding AS ea, b.embedding AS eb FROM {embeddings} a JOIN {embeddings} b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 20 <> b.vec_id % 20",
-    "v_nodes_b": "SELECT vec_id AS node_idx, CAST(vec_id % 20 AS INT) AS image_id, CAST(vec_id AS INT) AS feature_idx FROM {embeddings}",
     "v_patch": "SELECT CAST(0 AS INT) AS level, CONCAT('image', CAST(vec_id % 20 AS STRING)) AS image_name, CAST(vec_id AS INT) AS kp_id, CAST(4 AS INT) AS h, CAST(4 AS INT) AS w, CAST(4 AS INT) AS c, CAST(vec_id % 7 AS INT) AS x0, CAST(vec_id % 5 AS INT) AS y0, CAST(1 AS DOUBLE) / 2 AS sx, CAST(1 AS DOUBLE) / 4 AS sy, CAST(1 AS DOUBLE) AS upsampling, embedding AS data FROM {embeddings}",
     "v_err": "SELECT event_type AS scene, CAST(user_id % 3 AS INT) AS method, event_id, CAST(value AS DOUBLE) / 1000 AS error FROM {events}",
     "v_desc": "SELECT label AS track, vec_id AS obs, CAST(vec_id % 20 AS INT) AS image_id, CAST(vec_id AS INT) AS kp_id, embedding FROM {embeddings}",
