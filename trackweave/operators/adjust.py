@@ -14,7 +14,6 @@ from trackweave.functions.interpolation import Sampling
 from trackweave.functions.losses import loss
 from trackweave.operators import residuals as res
 from trackweave.operators.graph import intra_track, root_edges
-from trackweave.operators.residuals import Camera
 from trackweave.operators.solver import SUMMARY, SUMMARY_NAMES, Options, by_problem, minimise_many
 from trackweave.runtime import Scratch
 
