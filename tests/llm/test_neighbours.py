@@ -67,9 +67,7 @@ def test_unusable_vectors_and_empty_tables(spark):
     assert pairs(neighbours.Arrays(table.limit(0)), 0.90) == set()
 
 
-@pytest.mark.parametrize("dependable", [0.9, 2.0])
-def test_search_finds_the_nearest(spark, monkeypatch, dependable):
-    monkeypatch.setattr(neighbours, "DEPENDABLE", dependable)
+def test_search_finds_the_nearest(spark):
     x = planted(np.random.default_rng(4), 20, 600)
     entries = [(i, 1, 128, r.tobytes()) for i, r in enumerate(x)]
     unit = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)

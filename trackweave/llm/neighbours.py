@@ -459,8 +459,6 @@ def _with_cosine(pairs: DataFrame, heads: DataFrame, vectors: Blobs | Arrays, sc
 
 #: Query vectors that one pass over the collection compares at once (10 MB of 128 floats).
 QUERY_BLOCK = 20_000
-#: Once the cosine from which search kept the forest's answer; it has no effect now that all queries are compared exactly.
-DEPENDABLE = 0.9
 
 
 def search(vectors: Blobs | Arrays, asked: Column, scratch: Scratch, k: int = 3) -> DataFrame:
