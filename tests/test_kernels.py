@@ -186,6 +186,11 @@ def test_pose_from_outliers():
     assert absolute_pose(camera, points[:5], xy[:5]) is None
 
 
+def test_pose_of_noise_where_one_of_thousands_is_an_inlier():
+    camera, noise = Camera("SIMPLE_RADIAL", np.array([1000.0, 500, 500, 0.01])), np.random.default_rng(0)
+    assert absolute_pose(camera, noise.uniform(-1, 1, (2000, 3)) + [0, 0, 10], noise.uniform(0, 1000, (2000, 2))) is None
+
+
 def first_fit(sizes, most):
     bins, out = [], []
     for s in sizes:

@@ -166,7 +166,8 @@ def absolute_pose(camera: Camera, points: np.ndarray, xy: np.ndarray, max_error:
         if best is None or inliers.sum() > best[2].sum():
             best = (*pose, inliers)
             share = inliers.mean() ** 6
-            needed = min(trials, int(np.ceil(np.log(1e-4) / np.log(max(1 - share, 1e-12)))) + 1) if share > 0 else trials
+            # log1p: 1 - share is 1 for an inlier among many, but the logarithm must not be 0
+            needed = int(min(trials, np.ceil(np.log(1e-4) / np.log1p(-min(share, 1 - 1e-12))) + 1)) if share > 0 else trials
     if best is None or best[2].sum() < 6:
         return None
     r, t, inliers = best

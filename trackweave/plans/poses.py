@@ -173,7 +173,7 @@ def ba_poses(spark, sf):
 
 def localized_queries(spark, sf):
     """Every image taken as a query: its pose found again from its observations."""
-    rows = _truth(spark, sf).select(F.col("image_id").cast("string").alias("query"), F.col("point3d_id").cast("int").alias("pos"), F.col("point3d_id").cast("int").alias("kp_id"), "point3d_id", "x", "y", "px", "py", "pz", "model", "params")
+    rows = _truth(spark, sf).select(F.col("image_id").cast("string").alias("query"), F.col("point3d_id").alias("pos"), "point3d_id", "x", "y", "px", "py", "pz", "model", "params")
     found = localize.localize(rows)
     return found.select("query", "success", *[(F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")])
 
