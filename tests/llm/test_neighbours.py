@@ -173,3 +173,21 @@ def test_walks_cross_short_ranges():
         ends.append([c[kept] for c in part])
     seams = {tuple(p) for p in neighbours._met([np.concatenate(c) for c in zip(*ends)], 0, reach, True).tolist()}
     assert inner | seams == whole and not inner & seams
+
+
+def test_strings_near_by_chance_make_no_dense_region(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((400, 64))
+    x[300:] = x[:100] + 0.1 * rng.standard_normal((100, 64))
+    frame = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "point3d_id bigint, level int, descriptor array<double>")
+    scans, nearest = [], neighbours._nearest
+    monkeypatch.setattr(neighbours, "_nearest", lambda *a, **k: scans.append(1) or nearest(*a, **k))
+    found = neighbours.similar_pairs(neighbours.Arrays(frame), 0.90, 60, Scratch(spark, "chance")).collect()  # so many bits that all have candidates
+    assert {(r.id1, r.id2) for r in found} == {(i, 300 + i) for i in range(100)}
+    assert not scans
+
+
+def test_trees_grow_with_the_vectors():
+    trees = [neighbours.enough_trees(n, 0.90, 0.09) for n in (0, 1_000, 100_000, 1_000_000, 10_000_000)]
+    assert trees == sorted(trees) and trees[0] == neighbours.TREES and trees[-1] > trees[-2] > trees[-3] > neighbours.TREES
+    assert neighbours.enough_trees(10_000_000, 0.95, None) == neighbours.TREES

@@ -21,13 +21,21 @@ TREES = 10
 REACH = 32
 #: Bits of 128 in which the strings of two candidates may differ; more where the norms of the centred vectors ask for it (most_apart).
 MOST_DIFFERENT = {0.90: 38, 0.95: 32}
+#: The chance that a pair of just the least cosine is missed, to which trees are added as the vectors grow in number (enough_trees); others keep TREES.
+MOST_MISSED = {0.90: 0.09}
 #: Vectors that the centre of the projections is the mean of, and the seed of the projections.
 CENTRE_SAMPLE = 20_000
 SEED = 20_240_131
 
-#: A vector with so many candidates may have had a walk that ended at the reach: it lies in a dense region and is compared exactly.
+#: A vector with so many others near it may have had a walk that ended at the reach: it lies in a dense region and is compared exactly.
 CROWDED = REACH // 2
 
+
+def near_each_other(least_cosine: float) -> float:
+    """The cosine that two vectors of the least cosine to a third have to each other at least. So near are the vectors of a region that is dense."""
+    return 2 * least_cosine**2 - 1
+
+
 def grown(frame: DataFrame) -> DataFrame:
     """A side of a join that grows with the data: it meets the other by a shuffle at every size, never by a broadcast."""
     return frame.hint("merge")
@@ -50,6 +58,17 @@ def most_apart(norm: Column, least_cosine: float) -> Column:
     return F.least(F.lit(BITS), F.ceil(BITS * share + 4 * F.sqrt(BITS * share * (1 - share)))).cast("smallint")
 
 
+def enough_trees(count: int, least_cosine: float, most_missed: float | None) -> int:
+    """Trees, TREES at least, with which a pair of the least cosine among `count` vectors is missed with this chance at most.
+
+    A walk of REACH places covers the strings that agree in about log2(count / REACH) first bits.
+    """
+    if most_missed is None or count <= REACH:
+        return TREES
+    met = (1 - np.arccos(least_cosine) / np.pi) ** np.log2(count / REACH)
+    return int(min(BITS, max(TREES, np.ceil(np.log(most_missed) / np.log1p(-met)))))
+
+
 def hash_strings(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two BIGINT words per row. The vectors are brought to unit length first, so that multiples of a vector agree."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -277,7 +296,7 @@ def candidates(entries: DataFrame, scratch: Scratch, trees: int = TREES, reach:
     return pairs
 
 
-def similar_pairs(vectors: Blobs | Arrays, least_cosine: float, most_different: int, scratch: Scratch, k: int = 3) -> DataFrame:
+def similar_pairs(vectors: Blobs | Arrays, least_cosine: float, most_different: int, scratch: Scratch, k: int = 3, most_missed: float | None = None) -> DataFrame:
     """Pairs of vectors (id1, idx1) < (id2, idx2) of one space with cosine >= least_cosine, one among the k most similar of the other; with the cosine.
 
     Exact copies form a class and only its first member (by id, idx) enters the forest, so many copies neither fill the reach of
@@ -302,9 +321,11 @@ def similar_pairs(vectors: Blobs | Arrays, least_cosine: float, most_different:
     firsts = scratch.save(multiple.withColumn("place", place).where(F.col("place") <= k + 1))
     scratch.drop(rows)
 
-    pairs = _with_dense_regions(candidates(heads.select("space", "high", "low", "most", "key"), scratch), heads, vectors, least_cosine, k, scratch)
-    near = scratch.save(_with_cosine(pairs, heads, vectors, scratch).where(F.col("cosine") >= least_cosine))
+    trees = enough_trees(heads.count(), least_cosine, most_missed)
+    pairs = candidates(heads.select("space", "high", "low", "most", "key"), scratch, trees)
+    measured = scratch.save(_with_cosine(pairs, heads, vectors, scratch).where(F.col("cosine") >= near_each_other(least_cosine)))
     scratch.drop(pairs)
+    near = _with_dense_regions(measured, heads, vectors, least_cosine, k, scratch)
 
     partners = firsts.select(*copy, F.col("id").alias("id2"), F.col("idx").alias("idx2"), F.col("key").alias("key2"), "place")
     copies = multiple.where("NOT hot").join(grown(partners), copy).unionByName(multiple.where("hot").join(F.broadcast(partners.join(hot, copy, "left_semi")), copy))
@@ -327,13 +348,15 @@ def similar_pairs(vectors: Blobs | Arrays, least_cosine: float, most_different:
     return ordered.groupBy("a", "b").agg(F.max("cosine").alias("cosine")).select(F.col("a.id").alias("id1"), F.col("a.idx").alias("idx1"), F.col("b.id").alias("id2"), F.col("b.idx").alias("idx2"), "cosine")
 
 
-def _with_dense_regions(pairs: DataFrame, heads: DataFrame, vectors: Blobs | Arrays, least_cosine: float, k: int, scratch: Scratch) -> DataFrame:
-    """The candidate pairs, where those among crowded vectors are replaced by each one's k nearest of all heads, found exactly.
+def _with_dense_regions(measured: DataFrame, heads: DataFrame, vectors: Blobs | Arrays, least_cosine: float, k: int, scratch: Scratch) -> DataFrame:
+    """The pairs (key1, key2, cosine) of the least cosine, where those among crowded vectors are replaced by each one's k nearest of all heads, found exactly.
 
-    Crowded are vectors with CROWDED candidates or more. They are compared in blocks of near ones with all that can have the least
-    cosine to any of the block, so the work is that of the dense regions alone.
+    measured: the candidates near_each_other. Crowded are vectors with CROWDED of them or more; strings of vectors far apart come
+    near by chance, more often the more vectors there are, and make no dense region. Crowded ones are compared in blocks of near
+    ones with all that can have the least cosine to any of the block, so the work is that of the dense regions alone.
     """
-    crowded = scratch.save(pairs.select(F.explode(F.array("key1", "key2")).alias("key")).groupBy("key").count().where(F.col("count") >= CROWDED).select("key"))
+    pairs = measured.where(F.col("cosine") >= least_cosine)
+    crowded = scratch.save(measured.select(F.explode(F.array("key1", "key2")).alias("key")).groupBy("key").count().where(F.col("count") >= CROWDED).select("key"))
     blocks = -(-crowded.count() // QUERY_BLOCK)
     if not blocks:
         return pairs
@@ -350,8 +373,9 @@ def _with_dense_regions(pairs: DataFrame, heads: DataFrame, vectors: Blobs | Arr
         parts.append(scratch.save(found.select(F.least("head", "other").alias("key1"), F.greatest("head", "other").alias("key2"))))
         every = every.unionByName(parts[-1])
     every = scratch.save(every.distinct())
-    scratch.drop(pairs, crowded, queries, *parts)
-    return every
+    near = scratch.save(_with_cosine(every, heads, vectors, scratch).where(F.col("cosine") >= least_cosine))
+    scratch.drop(measured, crowded, queries, every, *parts)
+    return near
 
 
 #: Queries compared by one matrix product.

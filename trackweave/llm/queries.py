@@ -36,7 +36,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
         ("point_references.descriptor", neighbours.Arrays(table(spark, sf, "point_references")), 0.90),
         ("descriptors.data", neighbours.Blobs(table(spark, sf, "descriptors")), 0.95),
     ]
-    found = [neighbours.similar_pairs(vectors, least, neighbours.MOST_DIFFERENT[least], scratch).select(F.lit(name).alias("field"), "id1", "idx1", "id2", "idx2") for name, vectors, least in fields]
+    found = [neighbours.similar_pairs(vectors, least, neighbours.MOST_DIFFERENT[least], scratch, most_missed=neighbours.MOST_MISSED.get(least)).select(F.lit(name).alias("field"), "id1", "idx1", "id2", "idx2") for name, vectors, least in fields]
     return found[0].unionByName(found[1])
 
 
