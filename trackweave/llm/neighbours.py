@@ -290,7 +290,7 @@ def candidates(entries: DataFrame, scratch: Scratch, trees: int = TREES, reach:
     order = ["tree", "high", "low"]
     met = scratch.save(rows.repartitionByRange(*order).sortWithinPartitions(*order, "key").mapInArrow(_visit(reach), MET))
     ends = met.where(F.col("key").isNotNull()).select(*ENTRY)
-    seams = ends.coalesce(1).sortWithinPartitions(*order, "key").mapInArrow(_visit(reach, across=True), MET)
+    seams = ends.repartition(1).sortWithinPartitions(*order, "key").mapInArrow(_visit(reach, across=True), MET)
     pairs = scratch.save(met.where(F.col("key").isNull()).select("key1", "key2").unionByName(seams.select("key1", "key2")).distinct())
     scratch.drop(met)
     return pairs
